@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, euclid_lsh, jaccard, langid, ngram_trie, packing
+from ._spark import held_out, read_table
+
+
+def tokenizer(name: str) -> str:
+    """A file of the public tokenizers, which are installed as a package."""
+    import public_tokenizers
 
-from . import jaccard
-from ._spark import read_table
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from documents outside the fold 2 of 4."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    fold = held_out("doc_id", 4, 2)
+    model = langid.train(docs.filter(~fold), "text", "lang")
+    return langid.predict(docs, model, keep=[fold.alias("held_out")])
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +30,36 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), n=3, num=90, den=100)
 
 
-QUERIES = {"op3_jaccard_join": op3_jaccard_join}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside any 10 words in a row of a benchmark item."""
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at a cosine of 0.93 or more within their label."""
+    return euclid_lsh.near_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), least=0.93)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"), capacity=1024, ids=False)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of all documents; learned from documents outside the fold 1 of 5."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    scores, _ = ngram_trie.fit_and_score(docs, ~held_out("doc_id", 5, 1))
+    # a null id is in no fold, so it is trained on
+    return scores
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_embedding_neardup": op8_embedding_neardup,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_lm_scoring": op10_lm_scoring,
+}
 ORACLE_SQL: dict[str, str] = {}
