@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, euclid_lsh, jaccard, langid, ngram_trie, packing
+from . import decontaminate, euclid_lsh, jaccard, langid, ngram_trie, packing, quotes, revisits, sharding, token_counts
 from ._spark import held_out, read_table
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -25,11 +26,67 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=[fold.alias("held_out")])
 
 
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive records from the pages: of each page a response and, later, a revisit.
+
+    The tables hold no archive records, so times come from the page's number, every eleventh
+    response failed, revisits carry a weak entity tag or only a modification time, and a header
+    that a revisit may not pass on.
+    """
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    tag, changed = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"')), F.concat(F.lit("lm-"), (F.col("page_id") % 97).cast("string"))
+    first = pages.select(
+        F.concat(F.lit("r"), "page_id").alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.when(F.col("page_id") % 11 == 5, 503).otherwise(200).alias("status"),
+        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), changed, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.concat(F.lit("d"), "page_id")).alias("headers"),
+    )
+    again = pages.select(
+        F.concat(F.lit("v"), "page_id").alias("record_id"), "url", (F.col("page_id") * 10 + 5 + 10 * (F.col("page_id") % 500)).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        F.create_map(F.lit("etag"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("W/"), tag)), F.lit("last-modified"), changed, F.lit("content-type"), F.lit("none"), F.lit("date"), F.concat(F.lit("e"), "page_id")).alias("headers"),
+    )
+    return first.union(again)
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the pages' records, resolved."""
+    found = revisits.resolve_revisits(page_records(spark, sf_dir))
+    return found.select("record_id", "url_key", "response_id", "outcome", *[F.col("headers")[h].alias(h.replace("-", "_")) for h in ("etag", "last-modified", "content-type", "date")])
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of 0.9 or more."""
     return jaccard.jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"), n=3, num=90, den=100)
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with the quotes a mail reader would add: of every third turn the turn
+    before last, else the last one, every other time with the one before it nested inside."""
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    one, two = (turns.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"back{k}")) for k in (1, 2))
+    rows = turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
+
+    def quoted(name: str, mark: str):
+        return F.concat(F.lit(mark), F.replace(F.col(name), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+
+    third, nested = F.col("turn") % 3 == 2, F.col("turn") % 2 == 0
+    quote = F.when(third & F.col("back2").isNotNull(), quoted("back2", "> ")).when(F.col("back1").isNotNull(), F.concat(F.when(nested & F.col("back2").isNotNull(), quoted("back2", "> > ")).otherwise(""), quoted("back1", "> "))).otherwise("")
+    return rows.select("conv_id", "turn", F.concat(quote, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in reply order without their quotes."""
+    return quotes.link_quotes(quoted_conversations(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of at most a mebibyte."""
+    return sharding.extendible_shards(read_table(spark, sf_dir, "documents", "doc_id", "text"), limit=1 << 20)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside any 10 words in a row of a benchmark item."""
     found = decontaminate.contamination(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"), width=10)
@@ -56,10 +113,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_quotation_links": op4_quotation_links,
+    "op5_token_counts": op5_token_counts,
+    "op6_extendible_shards": op6_extendible_shards,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLE_SQL: dict[str, str] = {}
