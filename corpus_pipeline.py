@@ -1,13 +1,64 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline: language, near duplicates, benchmark passages, packing.
+
+Each stage takes the documents its predecessor kept and returns those that it keeps, with the
+columns of documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftspan.llm import decontaminate, jaccard, langid, packing
+from driftspan.llm.entry import tokenizer
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text whose language is less certain than this is rejected; und (no letters) always is.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a recognisable language: und, or a score below LEAST_SCORE.
+
+    lang of the rest becomes the predicted language. Learned from the documents' own labels.
+    """
+    model = langid.train(docs, "text", "lang")
+    found = langid.predict(docs, model, keep=[F.col("text"), F.col("source"), F.col("n_chars")])
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group: 5-word shingles, Jaccard of 0.8 or more."""
+    groups = jaccard.jaccard_groups(docs, n=5, num=80, den=100).select(F.col("doc_id").alias("kept_id"), "component_id").filter("kept_id = component_id").select("kept_id").distinct()
+    return docs.join(groups, docs.doc_id == groups.kept_id, "left_semi").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold 10 words in a row of a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(found, docs.doc_id == found.bad_id, "left_anti").select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All remaining documents as pieces of sequences of 1024 tokens."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, ids=False)
+
+
+STAGES = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack_sequences)]
+
+#: SQL has neither the classifier nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over all documents; each stage is written before the next reads it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        at = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return STAGES[-1][1](spark, docs, sf_dir)
