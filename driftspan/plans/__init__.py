@@ -1,3 +1,3 @@
 """Query plans over the given tables; importing them fills the registry."""
 
-from . import detect_queries  # noqa: F401
+from . import detect_queries, score_queries  # noqa: F401
