@@ -27,10 +27,10 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """accesses (id, agent, at, resource, op, rejected) from events: signups and purchases write."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("agent"), F.unix_micros("ts").alias("at"), F.get_json_object("props", "$.k").alias("resource"),
+        F.col("event_id").alias("id"), F.col("user_id").alias("agent"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.get_json_object("props", "$.k").alias("resource"),
         F.when(F.col("event_type").isin("signup", "purchase"), "write").otherwise("read").alias("op"), ((F.col("event_id") % 17) == 0).alias("rejected"), "event_type",
     )
 
 
-ACCESS_SQL = """accesses as (select event_id as id, user_id as agent, epoch_us(ts) as at, json_extract_string(props, '$.k') as resource,
+ACCESS_SQL = """accesses as (select event_id as id, user_id as agent, epoch_us(ts) as tm, json_extract_string(props, '$.k') as resource,
     case when event_type in ('signup', 'purchase') then 'write' else 'read' end as op, event_id % 17 = 0 as rejected, event_type from events)"""
