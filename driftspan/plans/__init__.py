@@ -1,3 +1,3 @@
 """Query plans over the given tables; importing them fills the registry."""
 
-from . import detect_queries, score_queries, sequence_queries  # noqa: F401
+from . import compare_queries, detect_queries, score_queries, sequence_queries  # noqa: F401
