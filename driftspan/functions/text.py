@@ -36,7 +36,7 @@ def _unit_value(unit: Column) -> Column:
     return (
         F.when(~unit.startswith("\\"), unit)
         .when(unit.rlike(r"^\\+$"), F.lit("\\"))
-        .when(coded != "", F.decode(F.unhex(F.lpad(coded, 4, "0")), F.lit("UTF-16BE")))
+        .when(coded != "", F.decode(F.unhex(F.lpad(coded, 4, "0")), "UTF-16BE"))
         .otherwise(F.coalesce(F.try_element_at(named, last), last))
     )
 
