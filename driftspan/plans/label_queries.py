@@ -32,11 +32,11 @@ def benchmark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.find_occurrences(b, table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("text_id"), "text"))
 
 
-@query(r"""with s as (select doc_id, substr(text, 1, 200) span, case doc_id % 3 when 0 then substr(text, 11, 60) when 1 then upper(substr(text, 11, 60)) else replace(substr(text, 11, 60), ' ', '  ') end as r from documents where length(text) >= 100 and not contains(substr(text, 1, 200), '\') and not contains(text, ''''''))
+@query(r"""with s as (select doc_id, substr(text, 1, 200) span, case doc_id % 3 when 0 then substr(text, 11, 60) when 1 then translate(substr(text, 11, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') else replace(substr(text, 11, 60), ' ', '  ') end as r from documents where length(text) >= 100 and not contains(substr(text, 1, 200), '\') and not contains(text, ''''''))
     select doc_id, case when contains(span, r) then 'exact' when contains(ltrim(regexp_replace(lower(span), '\s+', ' ', 'g'), ' '), rtrim(ltrim(regexp_replace(lower(r), '\s+', ' ', 'g'), ' '), ' ')) then 'normalized' else 'decoded:json_string' end as class from s""")
 def classify_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "text").filter("length(text) >= 100").filter(~F.substring("text", 1, 200).contains("\\") & ~F.col("text").contains("''"))
-    read = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 11, 60)).when(F.col("doc_id") % 3 == 1, F.upper(F.substring("text", 11, 60))).otherwise(F.replace(F.substring("text", 11, 60), F.lit(" "), F.lit("  ")))
+    read = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 11, 60)).when(F.col("doc_id") % 3 == 1, F.translate(F.substring("text", 11, 60), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.replace(F.substring("text", 11, 60), F.lit(" "), F.lit("  ")))
     return d.select("doc_id", T.classify(F.substring("text", 1, 200), read).alias("class"))
 
 

@@ -18,7 +18,10 @@ from .sequence_queries import PAIRS_SQL
 def pairs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    e = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders
     kind = F.when(F.col("event_type").isin("signup", "purchase"), "write").otherwise("read")
     accesses = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("agent"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.get_json_object("props", "$.k").alias("resource"), kind.alias("op"), ((F.col("event_id") % 17) == 0).alias("rejected"))
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairs-")
