@@ -192,13 +192,18 @@ def decode_chains(payloads: DataFrame, max_depth: int = 6) -> DataFrame:
     layer by layer (base64, hex, \\x runs) until plain; long and wordy enough ones stay, each
     text once per payload. corroborated: another payload has this one as its parent."""
     runs = F.regexp_extract_all("text", F.lit(r"(?:\\x[0-9a-fA-F]{2}){8,}|[0-9A-Za-z+/=_-]{16,}"), F.lit(0))
-    rows = payloads.select("id", F.explode(F.array_distinct(runs)).alias("now")).withColumn("chain", F.expr("cast(array() as array<string>)")).withColumn("plain", F.lit(False))
-    for _ in range(max_depth):
-        bytes_ = F.when(F.col("now").rlike(r"^(?:\\x[0-9a-fA-F]{2})+$"), T.decode_hex(F.regexp_replace("now", r"\\x", "")))
-        hexed = F.when(F.col("now").rlike(r"^[0-9a-fA-F]{16,}$"), T.decode_hex(F.col("now")))
-        based = F.when(F.col("now").rlike(r"^[0-9A-Za-z+/=_-]{16,}$"), T.decode_base64(F.col("now")))
-        step = F.when(bytes_.isNotNull(), F.struct(F.lit("bytes").alias("codec"), bytes_.alias("text"))).when(hexed.isNotNull(), F.struct(F.lit("hex").alias("codec"), hexed.alias("text"))).when(based.isNotNull(), F.struct(F.lit("base64").alias("codec"), based.alias("text")))
-        rows = rows.withColumn("step", step).select("id", F.coalesce("step.text", "now").alias("now"), F.when(F.col("step").isNotNull(), F.concat("chain", F.array("step.codec"))).otherwise(F.col("chain")).alias("chain"))
+    start = F.struct(F.col("token").alias("now"), F.expr("cast(array() as array<string>)").alias("chain"))
+
+    def peel(acc: Column, _: Column) -> Column:
+        now = acc["now"]
+        raw = F.when(now.rlike(r"^(?:\\x[0-9a-fA-F]{2})+$"), T.decode_hex(F.regexp_replace(now, r"\\x", "")))
+        hexed = F.when(now.rlike(r"^[0-9a-fA-F]{16,}$"), T.decode_hex(now))
+        based = F.when(now.rlike(r"^[0-9A-Za-z+/=_-]{16,}$"), T.decode_base64(now))
+        text, codec = F.coalesce(raw, hexed, based, now), F.when(raw.isNotNull(), "bytes").when(hexed.isNotNull(), "hex").when(based.isNotNull(), "base64")
+        return F.struct(text.alias("now"), F.concat(acc["chain"], F.filter(F.array(codec), lambda c: c.isNotNull())).alias("chain"))
+
+    rows = payloads.select("id", F.explode(F.array_distinct(runs)).alias("token"))
+    rows = rows.select("id", F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, peel).alias("x")).select("id", "x.now", "x.chain")
     good = rows.filter((F.size("chain") > 0) & (F.length("now") >= 24) & (F.length(F.regexp_replace("now", r"[^\p{L}]", "")) >= 20))
     one = good.groupBy("id", "now").agg(F.min(F.array_join("chain", ">")).alias("chain"))
     parents = payloads.filter("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("corroborated", F.lit(True))
