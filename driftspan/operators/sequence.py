@@ -205,10 +205,25 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], n: int) -> D
     return rows.filter((i < n) & (F.expr(f"(((__i * {n} + __c - 1) div __c) * __c) div {n}") == F.col("__i"))).drop("__i", "__c")
 
 
+def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """Column rank: a row's place from 0 in the order of the whole table.
+
+    Rows are sorted by range, and each range's first rank is the sum of the sizes before it: the
+    only window over all is one row per range.
+    """
+    from driftspan.sources.io import checkpointed
+
+    rows = checkpointed(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("__p", before.alias("__b")), "__p").withColumn("rank", F.col("__b") + F.col("__i")).drop("__m", "__p", "__i", "__b")
+
+
 def batch_worlds(df: DataFrame, traj: str, n: int) -> DataFrame:
     """Column batch: every n trajectories in order share one."""
-    t = df.select(traj).distinct()
-    return df.join(t.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(traj)) - 1) / n)), traj)
+    t = global_rank(df.select(traj).distinct(), [traj])
+    return df.join(t.select(traj, F.expr(f"rank div {n}").alias("batch")), traj)
 
 
 def new_inputs(messages: DataFrame) -> DataFrame:
