@@ -52,6 +52,26 @@ def _expand(data: bytes) -> list[np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
+def _squeeze_block(tokens: np.ndarray, sizes: np.ndarray) -> bytes:
+    """A block's tokens as ranks of its words by frequency, byte by byte, so that they compress."""
+    words, places, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(words), "<u4")
+    rank[order] = np.arange(len(words), dtype="<u4")
+    planes = rank[places].view(np.uint8).reshape(-1, 4)
+    return _squeeze(words[order], *[np.ascontiguousarray(planes[:, k]) for k in range(4)], sizes)
+
+
+def _expand_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted words, each token's place among them, token counts of the documents)."""
+    words, *planes, sizes = _expand(data)
+    ranks = np.stack(planes, axis=1).reshape(-1).view("<u4")
+    order = np.argsort(words)
+    place = np.empty(len(words), np.uint32)
+    place[order] = np.arange(len(words), dtype=np.uint32)
+    return words[order], place[ranks], sizes
+
+
 @contextmanager
 def mapped(arrays: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
     """The arrays, written to a file of this task and mapped into memory; the file goes at the end."""
@@ -90,9 +110,9 @@ class NgramTrie:
 
 
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """(block, ids, held_out, data, n, n_train): documents as places in the block's sorted words.
+    """(block, ids, held_out, data, n, n_train): documents as tokens of a block.
 
-    data: the words' hashes, each token's place, each document's token count.
+    data: the words' hashes, each token's word, each document's token count.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -105,10 +125,9 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) ->
         def block():
             sizes = np.array([len(w) + 1 for w in words], np.int64)
             tokens = np.concatenate([x for w in words for x in (w, END)])
-            vocabulary, places = np.unique(tokens, return_inverse=True)
             learned = sizes[np.array(marks, bool)].sum()
             column = pa.concat_arrays(ids)
-            row = [pa.array([f"{TaskContext.get().partitionId()}.{serial}"]), pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), pa.array([[not m for m in marks]], pa.list_(pa.bool_())), pa.array([_squeeze(vocabulary, places.astype(np.uint32), sizes)], pa.binary()), pa.array([len(tokens)], pa.int64()), pa.array([int(learned)], pa.int64())]
+            row = [pa.array([f"{TaskContext.get().partitionId()}.{serial}"]), pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), pa.array([[not m for m in marks]], pa.list_(pa.bool_())), pa.array([_squeeze_block(tokens, sizes)], pa.binary()), pa.array([len(tokens)], pa.int64()), pa.array([int(learned)], pa.int64())]
             return pa.RecordBatch.from_arrays(row, names=["block", "ids", "held_out", "data", "n", "n_train"])
 
         held = 0
@@ -162,7 +181,7 @@ def _send_words(shards: int):
     def send(batches):
         for batch in batches:
             for block, marks, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                vocabulary, places, sizes = _expand(data)
+                vocabulary, places, sizes = _expand_block(data)
                 counts = np.bincount(places[_learned(marks, places, sizes)], minlength=len(vocabulary)).astype(np.uint32)
                 cuts = np.searchsorted(_shard_of(vocabulary, shards), np.arange(shards + 1))
                 yield from _rows([("ask", block, s, _squeeze(vocabulary[a:b], counts[a:b]), 0) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]).to_batches()
@@ -174,7 +193,7 @@ def _send_pairs(shards: int, hot: dict[int, int]):
     def send(batches):
         for batch in batches:
             for block, marks, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                vocabulary, places, sizes = _expand(data)
+                vocabulary, places, sizes = _expand_block(data)
                 end = int(np.searchsorted(vocabulary, END)[0])
                 every = _pairs(places, sizes, end)
                 pairs = np.unique(every)
@@ -290,7 +309,7 @@ def _score(table: pa.Table, n_tokens: int, n_types: int, shards: int, hot: dict[
             own = table.slice(i, 1)
         else:
             (counts if kind == "counts" else codes)[table.column("shard")[i].as_py()] = _expand(table.column("data")[i].as_py())[0]
-    vocabulary, places, sizes = _expand(own.column("data")[0].as_py())
+    vocabulary, places, sizes = _expand_block(own.column("data")[0].as_py())
     c = np.concatenate([counts[s] for s in sorted(counts)]).astype(np.float64)
     single = (c + 0.5) / (n_tokens + 0.5 * (n_types + 1))
     every = _pairs(places, sizes, int(np.searchsorted(vocabulary, END)[0]))
