@@ -37,6 +37,7 @@ from .elias_fano import EliasFano, pack, unpack
 
 END = mix(np.array([0x656E64], U64))
 BLOCK_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
+#: Strength of the word distribution in a context; a few hundred suits contexts of all sizes.
 MU = 30.0
 _DECADES, _STEPS = 12.0, 65_534
 _ROW = "kind string, block string, shard int, data binary, n long"
@@ -260,23 +261,27 @@ def _pair_level(table: pa.Table, mu: float, hot: dict[int, int]) -> pa.Table:
             level = unpack(data)
         else:
             contexts, runs, words, counts = _expand(data)
-            asked.append((block, np.repeat(contexts, runs), _from_six_bytes(words), counts))
+            asked.append((block, contexts, _from_six_bytes(words), counts, runs))
     if level is None:
         level = _build_pairs(asked, mu, hot)
         rows.append(("level2", None, shard, pack(level), len(level[-1])))
     with mapped(level) as arrays:
         contexts, pointers, words, successors = (EliasFano(*arrays[3 * k : 3 * k + 3]) for k in range(4))
         codes = arrays[12]
-        for block, asks, after, _ in asked:
-            out = np.zeros(len(asks), np.uint16)
-            row, word = contexts.find(asks), words.find(after)
+        for block, asks, after, _, runs in asked:
+            out = np.zeros(len(after), np.uint16)
+            row = contexts.find(asks)
+            end = np.zeros(len(asks), np.int64)
+            end[row >= 0] = pointers[row[row >= 0] + 1].astype(np.int64)
+            row, end = np.repeat(row, runs), np.repeat(end, runs)
+            own, at = np.unique(after, return_inverse=True)
+            word = words.find(own)[at]
             known = np.flatnonzero((row >= 0) & (word >= 0))
             # successor search for the word relative to its context, within the context's range
-            at = successors.next_geq(row[known].astype(U64) * U64(max(1, words.n)) + word[known].astype(U64))
-            end = pointers[row[known] + 1].astype(np.int64)
-            inside = at < end
-            hit = np.flatnonzero(inside)
-            hit = hit[successors[at[hit]] == row[known][hit].astype(U64) * U64(max(1, words.n)) + word[known][hit].astype(U64)]
+            want = row[known].astype(U64) * U64(max(1, words.n)) + word[known].astype(U64)
+            at = successors.next_geq(want)
+            hit = np.flatnonzero(at < end[known])
+            hit = hit[successors[at[hit]] == want[hit]]
             out[known[hit]] = codes[at[hit]]
             rows.append(("codes", block, shard, _squeeze(out), 0))
         del contexts, pointers, words, successors, codes, arrays
@@ -287,7 +292,7 @@ def _build_pairs(asked: list[tuple], mu: float, hot: dict[int, int]) -> list[np.
     counts = np.concatenate([a[3] for a in asked])
     learned = counts > 0
     counts = counts[learned].astype(np.int64)
-    contexts, row = np.unique(np.concatenate([a[1] for a in asked])[learned], return_inverse=True)
+    contexts, row = np.unique(np.concatenate([np.repeat(a[1], a[4]) for a in asked])[learned], return_inverse=True)
     words, word = np.unique(np.concatenate([a[2] for a in asked])[learned], return_inverse=True)
     relative, at = np.unique(row.astype(U64) * U64(max(1, len(words))) + word.astype(U64), return_inverse=True)
     total = np.bincount(at, weights=counts, minlength=len(relative)) if len(relative) else np.empty(0)
