@@ -38,7 +38,7 @@ from .elias_fano import EliasFano, pack, unpack
 END = mix(np.array([0x656E64], U64))
 BLOCK_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
 #: Strength of the word distribution in a context; a few hundred suits contexts of all sizes.
-MU = 30.0
+MU = 300.0
 _DECADES, _STEPS = 12.0, 65_534
 _ROW = "kind string, block string, shard int, data binary, n long"
 #: Contexts kept on the driver are at most so many (16 bytes each).
