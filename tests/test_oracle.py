@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from driftspan.plans import registry
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame):
     def cell(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "-"
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             return f"{float(v):.6f}"
