@@ -18,7 +18,9 @@ their rank among the pieces of their length, and the rank gives sequence and off
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -31,19 +33,32 @@ from pyspark.sql import functions as F
 from ._spark import checkpointed
 
 END_ID = 2
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 900_000
 #: Rows ranked together in one task.
 RANK_ROWS = 50_000
 
+#: Marks that never join a letter in a pre-token.
+MARKS = ".,;:!?*$%&#()[]{}\"<>/|=+~^@\\-_"
+
 _CUT = re.compile(r"(?<=\S) ")
 _SPACES = re.compile(r"\s ")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible characters stand for their byte, others for U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     A byte-level pre-tokenizer always cuts before a space that follows another character, so a
-    text is cut there and each part is encoded once while the cache holds it.
+    text is cut there and each part is encoded once while the cache holds it. A part is given to
+    the tokenizer's model by pre-tokens: letters and marks after them are one each, others are cut
+    by the tokenizer's own pre-tokenizer. The cache is two halves: when the newer is full, it becomes the
+    older, whose parts move back when they occur.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,22 +66,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").split(" ") if not _SPACES.search(t or "") else _CUT.split(t) for t in texts]
-        missing = list({p for parts in cut for p in parts[1:] if p not in self.later})
-        if len(self.later) + len(missing) > CACHE_ENTRIES:
-            self.later = {}
-            missing = list({p for parts in cut for p in parts[1:]})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            self.later.update(zip(some, self._encode([" " + p for p in some]), strict=True))
-        heads = self._encode([parts[0] for parts in cut])
-        return [h + b"".join([self.later[p] for p in parts[1:]]) for h, parts in zip(heads, cut, strict=True)]
+        self.model, self.cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.letters = _byte_letters()
+        probe = " \xe9A"
+        self.plain = self.tokenizer.normalizer is None and self.cut is not None and [x for x, _ in self.cut.pre_tokenize_str(probe)] == [self._mapped(probe)]
+        self.plain = self.plain and sys.byteorder == "little" and array("I").itemsize == 4
+        self.line = self._ids("\n")
+        self.runs: dict[str, bytes] = {}
+        self.newer: dict[str, bytes] = _Parts(self)
+        self.older: dict[str, bytes] = {}
+
+    def _mapped(self, text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _tokens(self, pre: str) -> bytes:
+        """Ids of one pre-token in the byte-level alphabet."""
+        return array("I", [t.id for t in self.model.tokenize(pre)]).tobytes()
+
+    def _run(self, text: str) -> bytes:
+        """Ids of a run of letters, with or without a space before it, or of marks."""
+        ids = self.runs.get(text)
+        if ids is None:
+            if len(self.runs) >= CACHE_ENTRIES // 2:
+                self.runs = {}
+            ids = self.runs[text] = self._tokens(self._mapped(text))
+        return ids
+
+    def _piece(self, space: str, text: str) -> bytes:
+        """Letters and then marks are two pre-tokens; whatever else is cut by the pre-tokenizer."""
+        word = text.rstrip(MARKS)
+        if word.isalpha():
+            marks = text[len(word) :]
+            return self._run(space + word) + self._run(marks) if marks else self._run(space + word)
+        return b"".join([self._tokens(x) for x, _ in self.cut.pre_tokenize_str(space + text)])
+
+    def part(self, p: str) -> bytes:
+        """Ids of a part with the space before it."""
+        ids = self.older.get(p)
+        if ids is not None:
+            return ids
+        if not self.plain or max(p, default=" ") > "\u0250":  # letters of other scripts
+            return self._ids(" " + p)
+        if "\n" not in p:
+            return self._piece(" ", p)
+        if all(lines := p.split("\n")) and len(p.split()) == len(lines):  # single line breaks between words stand alone
+            return self.line.join([self._piece(" " if i == 0 else "", x) for i, x in enumerate(lines)])
+        return b"".join([self._tokens(x) for x, _ in self.cut.pre_tokenize_str(" " + p)])
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(self.newer) > CACHE_ENTRIES // 2:
+            self.older, self.newer = self.newer, _Parts(self)
+        head, *rest = text.split(" ") if not _SPACES.search(text) else _CUT.split(text)
+        return self._ids(head) + b"".join(map(self.newer.__getitem__, rest))
+
+
+class _Parts(dict):
+    """Parts by text; one that is missing is encoded and kept."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, p: str) -> bytes:
+        ids = self[p] = self.encoder.part(p)
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -93,8 +160,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 source, number, start, length, out = [], [], [], [], []
-                for i, data in enumerate(encode(part.column(1).to_pylist())):
-                    data += end
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    data = encode(text) + end
                     n = len(data) // 4
                     count = -(-n // capacity)
                     for k in range(count):
