@@ -16,18 +16,18 @@ from driftspan.llm import decontaminate, jaccard, langid, packing
 from driftspan.llm.entry import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose language is less certain than this is rejected; und (no letters) always is.
-LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: und, or a score below LEAST_SCORE.
+    """Drops documents without letters, null texts among them; lang of the rest becomes the predicted one.
 
-    lang of the rest becomes the predicted language. Learned from the documents' own labels.
+    Learned from the documents' own labels. The score does not decide: it sets the label's whole
+    prior against tempered evidence, so that it is low for short texts of a rare label. Where no
+    document has a label, those with letters stay as und.
     """
     model = langid.train(docs, "text", "lang")
     found = langid.predict(docs, model, keep=[F.col("text"), F.col("source"), F.col("n_chars")])
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) | F.col("text").rlike("\\p{L}")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

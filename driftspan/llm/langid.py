@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 CELL_BITS = 16
 ORDERS = (1, 2, 3)
-#: The model holds at most so many languages, the most frequent ones.
+#: The model holds at most so many languages; more are refused.
 MOST_LANGUAGES = 256
 SLICE_CHARS = 1 << 19
 UNKNOWN = "und"
@@ -71,9 +71,12 @@ def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = CELL_BITS,
     """The model of all rows with a text and a language.
 
     Counts are per language and cell: at most MOST_LANGUAGES * 2**bits rows come to the driver.
+    More than MOST_LANGUAGES languages are a ValueError; none is left out.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(prior) > MOST_LANGUAGES:
+        raise ValueError(f"column {lang_col} has more than {MOST_LANGUAGES} languages")
     languages = sorted(prior)
     place = {x: i for i, x in enumerate(languages)}
     size = 1 << bits
