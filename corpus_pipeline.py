@@ -13,11 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.llm import decontaminate, jaccard, langid, packing
+from driftspan.llm._spark import checkpointed
 from driftspan.llm.entry import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters, null texts among them; lang of the rest becomes the predicted one.
 
@@ -31,15 +38,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group: 5-word shingles, Jaccard of 0.8 or more."""
-    groups = jaccard.jaccard_groups(docs, n=5, num=80, den=100).select(F.col("doc_id").alias("kept_id"), "component_id").filter("kept_id = component_id").select("kept_id").distinct()
-    return docs.join(groups, docs.doc_id == groups.kept_id, "left_semi").select(*COLUMNS)
+    """Keeps one row of each group: 5-word shingles, Jaccard of 0.8 or more.
+
+    It is the row with the smallest id, null ids last, and of several with that id any one. Rows
+    are told apart by a written number, so neither null nor repeated ids matter otherwise. Texts
+    without words are in no group and stay.
+    """
+    at = f"{scratch(spark)}/rows"
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")).write.option("compression", "zstd").parquet(at)
+    rows = spark.read.parquet(at)
+    groups = jaccard.jaccard_groups(rows, "row", n=5, num=80, den=100).select("row", "component_id").join(rows.select("row", "doc_id"), "row")
+    groups = checkpointed(groups)
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
+    dropped = checkpointed(groups.select("row").join(kept, "row", "left_anti"))
+    if dropped.count() <= jaccard.BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 10 words in a row of a benchmark item."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10).filter("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(found, docs.doc_id == found.bad_id, "left_anti").select(*COLUMNS)
+    """Drops rows that hold 10 words in a row of a benchmark item, whatever their ids."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, keep=COLUMNS)
+    return found.filter("n_hit = 0").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +75,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all documents; each stage is written before the next reads it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    base = scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
-        at = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        at = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,6 +15,7 @@ hashes, so nothing that grows with benchmark or corpus is broadcast unchecked.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -153,36 +154,39 @@ def _hits(words: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> lis
     return [(a + s, a + e) for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if e - s >= min(width, len(item))]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
-    """One row per document: id_col, n_words, n_hit, items (sorted texts), spans (start, end).
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: id_col, the `keep` columns, n_words, n_hit, items (sorted texts), spans (start, end).
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z lower-cased.
     A window is `width` words of an item in a row, or a whole shorter item; spans are the document
     words inside any occurrence, merged, end exclusive.
 
     Null and empty texts have no words and no hits, items without words or with a null id none
-    either. Repeated documents come back once each with the same result; rows that share an id
-    but not the text are looked at with each other's candidates, which changes nothing. Items that
-    repeat an id with other texts are all looked for. Other columns are ignored. A document with a
-    null id is returned with its n_words, unsearched.
+    either. Only a row's text decides: documents are searched by a hash of id and text, and rows
+    that share it are looked at with each other's candidates, which changes nothing. So repeated
+    and null ids come back once each with the result of their own text. Items that repeat an id
+    with other texts are all looked for. Other columns are ignored.
     """
+    columns = list(dict.fromkeys([id_col, *keep]))
+    picked = docs.select(*columns, *[] if text_col in columns else [text_col]).withColumn("__doc", F.xxhash64(id_col, text_col))
     items = checkpointed(item_words(benchmark, item_col, item_text_col))
     counts = term_counts(docs, text_col, items.select(F.explode("words").alias("term")))
     items_numbered = items.withColumn("item", F.xxhash64("item_id", "words"))
     places = checkpointed(anchors(items_numbered.select(F.col("item").alias("item_id"), "words"), counts, width))
-    index = positional_index(docs, id_col, text_col, places)
+    index = positional_index(picked, "__doc", text_col, places)
     found = diagonals(index, places).join(items_numbered.select("item", F.col("item_id").alias("name"), "words"), F.col("item_id") == F.col("item"))
     found = found.groupBy("doc").agg(F.collect_list(F.struct("name", "words", "diagonals")).alias("candidates"))
-    found = checkpointed(found)
-    words = found.agg(F.sum(F.aggregate("candidates", F.lit(0).cast("long"), lambda n, c: n + F.size(c["words"]) + F.size(c["diagonals"])))).first()[0] or 0
+    found = checkpointed(found.select(F.col("doc").alias("__doc"), F.col("candidates").alias("__candidates")))
+    words = found.agg(F.sum(F.aggregate("__candidates", F.lit(0).cast("long"), lambda n, c: n + F.size(c["words"]) + F.size(c["diagonals"])))).first()[0] or 0
     if words <= BROADCAST_WORDS:
         found = F.broadcast(found)
-    joined = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(found, "doc", "left").select("doc", "text", "candidates")
+    joined = picked.join(found, "__doc", "left").drop("__doc")
+    at, schema, n_columns = joined.columns.index(text_col), joined.select(*columns).schema, len(columns)
 
     def verify(batches):
         for batch in batches:
             n_words, n_hit, names, spans = [], [], [], []
-            for words, candidates in zip(hashed_texts(batch.column(1), ALNUM), batch.column(2).to_pylist(), strict=True):
+            for words, candidates in zip(hashed_texts(batch.column(at), ALNUM), batch.column(-1).to_pylist(), strict=True):
                 marks, own = np.zeros(len(words) + 1, np.int64), set()
                 words = words.view(np.int64)
                 for c in candidates or ():
@@ -199,13 +203,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 names.append(sorted(own))
                 spans.append([{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=["doc", "n_words", "n_hit", "items", "spans"],
+                [*batch.columns[:n_columns], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                names=[*columns, "n_words", "n_hit", "items", "spans"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(verify, f"doc {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
-    return out.withColumnRenamed("doc", id_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return joined.mapInArrow(verify, f"{kinds}, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>")
 
 
 def digest(items: list[str]) -> str:
