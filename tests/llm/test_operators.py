@@ -2,6 +2,7 @@
 and clashing column names."""
 
 import sys
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -97,8 +98,7 @@ def test_packing(spark):
 
     path = entry.tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    odd = [(900, "  lead"), (901, "x \n y\n\nz"), (902, "a   b\tc\n d 'tis it's"), (903, "日本語 テスト ü"), (904, "<|endoftext|> hi"), (905, "\x1c \x85 x"), (906, "tail ")]
+    odd = [(900, "  lead"), (901, "x \n y\n\nz"), (902, "a   b\tc\n d 'tis it's"), (903, "日本語 テスト ü"), (904, "<|endoftext|> hi"), (905, "\x1c \x85 x"), (906, "tail "), (907, "see a\n\xa0 b"), (908, "price list\n\xa0\xa0item one"), (909, "x <|endoftext|> y"), (None, "no id"), (910, "twice"), (910, "twice"), (911, "é" * 40_000)]
     docs = DOCS + odd
     for ids in (True, False):
         got = packing.pack(frame(spark, docs), path, capacity=64, ids=ids).collect()
@@ -107,18 +107,36 @@ def test_packing(spark):
             assert r["offset"] == ends.get(r["sequence_id"], 0)
             ends[r["sequence_id"]] = r["offset"] + r["length"]
         assert max(ends.values()) <= 64
-        for r in sorted(got, key=lambda r: r["piece"]):
+        for r in sorted(got, key=lambda r: (r["piece"], r["start"])):
             of.setdefault(r["doc_id"], []).append(r)
         for i, x in docs:
-            want = t.encode(x or "", add_special_tokens=False).ids + [2]
-            assert [r["start"] for r in of[i]] == [sum(q["length"] for q in of[i][:k]) for k in range(len(of[i]))] and sum(r["length"] for r in of[i]) == len(want)
-            assert all(r["length"] == 64 for r in of[i][1:])
-            if ids:
-                assert b"".join(bytes(r["ids"]) for r in of[i]) == np.array(want, "<u4").tobytes()
+            want, copies = np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4"), 2 if i == 910 else 1
+            assert sum(r["length"] for r in of[i]) == len(want) * copies and all(r["length"] == 64 for r in of[i] if r["piece"])
+            own = of[i][::copies]
+            assert [r["start"] for r in own] == [sum(q["length"] for q in own[:k]) for k in range(len(own))]
+            cut = [want[r["start"] : r["start"] + r["length"]].tobytes() for r in own]
+            assert [bytes(r["ids"]) if ids else r["ids_crc32"] for r in own] == (cut if ids else [zlib.crc32(c) for c in cut])
         assert len(ends) <= -(-sum(ends.values()) // 64) + 1
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = entry.tokenizer("byte_bpe_50k.json")
+    t, encode, r = Tokenizer.from_file(path), packing.Encoder(path), random.Random(1)
+    assert encode.fast
+    atoms = [" ", "  ", "\n", "\r\n", "\t", "\xa0", "\x85", "\x1c", "'s", "'ll", "it's", "word", "A", "é", "ß", "1", "²", "½", "ª", "12", "...", "!", "<p>", "</p>", "&nbsp;", "<|endoftext|>", "<|", "_", "-", "’", "—", "日本", "ж", "€", "\x00", "\xad", "\ufeff", "\u200b", "\u0300"]
+    texts = ["".join(r.choice(atoms) for _ in range(r.randint(1, 9))) for _ in range(100_000)]
+    texts += [x for c in map(chr, range(0x2100)) for x in (c, f"a{c}b {c}1")] + ["a" * 300_000, " " * 300_000, "ab " * 500_000]
+    for x in texts:
+        assert encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x[:60])
+    other = packing.Encoder(entry.tokenizer("word_bpe_49k.json"))
+    assert other.fast is None and other("Hello") == np.array(other.tokenizer.encode("Hello", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def best_bins(lengths, capacity):
     """The least number of bins by search."""
     lengths = sorted(lengths, reverse=True)
@@ -205,6 +223,36 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(probe, none).collect()} == {"und"} and langid.predict(probe.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("text_kept", [False, True])
+def test_language_against_brute_force(spark, text_kept):
+    import math
+
+    r = np.random.default_rng(8)
+    words = {"x": ["alpha", "beta", "Gamma", "ça"], "y": ["beta", "delta", "epsilon", "ñu"], "z": ["zeta", "eta", "gamma"]}
+    rows = [(i, " ".join(r.choice(words[k], r.integers(1, 30))) + r.choice(["", "!", "  12\n"]), k) for i, k in enumerate(r.choice(list("xxxyz"), 120))]
+    docs = spark.createDataFrame([(i, t, k, "n") for i, t, k in rows], "doc_id long, text string, lang string, score string").repartition(3)
+    bits, orders = 12, (1, 2, 3)
+
+    def cells(t):
+        points = langid._normal(np.frombuffer(f" {t.lower()}  ".encode("utf-32-le"), "<u4"))
+        return [c for o in orders for c, blank in zip(langid._cells(points, o, bits), langid._blank(points, o), strict=True) if not blank]
+
+    counts = {k: np.full(1 << bits, 0.5) for k in words}
+    for _, t, k in rows:
+        for c in cells(t):
+            counts[k][c] += 1
+    prior = {k: math.log(sum(x[2] == k for x in rows) / len(rows)) for k in words}
+    model = langid.train(docs, "text", "lang", bits=bits)
+    found = langid.predict(docs, model, keep=[F.col("text"), F.col("lang")] if text_kept else None).collect()
+    texts = {i: t for i, t, _ in rows}
+    for f in found:
+        c = cells(texts[f["doc_id"]])
+        log = {k: sum(math.log(counts[k][x] / counts[k].sum()) for x in c) for k in words}
+        best = max(sorted(words), key=lambda k: log[k] + prior[k])
+        post = {k: log[k] / math.sqrt(len(texts[f["doc_id"]]) + 3) + prior[k] for k in words}
+        assert f["lang_pred"] == best and abs(f["score"] - 1 / sum(math.exp(post[k] - post[best]) for k in words)) < 1e-4
+
+
 def test_token_counts(spark):
     scores = {"▁": -1.0, "▁a": -1.5, "a": -2.0, "ab": -2.2, "b": -2.5, "▁ab": -3.0, "aba": -9.0}
 
