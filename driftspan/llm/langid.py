@@ -32,10 +32,13 @@ class Model:
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, code points, bounds) of runs of whole lower-cased texts, each between spaces."""
+    """(first row, code points, bounds) of runs of whole lower-cased texts, each between spaces.
+
+    Two spaces end a text, so that all n-grams that reach into the next text begin with blanks.
+    """
     lo, held, parts = 0, 0, []
     for i, t in enumerate(texts):
-        parts.append(f" {(t or '').lower()} ")
+        parts.append(f" {(t or '').lower()}  ")
         held += len(parts[-1])
         if held >= SLICE_CHARS or i == len(texts) - 1:
             yield lo, np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4"), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
@@ -89,7 +92,6 @@ def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = CELL_BITS,
                 points = _normal(points)
                 owner = np.array([place.get(x, -1) for x in names[lo : lo + len(bounds) - 1]])
                 for lang in set(owner.tolist()) - {-1}:
-                    # the texts of one language side by side; n-grams that cross texts have a space inside as at any word's end
                     own = np.concatenate([points[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(owner == lang)])
                     total = counts.setdefault(lang, np.zeros(size, np.int64))
                     for order in orders:
@@ -106,6 +108,28 @@ def train(docs: DataFrame, text_col: str, lang_col: str, bits: int = CELL_BITS,
     return Model(languages, np.log([prior[x] / total for x in languages] or [1.0]), np.log(smooth).astype(np.float32))
 
 
+def _sparse_counts(points: np.ndarray, bounds: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, cells, counts): each text's distinct n-gram cells in order, and how often it has them."""
+    owner = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds)) << np.uint64(bits)
+    keys = []
+    for order in orders:
+        cells = _cells(points, order, bits)
+        use = np.flatnonzero(~_blank(points, order)) if len(cells) else np.empty(0, np.int64)
+        keys.append(owner[use] | cells[use].astype(np.uint64))
+    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+    return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64), counts
+
+
+def _times(rows: np.ndarray, cells: np.ndarray, counts: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
+    """The sparse rows times a matrix of cells by columns, in double precision."""
+    out = np.zeros((n, matrix.shape[1]))
+    if len(rows):
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        for k in range(matrix.shape[1]):
+            out[rows[starts], k] = np.add.reduceat(counts * matrix[:, k][cells].astype(np.float64), starts)
+    return out
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, bits: int = CELL_BITS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """One row per input row: id_col, the `keep` columns, lang_pred and score.
 
@@ -113,33 +137,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     is that posterior of the text's mean n-gram times the square root of their number, so it is 0
     to 1 and does not saturate with length. A null text or one without a letter is `und` with
     score 0; so is everything when nothing was learned. Repeated rows and null ids come back once
-    each. Only the text decides. An empty table gives none.
+    each. Only the text decides. A `keep` column of the name text_col is taken as the text itself,
+    which then goes to the workers once. An empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col(id_col), *(keep or []), F.col(text_col).alias("__text"))
-    schema = picked.drop("__text").schema
+    picked = docs.select(F.col(id_col), *(keep or []))
+    schema = picked.schema
     width = len(schema)
+    if text_col in schema.names:
+        at = schema.names.index(text_col)
+    else:
+        picked, at = docs.select(F.col(id_col), *(keep or []), F.col(text_col).alias("__text")), width
 
     def run(batches):
         m = shared.value
         for batch in batches:
             langs, scores = [], []
-            texts = batch.column(width).to_pylist()
+            texts = batch.column(at).to_pylist()
             for lo, raw, bounds in _slices(texts):
-                points = _normal(raw)
-                starts = bounds[:-1]
-                sums = np.zeros((len(starts), len(m.log_prior)))
-                for order in orders:
-                    cells = _cells(points, order, len(m.log_probability).bit_length() - 1)
-                    if not len(cells):
-                        continue
-                    # sparse rows of counts times the matrix, text by text
-                    edges = np.minimum(np.concatenate([starts, bounds[-1:]]), len(cells))
-                    use = np.flatnonzero(~_blank(points, order))
-                    at = np.searchsorted(use, edges)
-                    for k in range(sums.shape[1]):
-                        acc = np.concatenate([[0.0], np.cumsum(m.log_probability[:, k][cells[use]], dtype=np.float64)])
-                        sums[:, k] += acc[at[1:]] - acc[at[:-1]]
+                rows, cells, counts = _sparse_counts(_normal(raw), bounds, orders, len(m.log_probability).bit_length() - 1)
+                sums = _times(rows, cells, counts, m.log_probability, len(bounds) - 1)
                 n = np.maximum(np.diff(bounds), 1).astype(np.float64)
                 best = np.argmax(sums + m.log_prior, axis=1)
                 tempered = sums / np.sqrt(n)[:, None] + m.log_prior
