@@ -6,14 +6,13 @@ columns of documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.llm import decontaminate, jaccard, langid, packing
-from driftspan.llm._spark import checkpointed
+from driftspan.llm._spark import bounded_batches, checkpointed, shared_folder
 from driftspan.llm.entry import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,8 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    return f"{shared_folder(bounded_batches(spark)).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prior against tempered evidence, so that it is low for short texts of a rare label. Where no
     document has a label, those with letters stay as und.
     """
+    bounded_batches(spark)
     model = langid.train(docs, "text", "lang")
     found = langid.predict(docs, model, keep=[F.col("text"), F.col("source"), F.col("n_chars")])
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) | F.col("text").rlike("\\p{L}")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -58,12 +63,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold 10 words in a row of a benchmark item, whatever their ids."""
+    bounded_batches(spark)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, keep=COLUMNS)
     return found.filter("n_hit = 0").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents as pieces of sequences of 1024 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, ids=False)
 
 
@@ -74,11 +81,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over all documents; each stage is written before the next reads it."""
-    base = scratch(spark)
+    """The last stage's rows over all documents; each stage is written before the next reads it.
+
+    A stage's input goes when its output stands; the last stage's stays, as its rows are read later.
+    """
+    base, last = scratch(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         at = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
     return STAGES[-1][1](spark, docs, sf_dir)
