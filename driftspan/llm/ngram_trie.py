@@ -2,10 +2,11 @@
 
 Text goes through Spark as blocks of a few million tokens. A block sends its distinct words and
 its distinct word pairs, never its text, to the shards of two trie levels, so a frequent word or
-pair is one entry per block:
+pair is one entry per block. Blocks and shards both grow with the square root of the corpus, so
+that a message has some hundreds of pairs however large it is, and messages grow in proportion:
 
 - level 1, sharded by word: the word hashes as an Elias-Fano sequence, with their counts;
-- level 2, sharded by context word (a context above SHARD_TOKENS / 8 counts by pair): contexts and
+- level 2, sharded by context word (a context with above an eighth of a shard's tokens by pair): contexts and
   their pointers into the successors are Elias-Fano sequences, and so are the successors, each
   given relative to its context and made monotone by the context's rank; a leaf has the
   quantised log probability count(context, word) / (count(context) + mu).
@@ -18,6 +19,7 @@ the quantisation (a 65,000th of twelve decades). The first word's context is the
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from collections.abc import Iterator
@@ -36,7 +38,10 @@ from ._text import SPACED, U64, hashed_texts, mix
 from .elias_fano import EliasFano, pack, unpack
 
 END = mix(np.array([0x656E64], U64))
-BLOCK_TOKENS, SHARD_TOKENS = 4_000_000, 4_000_000
+#: Tokens of a block and of a shard at least, and pairs that a block sends to a shard on average.
+SIDE_TOKENS, MESSAGE_PAIRS = 4_000_000, 512
+#: UTF-8 bytes of a token, to size the blocks before there are tokens.
+TOKEN_BYTES = 6
 #: Strength of the word distribution in a context; a few hundred suits contexts of all sizes.
 MU = 300.0
 _DECADES, _STEPS = 12.0, 65_534
@@ -53,20 +58,29 @@ def _expand(data: bytes) -> list[np.ndarray]:
     return unpack(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _squeeze_block(tokens: np.ndarray, sizes: np.ndarray) -> bytes:
-    """A block's tokens as ranks of its words by frequency, byte by byte, so that they compress."""
-    words, places, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+def _by_frequency(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(distinct values, most frequent first, each value's place among them byte by byte, so that they compress)."""
+    own, places, counts = np.unique(values, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(words), "<u4")
-    rank[order] = np.arange(len(words), dtype="<u4")
+    rank = np.empty(len(own), "<u4")
+    rank[order] = np.arange(len(own), dtype="<u4")
     planes = rank[places].view(np.uint8).reshape(-1, 4)
-    return _squeeze(words[order], *[np.ascontiguousarray(planes[:, k]) for k in range(4)], sizes)
+    return own[order], [np.ascontiguousarray(planes[:, k]) for k in range(4)]
+
+
+def _from_planes(planes: list[np.ndarray]) -> np.ndarray:
+    return np.stack(planes, axis=1).reshape(-1).view("<u4")
+
+
+def _squeeze_block(tokens: np.ndarray, sizes: np.ndarray) -> bytes:
+    words, planes = _by_frequency(tokens)
+    return _squeeze(words, *planes, sizes)
 
 
 def _expand_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted words, each token's place among them, token counts of the documents)."""
     words, *planes, sizes = _expand(data)
-    ranks = np.stack(planes, axis=1).reshape(-1).view("<u4")
+    ranks = _from_planes(planes)
     order = np.argsort(words)
     place = np.empty(len(words), np.uint32)
     place[order] = np.arange(len(words), dtype=np.uint32)
@@ -106,15 +120,22 @@ class NgramTrie:
     n_tokens: int
     n_types: int
     shards: int
-    hot: dict[int, int]
+    hot: tuple[np.ndarray, np.ndarray]
     mu: float
 
 
+def side_tokens(n_tokens: int) -> int:
+    """How many tokens blocks and shards have: n / side of each send (n / side)**2 messages, n / MESSAGE_PAIRS at most."""
+    return max(SIDE_TOKENS, math.isqrt(MESSAGE_PAIRS * n_tokens))
+
+
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
     """(block, ids, held_out, data, n, n_train): documents as tokens of a block.
 
-    data: the words' hashes, each token's word, each document's token count.
+    data: the words' hashes, each token's word, each document's token count. A block lies in one
+    partition of docs, so for large corpora these should be as large (spark.sql.files.maxPartitionBytes).
     """
+    most = side_tokens((docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // TOKEN_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def build(batches):
@@ -138,7 +159,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) ->
                 words.append(w.copy())
                 marks.append(bool(batch.column(2)[i].as_py()))
                 held += len(w) + 1
-                if held >= BLOCK_TOKENS:
+                if held >= most:
                     ids.append(batch.column(0).slice(lo, i + 1 - lo))
                     lo = i + 1
                     yield block()
@@ -169,11 +190,11 @@ def _pairs(places: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return (before << U64(32)) | places.astype(U64)
 
 
-def _pair_shards(vocabulary: np.ndarray, pairs: np.ndarray, shards: int, hot: dict[int, int]) -> np.ndarray:
+def _pair_shards(vocabulary: np.ndarray, pairs: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
     own = _shard_of(vocabulary, shards)
     out = own[(pairs >> U64(32)).astype(np.int64)]
-    if hot:
-        spread = np.isin(vocabulary, np.array(list(hot), np.int64).view(U64))[(pairs >> U64(32)).astype(np.int64)]
+    if len(hot):
+        spread = np.isin(vocabulary, hot)[(pairs >> U64(32)).astype(np.int64)]
         out[spread] = (out[spread] + own[(pairs[spread] & U64(0xFFFFFFFF)).astype(np.int64)]) % shards
     return out
 
@@ -190,7 +211,7 @@ def _send_words(shards: int):
     return send
 
 
-def _send_pairs(shards: int, hot: dict[int, int]):
+def _send_pairs(shards: int, hot):
     def send(batches):
         for batch in batches:
             for block, marks, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -201,7 +222,7 @@ def _send_pairs(shards: int, hot: dict[int, int]):
                 learned, n = np.unique(every[_learned(marks, places, sizes)], return_counts=True)
                 counts = np.zeros(len(pairs), np.uint32)
                 counts[np.searchsorted(pairs, learned)] = n
-                to = _pair_shards(vocabulary, pairs, shards, hot)
+                to = _pair_shards(vocabulary, pairs, shards, hot.value[0])
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(shards + 1))
                 rows = []
@@ -209,24 +230,13 @@ def _send_pairs(shards: int, hot: dict[int, int]):
                     if a < b:
                         own = pairs[order[a:b]]
                         contexts, runs = np.unique(own >> U64(32), return_counts=True)
-                        words = vocabulary[(own & U64(0xFFFFFFFF)).astype(np.int64)]
-                        rows.append(("ask", block, s, _squeeze(vocabulary[contexts.astype(np.int64)], runs.astype(np.uint32), _six_bytes(words), counts[order[a:b]]), 0))
+                        words, planes = _by_frequency((own & U64(0xFFFFFFFF)).astype(np.int64))
+                        rows.append(("ask", block, s, _squeeze(vocabulary[contexts.astype(np.int64)], runs.astype(np.uint32), vocabulary[words], *planes, counts[order[a:b]]), 0))
                 yield from _rows(rows).to_batches()
 
     return send
 
 
-def _six_bytes(words: np.ndarray) -> np.ndarray:
-    """The top 48 bits of each; successors of one context are told apart by them."""
-    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).reshape(-1)
-
-
-def _from_six_bytes(data: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = data.reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def _word_level(table: pa.Table, least: int) -> pa.Table:
     """Builds or takes one shard of level 1 and answers the blocks that ask with counts."""
     shard = table.column("shard")[0].as_py()
@@ -252,19 +262,20 @@ def _word_level(table: pa.Table, least: int) -> pa.Table:
     return _rows(rows)
 
 
-def _pair_level(table: pa.Table, mu: float, hot: dict[int, int]) -> pa.Table:
-    """Builds or takes one shard of level 2 and answers the blocks that ask with leaf codes."""
+def _pair_level(table: pa.Table, mu: float, hot: tuple[np.ndarray, np.ndarray], keep: bool) -> pa.Table:
+    """Builds or takes one shard of level 2 and gives it (keep) or answers the blocks that ask with leaf codes."""
     shard = table.column("shard")[0].as_py()
     asked, level, rows = [], None, []
     for kind, block, data in zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("data").to_pylist(), strict=True):
         if kind == "level2":
             level = unpack(data)
         else:
-            contexts, runs, words, counts = _expand(data)
-            asked.append((block, contexts, _from_six_bytes(words), counts, runs))
+            contexts, runs, words, *planes, counts = _expand(data)
+            asked.append((block, contexts, words[_from_planes(planes)], counts, runs))
     if level is None:
         level = _build_pairs(asked, mu, hot)
-        rows.append(("level2", None, shard, pack(level), len(level[-1])))
+    if keep:
+        return _rows([("level2", None, shard, pack(level), len(level[-1]))])
     with mapped(level) as arrays:
         contexts, pointers, words, successors = (EliasFano(*arrays[3 * k : 3 * k + 3]) for k in range(4))
         codes = arrays[12]
@@ -288,7 +299,7 @@ def _pair_level(table: pa.Table, mu: float, hot: dict[int, int]) -> pa.Table:
     return _rows(rows)
 
 
-def _build_pairs(asked: list[tuple], mu: float, hot: dict[int, int]) -> list[np.ndarray]:
+def _build_pairs(asked: list[tuple], mu: float, hot: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     counts = np.concatenate([a[3] for a in asked])
     learned = counts > 0
     counts = counts[learned].astype(np.int64)
@@ -298,15 +309,16 @@ def _build_pairs(asked: list[tuple], mu: float, hot: dict[int, int]) -> list[np.
     total = np.bincount(at, weights=counts, minlength=len(relative)) if len(relative) else np.empty(0)
     row = (relative // U64(max(1, len(words)))).astype(np.int64)
     of_context = np.bincount(row, weights=total, minlength=len(contexts)) if len(relative) else np.empty(0)
-    if hot:  # these contexts have successors in other shards too
-        names = contexts.view(np.int64).tolist()
-        of_context = np.array([hot.get(c, n) for c, n in zip(names, of_context.tolist(), strict=True)])
+    names, totals = hot
+    if len(names) and len(contexts):  # these contexts have successors in other shards too
+        near = np.minimum(np.searchsorted(names, contexts), len(names) - 1)
+        of_context = np.where(names[near] == contexts, totals[near], of_context)
     pointers = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(contexts)))]).astype(U64)
     codes = _quantise(total / (of_context[row] + mu)) if len(relative) else np.empty(0, np.uint16)
     return [x for v in (contexts, pointers, words, relative) for x in EliasFano.build(v).to_arrays()] + [codes]
 
 
-def _score(table: pa.Table, n_tokens: int, n_types: int, shards: int, hot: dict[int, int], mu: float) -> pa.Table:
+def _score(table: pa.Table, n_tokens: int, n_types: int, shards: int, hot: np.ndarray, mu: float) -> pa.Table:
     """Scores of one block's documents from the answers of both levels."""
     counts, codes, own = {}, {}, None
     for i, kind in enumerate(table.column("kind").to_pylist()):
@@ -331,28 +343,39 @@ def _score(table: pa.Table, n_tokens: int, n_types: int, shards: int, hot: dict[
     return pa.table(out, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _by_shard(rows: DataFrame, shards: int):
+    """Rows grouped by shard, each shard a partition of its own."""
+    return rows.repartitionById(shards, F.col("shard")).groupBy("shard")
+
+
 def _apply(blocks: DataFrame, id_col: str, kind: str, model: NgramTrie | None, n_tokens: int, shards: int, mu: float) -> tuple[DataFrame, NgramTrie]:
-    source = blocks.select("block", "held_out", "data")
-    least = max(n_tokens // MOST_HOT, SHARD_TOKENS // 8)
+    source, context = blocks.select("block", "held_out", "data"), blocks.sparkSession.sparkContext
+    least = max(n_tokens // MOST_HOT, n_tokens // (8 * shards))
     asks = source.mapInArrow(_send_words(shards), _ROW)
     if model:
         asks = asks.union(model.levels.filter("kind = 'level1'"))
-    first = checkpointed(asks.groupBy("shard").applyInArrow(lambda t: _word_level(t, least), _ROW))
+    first = checkpointed(_by_shard(asks, shards).applyInArrow(lambda t: _word_level(t, least), _ROW))
     if model:
         n_types, hot = model.n_types, model.hot
     else:
         n_types = first.filter("kind = 'level1'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        hot = {int(np.frombuffer(r["data"], np.int64)[0]): r["n"] for r in first.filter("kind = 'hot'").select("data", "n").collect()}  # n_tokens / least at most
-    asks = source.mapInArrow(_send_pairs(shards, hot), _ROW)
+        found = first.filter("kind = 'hot'").select("data", "n").collect()  # MOST_HOT and n_tokens / least rows at most
+        names, totals = np.frombuffer(b"".join(bytes(r["data"]) for r in found), U64), np.array([r["n"] for r in found], np.int64)
+        hot = (names[np.argsort(names)], totals[np.argsort(names)])
+    shared = context.broadcast(hot)
+    asks = source.mapInArrow(_send_pairs(shards, shared), _ROW)
     if model:
         asks = asks.union(model.levels.filter("kind = 'level2'"))
-    second = checkpointed(asks.groupBy("shard").applyInArrow(lambda t: _pair_level(t, mu, hot), _ROW))
+
+    def second(keep: bool) -> DataFrame:
+        return _by_shard(asks, shards).applyInArrow(lambda t: _pair_level(t, mu, shared.value, keep), _ROW)
+
     if not model:
-        model = NgramTrie(first.filter("kind = 'level1'").union(second.filter("kind = 'level2'")), n_tokens, n_types, shards, hot, mu)
+        model = NgramTrie(first.filter("kind = 'level1'").union(second(True)), n_tokens, n_types, shards, hot, mu)
     empty = blocks.select("ids", "held_out").schema
-    answers = first.filter("kind = 'counts'").union(second.filter("kind = 'codes'")).select("kind", "block", "shard", "data", F.lit(None).cast(empty["ids"].dataType).alias("ids"), F.lit(None).cast(empty["held_out"].dataType).alias("held_out"))
+    answers = first.filter("kind = 'counts'").union(second(False)).select("kind", "block", "shard", "data", F.lit(None).cast(empty["ids"].dataType).alias("ids"), F.lit(None).cast(empty["held_out"].dataType).alias("held_out"))
     rows = blocks.select(F.lit("block").alias("kind"), "block", F.lit(-1).alias("shard"), "data", "ids", "held_out").union(answers)
-    scores = rows.groupBy("block").applyInArrow(lambda t: _score(t, n_tokens, n_types, shards, hot, mu), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = rows.groupBy("block").applyInArrow(lambda t: _score(t, n_tokens, n_types, shards, shared.value[0], mu), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scores.withColumnRenamed("id", id_col), model
 
 
@@ -364,11 +387,12 @@ def fit_and_score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
     text with A-Z lower-cased, and one end. Null and empty texts are the end alone. Repeated rows
     count and are scored once each; null ids are kept; a null train is false; without training
     rows every token is unknown. Other columns are ignored. Of a table without rows the scores are
-    empty and the model has no tokens.
+    empty and the model has no tokens. The model's second level is made when it is first used:
+    write model.levels to keep it.
     """
     blocks = checkpointed(token_blocks(docs, id_col, text_col, train))
     n_all, n_tokens = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    return _apply(blocks, id_col, docs.schema[id_col].dataType.simpleString(), None, n_tokens, max(1, -(-n_all // SHARD_TOKENS)), mu)
+    return _apply(blocks, id_col, docs.schema[id_col].dataType.simpleString(), None, n_tokens, max(1, -(-n_all // side_tokens(n_all))), mu)
 
 
 def score(docs: DataFrame, model: NgramTrie, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -170,12 +170,12 @@ def test_reduction_loses_nothing():
 
 
 def test_bigram_scores(spark, monkeypatch):
-    monkeypatch.setattr(ngram_trie, "BLOCK_TOKENS", 500)
-    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", 900)
+    monkeypatch.setattr(ngram_trie, "SIDE_TOKENS", 700)
+    monkeypatch.setattr(ngram_trie, "MESSAGE_PAIRS", 5)
     docs = DOCS + [(300 + i, "hot hot hot " + text(9, i)) for i in range(40)]
     scores, model = ngram_trie.fit_and_score(frame(spark, docs), ~(F.crc32(F.col("doc_id").cast("string")) % 5 == 1))
     want = B.bigrams(docs, lambda i: B.crc(i) % 5 != 1, ngram_trie.MU)
-    assert model.shards > 2 and model.hot
+    assert model.shards > 2 and len(model.hot[0])
 
     def near(r, w):
         return (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:3] and abs(r["base_score"] - w[3]) < 1e-6 and abs(r["score"] - w[4]) <= 2e-4 * w[0] + 1e-9
