@@ -6,17 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 24
-CHUNK = 1000
+CHUNK = 200
 
-#: One unit of a string literal: a run of backslashes with what it escapes, or any character.
-UNIT = r"\\+(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[\"'/abefnrtv0NLP_ \r\n]|$)|(?s)."
-#: What an escape's last character stands for.
-ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "a": "\a", "e": "\x1b", "v": "\v", "0": "\0", "N": "\x85", "_": "\xa0", "L": "\u2028", "P": "\u2029"}
+#: What the character after a backslash stands for.
+ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "\t": "\t", "b": "\b", "f": "\f", "a": "\a", "e": "\x1b", "v": "\v", "0": "\0", "N": "\x85", "_": "\xa0", "L": "\u2028", "P": "\u2029"}
+#: White space of Unicode, inside a character class.
+SPACE = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+_HIGH, _LOW = "[dD][89abAB][0-9a-fA-F]{2}", "[dD][c-fC-F][0-9a-fA-F]{2}"
+_CODE = "(?![dD][89a-fA-F])[0-9a-fA-F]{4}"
+#: One unit of a string literal: an escape with what it names, a backslash that names nothing, or a run of others.
+_ONCE = rf"(?s)\\u{_HIGH}\\u{_LOW}|\\u{_CODE}|\\x[0-9a-fA-F]{{2}}|\\U(?:0000(?![dD][89a-fA-F])|000[1-9a-fA-F]|0010)[0-9a-fA-F]{{4}}|\\(?:\r\n|\n|\r)[ \t]*|\\[\"'\\/ abefnrtv0NLP_\t]|\\|[^\\]+"
+#: One unit at any depth: backslashes with what they escape, or one character.
+_DEEP = rf"(?s)\\+u{_HIGH}\\+u{_LOW}|\\+u{_HIGH}|\\+u{_CODE}|\\+(?=u)|\\+(?:\r\n|\n|\r)[ \t]*|\\+[^u\\]|\\+$|."
 
 
 def fold_plain(text: Column) -> Column:
     """Lower case, white-space runs as one space, none at the start."""
-    return F.ltrim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.ltrim(F.regexp_replace(F.lower(text), f"[{SPACE}]+", " "))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once for the row: an expression that a lambda uses is
+    otherwise computed again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def prefix_sums(lengths: Column, block: int = 256) -> Column:
+    """Array of the sums before each entry of an array of lengths.
+
+    Summed in blocks, so that a long array is not copied once for each entry.
+    """
+    grow = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+    def sums(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(x) - 1) / block).cast("int"), F.lit(0))), lambda i: F.slice(x, i * block + 1, block))
+        return let(F.transform(blocks, grow), lambda inner: let(grow(F.transform(inner, lambda y: F.element_at(y, -1))), lambda bases: F.flatten(F.transform(inner, lambda y, i: let(F.get(bases, i), lambda base: F.transform(F.slice(y, 1, F.size(y) - 1), lambda z: z + base))))))
+
+    return let(lengths, sums)
+
+
+def _code_points(hexes: Column, charset: str) -> Column:
+    """The text of a hexadecimal code; whatever is no code reads as a space, so that nothing raises."""
+    digits = 4 if charset == "UTF-16BE" else 8
+    good = hexes.rlike(f"^(?:{_HIGH}{_LOW}|{_CODE})$" if digits == 4 else "^00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4}$")
+    return F.decode(F.unhex(F.when(good, hexes).otherwise("0020".rjust(digits, "0"))), charset)
 
 
 def letters(text: Column) -> Column:
@@ -28,37 +62,63 @@ def good_span(text: Column, min_span: int = K, min_word_chars: int = 20) -> Colu
     return (F.length(text) >= min_span) & (letters(text) >= min_word_chars)
 
 
-def _unit_value(unit: Column) -> Column:
-    """What an escape unit of any depth names; a character stays itself."""
-    last = F.element_at(F.split(unit, ""), -1)
-    coded = F.regexp_extract(unit, r"^\\+[ux]([0-9a-fA-F]+)$", 1)
-    named = F.create_map(*[x for k, v in ESCAPED.items() for x in (F.lit(k), F.lit(v))])
-    return (
-        F.when(~unit.startswith("\\"), unit)
-        .when(unit.rlike(r"^\\+$"), F.lit("\\"))
-        .when(coded != "", F.decode(F.unhex(F.lpad(coded, 4, "0")), "UTF-16BE"))
-        .otherwise(F.coalesce(F.try_element_at(named, last), last))
-    )
-
-
 def unescape_once(text: Column) -> Column:
     """One level of JSON or YAML string escapes undone; escapes that name nothing stay.
 
-    An escaped line break drops the break and the next line's indentation.
+    Two escapes that are a surrogate pair are one character, a surrogate alone stays as written. An
+    escaped line break drops the break and the next line's indentation.
     """
-    units = F.regexp_extract_all(F.regexp_replace(text, r"((?<!\\)(?:\\\\)*)\\\r?\n[ \t]*", "$1"), F.lit(r"(?s)\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|\\[\"'\\/abefnrtv0NLP_ ]|."), F.lit(0))
-    return F.array_join(F.transform(units, lambda u: F.when(u == r"\\", F.lit("\\")).when(F.length(u) > 1, _unit_value(u)).otherwise(u)), "")
+    named = F.create_map(*[x for k, v in ESCAPED.items() for x in (F.lit(k), F.lit(v))])
+
+    def value(u: Column) -> Column:
+        after = F.substring(u, 2, 1)
+        return (
+            F.when(~u.startswith("\\") | (u == "\\"), u)
+            .when((after == "u") & (F.length(u) >= 6), _code_points(F.regexp_replace(u, r"\\u", ""), "UTF-16BE"))
+            .when((after == "x") & (F.length(u) == 4), _code_points(F.concat(F.lit("00"), F.substring(u, 3, 2)), "UTF-16BE"))
+            .when((after == "U") & (F.length(u) == 10), _code_points(F.substring(u, 3, 8), "UTF-32"))
+            .when(after.isin("\n", "\r"), "")
+            .otherwise(F.coalesce(F.try_element_at(named, after), after))
+        )
+
+    return F.when(~text.contains("\\"), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ONCE), F.lit(0)), value), ""))
+
+
+def _kept_units(units: Column) -> Column:
+    """Array of (i, c): the place of each unit that folding keeps, and what it becomes."""
+
+    def value(u: Column) -> Column:
+        last = F.substring(u, -1, 1)
+        return (
+            F.when(~u.startswith("\\"), u)
+            .when(u.rlike(rf"^\\+u{_HIGH}$"), "�")
+            .when(u.rlike(r"^\\+u."), _code_points(F.regexp_replace(u, r"\\+u", ""), "UTF-16BE"))
+            .when(u.rlike(r"^\\+[\r\n]") | u.rlike(r"^\\+$"), "")
+            .when(last.isin(*"ntrbf"), " ")
+            .otherwise(last)
+        )
+
+    chars = F.transform(units, lambda u, i: F.struct(i.alias("i"), F.regexp_replace(F.lower(value(u)), f"^[{SPACE}]$", " ").alias("c")))
+    return let(F.filter(chars, lambda x: x["c"] != ""), lambda some: F.filter(some, lambda x, i: ~((x["c"] == " ") & ((i == 0) | (F.get(some, i - 1)["c"] == " ")))))
+
+
+def _units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_DEEP), F.lit(0))
+
+
+def fold(text: Column) -> Column:
+    """Folded text: escapes of any depth undone, lower case, white-space runs as one space, none at the start."""
+    return F.when(~text.contains("\\"), fold_plain(text)).otherwise(F.array_join(F.transform(_kept_units(_units(text)), lambda x: x["c"]), ""))
 
 
 def fold_mapped(text: Column) -> Column:
-    """Struct (folded, offsets): folded text with escapes of any depth undone, and the raw place
-    of each folded character (a last entry has the raw length)."""
-    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-    # (raw offset, folded character) of every unit, then white space collapsed
-    ends = F.aggregate(units, F.array(F.lit(0)), lambda acc, u: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(u))))
-    chars = F.transform(units, lambda u, i: F.struct(F.get(ends, i).alias("at"), F.regexp_replace(F.lower(_unit_value(u)), r"^[\s\x{85}\x{A0}\x{2028}\x{2029}]$", " ").alias("c")))
-    kept = F.filter(chars, lambda x, i: (x["c"] != "") & ~((x["c"] == " ") & ((i == 0) | (F.get(chars, i - 1)["c"] == " "))))
-    return F.struct(F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("folded"), F.concat(F.transform(kept, lambda x: x["at"]), F.array(F.length(text))).alias("offsets"))
+    """Struct (folded, starts, ends): what fold() gives, and of each of its characters the raw range it comes from."""
+
+    def mapped(units: Column, kept: Column, offsets: Column) -> Column:
+        spread = lambda f: F.flatten(F.transform(kept, lambda x: F.array_repeat(f(x["i"]), F.length(x["c"]))))
+        return F.struct(F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("folded"), spread(lambda i: F.get(offsets, i)).alias("starts"), spread(lambda i: F.get(offsets, i) + F.length(F.get(units, i))).alias("ends"))
+
+    return let(_units(text), lambda units: let(_kept_units(units), lambda kept: let(prefix_sums(F.transform(units, F.length)), lambda offsets: mapped(units, kept, offsets))))
 
 
 def shingles(df: DataFrame, text_col: str, k: int = K, hashed: bool = True) -> DataFrame:
@@ -109,12 +169,21 @@ def decode_url(token: Column) -> Column:
 
 
 def decode_tokens(df: DataFrame, text_col: str, min_len: int = 16) -> DataFrame:
-    """A row (codec, token, decoded) per encoded run of a text; text_col goes."""
-    hexed = F.transform(F.filter(F.regexp_extract_all(text_col, F.lit("[0-9A-Fa-f]+"), F.lit(0)), lambda t: F.length(t) >= min_len), lambda t: F.struct(F.lit("hex").alias("codec"), t.alias("token"), decode_hex(t).alias("decoded")))
-    based = F.transform(F.filter(F.regexp_extract_all(text_col, F.lit("[0-9A-Za-z+/=_-]+"), F.lit(0)), lambda t: (F.length(t) >= min_len) & ~t.rlike("^[0-9A-Fa-f]+$")), lambda t: F.struct(F.lit("base64").alias("codec"), t.alias("token"), decode_base64(t).alias("decoded")))
-    urls = F.transform(F.filter(F.regexp_extract_all(text_col, F.lit(r"[^\s\"\x{80}-\x{10FFFF}]+"), F.lit(0)), lambda t: F.length(t) >= min_len), lambda t: F.struct(F.lit("url_encoding").alias("codec"), t.alias("token"), decode_url(t).alias("decoded")))
-    found = F.filter(F.concat(hexed, based, urls), lambda x: x["decoded"].isNotNull())
-    return df.select(*[c for c in df.columns if c != text_col], F.explode(found).alias("__d")).select("*", "__d.codec", "__d.token", "__d.decoded").drop("__d")
+    """A row (codec, token, start, decoded) per encoded run of a text; text_col goes."""
+
+    def runs(pattern: str, codec: str, decode, fit) -> Column:
+        # a token's place is what lies before it: gaps and tokens alternate
+        def found(tokens: Column, gaps: Column, starts: Column) -> Column:
+            rows = F.transform(tokens, lambda t, i: F.struct(F.lit(codec).alias("codec"), t.alias("token"), (F.get(starts, i) + F.length(F.get(gaps, i))).alias("start"), decode(t).alias("decoded")))
+            return F.filter(rows, lambda x: fit(x["token"]) & x["decoded"].isNotNull())
+
+        tokens, gaps = F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0)), F.split(text_col, pattern)
+        return let(tokens, lambda t: let(gaps, lambda g: let(prefix_sums(F.transform(t, lambda x, i: F.length(F.get(g, i)) + F.length(x))), lambda starts: found(t, g, starts))))
+
+    hexed = runs("[0-9A-Fa-f]{%d,}" % min_len, "hex", decode_hex, lambda t: F.lit(True))
+    based = runs("[0-9A-Za-z+/=_-]{%d,}" % min_len, "base64", decode_base64, lambda t: ~t.rlike("^[0-9A-Fa-f]+$"))
+    urls = runs(r"[^\s\"\x{80}-\x{10FFFF}]{%d,}" % min_len, "url_encoding", decode_url, lambda t: F.lit(True))
+    return df.select(*[c for c in df.columns if c != text_col], F.explode(F.concat(hexed, based, urls)).alias("__d")).select("*", "__d.codec", "__d.token", "__d.start", "__d.decoded").drop("__d")
 
 
 def string_codec(raw: Column) -> Column:
@@ -124,37 +193,52 @@ def string_codec(raw: Column) -> Column:
 
 def classify(span_raw: Column, read: Column) -> Column:
     """How a read's text comes from a span's: exact, normalized, decoded or two_string_levels."""
-    plain, folded, unescaped = fold_plain(span_raw), F.rtrim(fold_plain(read)), fold_plain(unescape_once(span_raw))
-    once, single, twice = F.rtrim(fold_plain(unescape_once(read))), F.rtrim(fold_plain(F.replace(read, F.lit("''"), F.lit("'")))), F.rtrim(fold_plain(unescape_once(unescape_once(read))))
-    spoken = span_raw.contains("\\")
 
-    def inside(x: Column) -> Column:
-        return (x != "") & (plain.contains(x) | (spoken & unescaped.contains(x)))
+    def kind(f: Column) -> Column:
+        span, text, plain, folded, spoken, escaped = (f[c] for c in ("span", "read", "plain", "folded", "spoken", "escaped"))
+        unescaped = fold_plain(unescape_once(span))
+        inside = lambda x: (x != "") & (plain.contains(x) | (spoken & unescaped.contains(x)))
+        lost = let(F.when(escaped, F.rtrim(fold_plain(unescape_once(let(text, unescape_once))))), lambda twice: escaped & (twice != "") & plain.contains(twice))
+        return (
+            F.when(span.contains(text), "exact")
+            .when((folded != "") & plain.contains(folded), "normalized")
+            .when(escaped & let(F.rtrim(fold_plain(unescape_once(text))), inside), F.concat(F.lit("decoded:"), string_codec(text)))
+            .when(text.contains("''") & let(F.rtrim(fold_plain(F.replace(text, F.lit("''"), F.lit("'")))), inside), "decoded:yaml_string")
+            .when((folded != "") & spoken & unescaped.contains(folded), F.concat(F.lit("decoded:"), string_codec(span)))
+            .when(lost | (spoken & (folded != "") & fold_plain(unescape_once(let(span, unescape_once))).contains(folded)), "two_string_levels")
+            .otherwise(F.concat(F.lit("decoded:"), string_codec(F.when(escaped, text).otherwise(span))))
+        )
 
-    return (
-        F.when(span_raw.contains(read), "exact")
-        .when((folded != "") & plain.contains(folded), "normalized")
-        .when(read.contains("\\") & inside(once), F.concat(F.lit("decoded:"), string_codec(read)))
-        .when(read.contains("''") & inside(single), "decoded:yaml_string")
-        .when((folded != "") & spoken & unescaped.contains(folded), F.concat(F.lit("decoded:"), string_codec(span_raw)))
-        .when((read.contains("\\") & (twice != "") & plain.contains(twice)) | (spoken & (folded != "") & fold_plain(unescape_once(unescape_once(span_raw))).contains(folded)), "two_string_levels")
-        .otherwise(F.concat(F.lit("decoded:"), string_codec(F.when(read.contains("\\"), read).otherwise(span_raw))))
-    )
+    both = F.struct(span_raw.alias("span"), read.alias("read"))
+    forms = lambda x: F.struct(x["span"].alias("span"), x["read"].alias("read"), fold_plain(x["span"]).alias("plain"), F.rtrim(fold_plain(x["read"])).alias("folded"), x["span"].contains("\\").alias("spoken"), x["read"].contains("\\").alias("escaped"))
+    return let(let(both, forms), kind)
 
 
-#: Names of members whose values are opaque ids.
-OPAQUE_KEYS = ("thoughtSignature", "thought_signature", "encrypted_content", "signature", "redacted_thinking")
+#: Names of members whose values are opaque.
+OPAQUE_KEYS = ("thought_signature", "thought_signatures", "signature", "encrypted_content", "redacted_thinking")
 
 
 def mask_opaque(df: DataFrame, text_col: str, keys: tuple[str, ...] = OPAQUE_KEYS) -> DataFrame:
-    """A row (at, piece) per piece of the text between opaque member values; text_col goes."""
-    value = "|".join(keys)
-    pattern = rf'(?<="(?:{value})\\{{0,3}}"[\\\s]{{0,8}}:[\\\s]{{0,8}})(?:\\*"[^"]*"|\[[^\]]*\])'
-    pieces = F.split(text_col, pattern)
-    gaps = F.regexp_extract_all(text_col, F.lit(pattern), F.lit(0))
-    ends = F.aggregate(F.transform(pieces, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0))), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = F.filter(F.transform(pieces, lambda p, i: F.struct(F.get(ends, i).alias("at"), p.alias("piece"))), lambda x: x["piece"] != "")
-    return df.select(*[c for c in df.columns if c != text_col], F.inline(rows))
+    """A row (at, piece) per piece of the text between opaque blobs; text_col goes.
+
+    Opaque are call ids that embed a thought signature, and the string or array values of the
+    members named `keys`, in JSON as it is or inside a string literal.
+    """
+    names = "|".join(keys)
+    value = r'(?<!\\)"(?:[^"\\]++|\\.)*+"|(?<=\\)"(?:[^\\]++|\\\\|\\[^"\\])*+\\"|\[[^\]]*+\]'
+    pattern = rf'(?s)("(?:{names})\\*+"[\\\s]*:[\\\s]*)(?:{value})|[0-9A-Za-z_-]*?__thought__[0-9A-Za-z+/=_-]*+'
+    text = F.col(text_col)
+
+    def cut(rest: Column, wholes: Column, heads: Column) -> Column:
+        lengths = F.transform(rest, lambda p, i: F.length(p) + F.coalesce(F.length(F.get(wholes, i)), F.lit(0)))
+        rows = let(prefix_sums(lengths), lambda starts: F.transform(rest, lambda p, i: F.struct(F.get(starts, i).alias("at"), F.concat(p, F.coalesce(F.get(heads, i), F.lit(""))).alias("piece"))))
+        return F.filter(rows, lambda x: x["piece"] != "")
+
+    every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    masked = let(F.split(text, pattern), lambda rest: let(every(0), lambda wholes: let(every(1), lambda heads: cut(rest, wholes, heads))))
+    plain = F.array(F.struct(F.lit(0).alias("at"), text.alias("piece")))
+    some = F.when(text.rlike(f"{names}|__thought__"), masked).when(text != "", plain)
+    return df.select(*[c for c in df.columns if c != text_col], F.inline(some))
 
 
 #: Fixed patterns: URL, e-mail address, IBAN.

@@ -1,17 +1,25 @@
 """Which text one agent wrote was later read by another: the shingle detector as set operations.
 
 The order of reading and writing in a world is one number, the step; what a matcher would keep as
-state (windows seen, postings, boilerplate) is then a window function over steps.
+state (windows seen, postings, boilerplate, deliveries) is then a window function over steps.
+
+Every window of text is shuffled once, as a hash with its place, and only windows that occur again
+in their world are kept: a window that occurs once is new to its agent and read by nobody. So a
+written part's originated spans are what its few windows seen before leave, and matches are a join
+among the kept ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.functions import text as T
+from driftspan.operators.labels import call_resource, canonical_resource
+from driftspan.sources.io import checkpointed
 
 MAX_POSTINGS = 50
+SPAN = ("sagent", "sstep", "sat", "s", "e")
 
 
 def exchanges_from_turns(turns: DataFrame) -> DataFrame:
@@ -22,16 +30,18 @@ def exchanges_from_turns(turns: DataFrame) -> DataFrame:
 
 
 def parts_in_order(turns: DataFrame) -> DataFrame:
-    """(world, agent, ord, step, kind r or w, pos, text): what each exchange newly reads, then writes.
+    """(world, agent, ex, step, kind r or w, pos, text, and role and call_id where turns have them):
+    what each exchange newly reads, then writes.
 
-    A turn is read by the next assistant turn of its agent; turns after the last are never read.
+    A turn is read by the next assistant turn of its agent, its exchange: a request repeats the
+    history before it, so that the turns since the last exchange are what it adds, each as often as
+    it stands there. Turns after the last exchange are never read.
     """
-    ahead = Window.partitionBy("world", "agent").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    at = turns.withColumn("ex", F.min(F.when(F.col("role") == "assistant", F.col("pos"))).over(ahead)).filter("ex is not null")
+    ahead = Window.partitionBy("world", "agent").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    at = turns.withColumn("ex", F.last_value(F.when(F.col("role") == "assistant", F.col("pos")), ignoreNulls=True).over(ahead)).filter("ex is not null")
     kind = F.when(F.col("role") == "assistant", "w").otherwise("r")
-    order = Window.partitionBy("world").orderBy("ex", "agent", "pos")
-    steps = at.withColumn("step", F.row_number().over(order))
-    return steps.select("world", "agent", "ex", "step", kind.alias("kind"), "pos", "text")
+    steps = at.withColumn("step", F.row_number().over(Window.partitionBy("world").orderBy("ex", "agent", "pos")))
+    return steps.select("world", "agent", "ex", "step", kind.alias("kind"), "pos", "text", *[c for c in ("role", "call_id") if c in turns.columns])
 
 
 def novel_windows(windows: DataFrame) -> DataFrame:
@@ -40,47 +50,158 @@ def novel_windows(windows: DataFrame) -> DataFrame:
     return windows.withColumn("first", first).filter("first = step").drop("first")
 
 
-def originated_spans(novel: DataFrame, parts: DataFrame, k: int, min_span: int, min_word_chars: int) -> DataFrame:
-    """(world, sid, sagent, sstep, s, e): novel runs of written parts that are long and wordy enough."""
-    runs = T.covered_runs(novel.filter("kind = 'w'"), ["world", "step"], k)
-    spans = runs.join(parts.select("world", "step", "agent", "text"), ["world", "step"])
-    spans = spans.filter(T.good_span(F.expr("substring(text, a + 1, b - a)"), min_span, min_word_chars))
-    sid = F.row_number().over(Window.partitionBy("world").orderBy("step", "a"))
-    return spans.select("world", sid.alias("sid"), F.col("agent").alias("sagent"), F.col("step").alias("sstep"), F.col("a").alias("s"), F.col("b").alias("e"))
+def cut_pieces(parts: DataFrame, min_decoded: int = 16) -> DataFrame:
+    """Each part's pieces between opaque blobs (at: raw offset), and the decoded text of encoded
+    runs in pieces that are read, as pieces of kind d with their codec and raw range [ts, te)."""
+    whole = T.mask_opaque(parts.select("world", "agent", "step", "kind", "text"), "text")
+    decoded = T.decode_tokens(whole.filter("kind = 'r'"), "piece", min_decoded)
+    place = F.col("at") + F.col("start")
+    decoded = decoded.select("world", "agent", "step", F.lit("d").alias("kind"), "at", F.col("decoded").alias("piece"), "codec", place.alias("ts"), (place + F.length("token")).alias("te"))
+    none = [F.lit(None).cast("string").alias("codec"), F.lit(-1).alias("ts"), F.lit(-1).alias("te")]
+    return whole.select("world", "agent", "step", "kind", "at", "piece", *none).union(decoded)
+
+
+def window_rows(pieces: DataFrame, k: int) -> DataFrame:
+    """A row (off, h) for every window of the folded pieces."""
+    return T.shingles(pieces.withColumn("folded", T.fold(F.col("piece"))).drop("piece"), "folded", k)
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """The windows that occur more than once in their world, with `first`, the step at which their
+    agent first read or wrote them; decoded text is looked up only, and not seen."""
+    world = Window.partitionBy("world", "h")
+    again = windows.withColumn("n", F.count("*").over(world)).withColumn("first", F.min(F.when(F.col("kind") != "d", F.col("step"))).over(Window.partitionBy("world", "h", "agent")))
+    return again.filter("n > 1").drop("n")
+
+
+def spans_between(seen: DataFrame, pieces: DataFrame, k: int, min_span: int, min_word_chars: int) -> DataFrame:
+    """(world, SPAN, raw): runs of new windows of the written pieces that are long and wordy enough.
 
+    seen: (world, step, at, off) of the windows that their agent had before. Windows touch over
+    fewer than k offsets, so only runs of k seen ones, or those at an end, part two spans.
+    """
+    by = ["world", "step", "at"]
+    w = pieces.filter("kind = 'w'").withColumn("folded", T.fold(F.col("piece"))).withColumn("nw", F.length("folded") - k + 1).filter("nw > 0")
+    order = Window.partitionBy(*by).orderBy("off")
+    runs = seen.withColumn("island", F.col("off") - F.row_number().over(order)).groupBy(*by, "island").agg(F.min("off").alias("lo"), F.max("off").alias("hi"))
+    ends = w.select(*by, "nw")
+    runs = runs.join(ends, by).filter(f"hi - lo + 1 >= {k} or lo = 0 or hi = nw - 1").select(*by, "lo", "hi")
+    ends = ends.select(*by, F.explode(F.array(F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi")), F.struct(F.col("nw").alias("lo"), F.col("nw").alias("hi")))).alias("x")).select(*by, "x.lo", "x.hi")
+    gaps = runs.union(ends).withColumn("next", F.lead("lo").over(Window.partitionBy(*by).orderBy("lo"))).filter("hi + 1 < next")
+    spans = gaps.select(*by, (F.col("hi") + 1).alias("s"), (F.col("next") - 1 + k).alias("e")).join(w.select(*by, "agent", "piece", "folded"), by)
+    spans = spans.filter(T.good_span(F.expr("substring(folded, s + 1, e - s)"), min_span, min_word_chars))
+    return spans.select("world", F.col("agent").alias("sagent"), F.col("step").alias("sstep"), F.col("at").alias("sat"), "s", "e", "piece")
+
+
+def raw_range(piece: Column, at: Column, a: Column, b: Column) -> Column:
+    """Struct (a, b): the raw offsets of the folded characters [a, b) of a piece at offset `at`.
+
+    In ASCII text without escapes and runs of white space a folded character stands where it stood.
+    """
+    plain = F.struct((at + a).alias("a"), (at + b).alias("b"))
+    return F.when(~piece.rlike(r"\\|^\s|\s\s|[^\x00-\x7f]"), plain).otherwise(T.let(T.fold_mapped(piece), lambda f: F.struct((at + F.get(f["starts"], a)).alias("a"), (at + F.get(f["ends"], b - 1)).alias("b"))))
+
+
+def postings(written: DataFrame, spans: DataFrame, k: int, max_postings: int = MAX_POSTINGS) -> DataFrame:
+    """(world, h, SPAN, cutoff): each span's new windows (world, step, at, off, h), at most
+    max_postings spans of a window; from step cutoff on the window is boilerplate."""
+    w = written.select("world", F.col("step").alias("sstep"), F.col("at").alias("sat"), "off", "h")
+    own = w.join(spans.select("world", *SPAN), ["world", "sstep", "sat"]).filter(f"off >= s and off + {k} <= e").select("world", "h", *SPAN).distinct()
+    return ranked_postings(own, max_postings)
 
-def postings(novel: DataFrame, spans: DataFrame, k: int, max_postings: int = MAX_POSTINGS) -> DataFrame:
-    """(world, h, sid, sagent, sstep, s, e, cutoff): each span's windows, at most max_postings spans
-    of a window; from step cutoff on the window is boilerplate."""
-    w = novel.filter("kind = 'w'").select("world", F.col("step").alias("sstep"), "off", "h")
-    own = w.join(spans, ["world", "sstep"]).filter("off >= s and off + %d <= e" % k).select("world", "h", "sid", "sagent", "sstep", "s", "e").distinct()
+
+def ranked_postings(own: DataFrame, max_postings: int) -> DataFrame:
     by = Window.partitionBy("world", "h")
-    ranked = own.withColumn("rank", F.dense_rank().over(by.orderBy("sid")))
+    ranked = own.withColumn("rank", F.dense_rank().over(by.orderBy("sstep", "sat", "s"))).filter(F.col("rank") <= max_postings + 1)
     ranked = ranked.withColumn("cutoff", F.min(F.when(F.col("rank") == max_postings + 1, F.col("sstep"))).over(by))
     return ranked.filter(F.col("rank") <= max_postings).drop("rank")
 
 
 def shingle_lookup(reads: DataFrame, posted: DataFrame) -> DataFrame:
-    """(world, step, agent, off, sid, sagent, sstep, s, e): windows read that another agent posted earlier."""
-    met = reads.join(posted, ["world", "h"]).filter("sstep < step and sagent <> agent and (cutoff is null or step < cutoff)")
-    return met.select("world", "step", "agent", "off", "sid", "sagent", "sstep", "s", "e").distinct()
+    """The windows read that another agent posted earlier, with the span, each once."""
+    p = posted.select(F.col("world").alias("pw"), F.col("h").alias("ph"), *SPAN, "cutoff")
+    met = reads.join(p, (F.col("world") == F.col("pw")) & (F.col("h") == F.col("ph")) & (F.col("sstep") < F.col("step")) & (F.col("sagent") != F.col("agent")) & (F.col("cutoff").isNull() | (F.col("step") < F.col("cutoff"))))
+    return met.select("world", "step", "agent", "kind", "at", "codec", "ts", "te", "off", *SPAN).distinct()
 
 
-def detect(turns: DataFrame, k: int = T.K, min_span: int = T.K, min_word_chars: int = 20, max_postings: int = MAX_POSTINGS) -> DataFrame:
-    """One row per match: world, reader, reader_ex, read_pos, a, b, sender, sender_ex, sender_pos, s, e.
+def explained(hits: DataFrame, pieces: DataFrame, spans: DataFrame, k: int, min_span: int, min_word_chars: int) -> DataFrame:
+    """(world, step, agent, a, b, class, SPAN, rs, re): hits as raw ranges [a, b) of the part read,
+    with their class and the span's raw range [rs, re).
 
-    [a, b) are characters of the folded text read, [s, e) of the folded span written.
+    A run of windows shared with a span must be long and wordy enough; of decoded text the whole
+    token is the range. Of several readings of a range the first in reach counts: text as it is,
+    then decoded; a range that only two string levels explain is two_string_levels.
+    spans: (world, SPAN, piece), of the hits at least.
+    """
+    place = ["world", "step", "agent", "kind", "at", "codec", "ts", "te"]
+    runs = T.covered_runs(hits, [*place, *SPAN], k).filter(F.col("b") - F.col("a") >= min_span)
+    plain = runs.filter("kind = 'r'").join(pieces.filter("kind = 'r'").select("world", "step", "at", F.col("piece").alias("read")), ["world", "step", "at"])
+    plain = plain.filter(T.good_span(F.substring(T.fold(F.col("read")), F.col("a") + 1, F.col("b") - F.col("a")), min_span, min_word_chars))
+    texts = spans.select("world", "sstep", "sat", "s", "e", "piece").distinct()
+    plain = plain.join(texts, ["world", "sstep", "sat", "s", "e"])
+    plain = plain.withColumn("r", raw_range(F.col("read"), F.lit(0), F.col("a"), F.col("b"))).withColumn("o", raw_range(F.col("piece"), F.lit(0), F.col("s"), F.col("e")))
+    found = T.classify(F.expr("substring(piece, o.a + 1, o.b - o.a)"), F.expr("substring(read, r.a + 1, r.b - r.a)"))
+    plain = plain.select("world", "step", "agent", (F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"), found.alias("class"), F.lit(0).alias("way"), *SPAN, (F.col("sat") + F.col("o.a")).alias("rs"), (F.col("sat") + F.col("o.b")).alias("re"))
+    decoded = runs.filter("kind = 'd'").select("world", "step", "agent", F.col("ts").alias("a"), F.col("te").alias("b"), F.concat(F.lit("decoded:"), "codec").alias("class"), *SPAN).distinct().join(texts, ["world", "sstep", "sat", "s", "e"])
+    decoded = decoded.withColumn("o", raw_range(F.col("piece"), F.lit(0), F.col("s"), F.col("e")))
+    decoded = decoded.select("world", "step", "agent", "a", "b", "class", F.lit(1).alias("way"), *SPAN, (F.col("sat") + F.col("o.a")).alias("rs"), (F.col("sat") + F.col("o.b")).alias("re"))
+    one = plain.union(decoded).groupBy("world", "step", "agent", "a", "b", *SPAN, "rs", "re")
+    return one.agg(F.min(F.struct((F.col("class") == "two_string_levels").alias("out"), "way", "class"))["class"].alias("class"))
+
+
+def routed(found: DataFrame, parts: DataFrame, calls: DataFrame | None) -> DataFrame:
+    """Adds reader_ex, read_pos, carrier and route: direct:..., or channel:... where the call that
+    a tool result answers names a resource. Of calls with one id the request's last counts.
+
+    calls: world, agent, pos, call_id, tool, args.
+    """
+    at = parts.select("world", "step", F.col("ex").alias("reader_ex"), F.col("pos").alias("read_pos"), "role", F.col("call_id") if "call_id" in parts.columns else F.lit(None).cast("string").alias("call_id"))
+    rows = found.join(at, ["world", "step"])
+    carrier = F.when(F.col("role") == "system", "system_prompt").when(F.col("role") == "tool", "tool_result").otherwise("user_turn")
+    if calls is None:
+        rows = rows.withColumn("call", F.lit(None).cast("struct<tool: string, args: string>"))
+    else:
+        asked = rows.filter("role = 'tool'").select("world", "agent", "reader_ex", "call_id").distinct()
+        last = asked.join(calls, ["world", "agent", "call_id"]).filter("pos < reader_ex").groupBy("world", "agent", "reader_ex", "call_id").agg(F.max_by(F.struct("tool", "args"), "pos").alias("call"))
+        rows = rows.join(last, ["world", "agent", "reader_ex", "call_id"], "left")
+    resource = canonical_resource(call_resource(F.col("call.args")))["key"]
+    tool = F.coalesce(F.concat(F.lit("channel:"), resource), F.concat(F.lit("direct:tool:"), F.coalesce("call.tool", F.lit("unknown"))))
+    return rows.withColumn("carrier", carrier).withColumn("route", F.when(F.col("role") == "tool", tool).otherwise(F.concat(F.lit("direct:"), carrier))).drop("call", "role", "call_id")
+
+
+def scan(turns: DataFrame, calls: DataFrame | None = None, k: int = T.K, min_span: int = T.K, min_word_chars: int = 20, max_postings: int = MAX_POSTINGS, min_decoded: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(hits, spans): all matches as of detect() with `reread` and those out of reach (class
+    two_string_levels), and the originated spans (world, SPAN, piece)."""
+    parts = parts_in_order(turns)
+    pieces = checkpointed(cut_pieces(parts, min_decoded))
+    again = checkpointed(repeated_windows(window_rows(pieces, k)))
+    written, min_span = again.filter("kind = 'w'"), max(k, min_span)
+    spans = spans_between(written.filter("first < step").select("world", "step", "at", "off").distinct(), pieces, k, min_span, min_word_chars)
+    posted = postings(written.filter("first = step"), spans, k, max_postings)
+    hits = shingle_lookup(again.filter("kind <> 'w'"), posted)
+    found = routed(explained(hits, pieces, spans, k, min_span, min_word_chars), parts, calls)
+    wrote = parts.filter("kind = 'w'").select("world", F.col("step").alias("sstep"), F.col("ex").alias("sender_ex"), F.col("pos").alias("sender_pos"))
+    found = found.join(wrote, ["world", "sstep"]).withColumnRenamed("agent", "reader").withColumnRenamed("sagent", "sender")
+    first = F.min(F.when(F.col("class") != "two_string_levels", F.col("reader_ex"))).over(Window.partitionBy("world", "sender", "sender_ex", "sender_pos", "rs", "re", "reader", "route"))
+    found = found.withColumn("reread", F.col("route").startswith("channel:") & (F.col("reader_ex") > first))
+    return found.select("world", "reader", "reader_ex", "read_pos", "a", "b", "class", "carrier", "route", "sender", "sender_ex", "sender_pos", F.col("rs").alias("s"), F.col("re").alias("e"), "reread"), spans
+
+
+def detect(turns: DataFrame, calls: DataFrame | None = None, k: int = T.K, min_span: int = T.K, min_word_chars: int = 20, max_postings: int = MAX_POSTINGS, min_decoded: int = 16) -> DataFrame:
+    """One row per match: world, reader, reader_ex, read_pos, a, b, class, carrier, route, sender,
+    sender_ex, sender_pos, s, e.
+
+    [a, b) are characters of the text read, [s, e) of the span written. Text is compared with
+    opaque values masked, string escapes of any depth undone, lower case and white space folded;
+    hexadecimal, base64 and URL-encoded runs are also looked up decoded. What only two string
+    levels explain is no match; a span that a channel delivered to a reader in an earlier exchange
+    is not matched there again.
+
+    turns: world, agent, pos, role (system, user, assistant or tool), text, and call_id where tool
+    results have one; calls: world, agent, pos, call_id, tool, args. Null texts have no parts.
     """
-    parts = parts_in_order(turns).withColumn("text", T.fold_plain(F.col("text")))
-    windows = T.shingles(parts.select("world", "agent", "step", "kind", "text"), "text", k)
-    novel = novel_windows(windows)
-    spans = originated_spans(novel, parts, k, max(k, min_span), min_word_chars)
-    hits = shingle_lookup(windows.filter("kind = 'r'"), postings(novel, spans, k, max_postings))
-    runs = T.covered_runs(hits, ["world", "step", "agent", "sid", "sagent", "sstep", "s", "e"], k)
-    at = parts.select("world", "step", F.col("ex").alias("reader_ex"), F.col("pos").alias("read_pos"), "text")
-    found = runs.join(at, ["world", "step"]).filter(T.good_span(F.expr("substring(text, a + 1, b - a)"), max(k, min_span), min_word_chars))
-    wrote = parts.select("world", F.col("step").alias("sstep"), F.col("ex").alias("sender_ex"), F.col("pos").alias("sender_pos"))
-    return found.join(wrote, ["world", "sstep"]).select("world", F.col("agent").alias("reader"), "reader_ex", "read_pos", "a", "b", F.col("sagent").alias("sender"), "sender_ex", "sender_pos", "s", "e")
+    hits, _ = scan(turns, calls, k, min_span, min_word_chars, max_postings, min_decoded)
+    return hits.filter("class <> 'two_string_levels' and not reread").drop("reread")
 
 
 def first_reads(hits: DataFrame) -> DataFrame:
@@ -96,14 +217,19 @@ def credential_agents(exchanges: DataFrame) -> DataFrame:
 
 
 def group_transmissions(matches: DataFrame) -> DataFrame:
-    """One row per reader exchange and sender: the number of matches and characters, and the first match."""
-    return matches.groupBy("world", "reader", "reader_ex", "sender").agg(
-        F.count("*").alias("n_matches"), F.sum(F.col("b") - F.col("a")).cast("long").alias("n_chars"), F.min(F.struct("read_pos", "a", "b"))["read_pos"].alias("first_pos"), F.min(F.struct("read_pos", "a", "b"))["a"].cast("long").alias("first_a")
-    )
+    """One row per reader exchange, sender and route: n_matches, n_chars, first_pos, first_a, and the
+    evidence in order of the place read, an array of (read_pos, a, b, class, carrier, sender_ex, sender_pos, s, e)."""
+    items = F.sort_array(F.collect_list(F.struct("read_pos", "a", "b", "class", "carrier", "sender_ex", "sender_pos", "s", "e")))
+    rows = matches.groupBy("world", "reader", "reader_ex", "sender", "route").agg(F.count("*").alias("n_matches"), F.sum(F.col("b") - F.col("a")).cast("long").alias("n_chars"), items.alias("evidence"))
+    return rows.withColumn("first_pos", F.get("evidence", 0)["read_pos"]).withColumn("first_a", F.get("evidence", 0)["a"].cast("long"))
 
 
-def world_summary(turns: DataFrame, matches: DataFrame) -> DataFrame:
-    """(world, agents, exchanges, matches, transmissions) of every world."""
+def world_summary(turns: DataFrame, hits: DataFrame, spans: DataFrame) -> DataFrame:
+    """(world, agents, exchanges, spans, matches, rereads, out_of_reach, transmissions) of every world
+    from the two tables of scan(...); matches count rereads."""
     base = turns.groupBy("world").agg(F.count_distinct("agent").alias("agents"), F.count_if(F.col("role") == "assistant").alias("exchanges"))
-    hits = matches.groupBy("world").agg(F.count("*").alias("matches"), F.count_distinct("reader", "reader_ex", "sender").alias("transmissions"))
-    return base.join(hits, "world", "left").fillna(0, ["matches", "transmissions"])
+    near = F.col("class") != "two_string_levels"
+    kept = near & ~F.col("reread")
+    per = hits.groupBy("world").agg(F.count_if(near).alias("matches"), F.count_if(near & F.col("reread")).alias("rereads"), F.count_if(~near).alias("out_of_reach"), F.count_distinct(F.when(kept, F.struct("reader", "reader_ex", "sender", "route"))).alias("transmissions"))
+    out = base.join(spans.groupBy("world").agg(F.count("*").alias("spans")), "world", "left").join(per, "world", "left")
+    return out.fillna(0, ["spans", "matches", "rereads", "out_of_reach", "transmissions"])

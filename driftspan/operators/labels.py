@@ -68,10 +68,14 @@ def canonical_resource(url: Column) -> Column:
     return F.struct(key.alias("key"), F.when(local, "file").when(is_url, kind).otherwise("opaque").alias("kind"))
 
 
+#: Names of arguments whose value is a path.
+PATH_KEYS = ("path", "file", "file_path", "filepath", "filename", "target", "source_path", "target_path")
+
+
 def call_resource(args: Column) -> Column:
-    """The first argument of a call, by name, that is a URL, or an absolute path under a path-like name."""
+    """The first argument of a call, by name, that is a URL, or an absolute path under a name of PATH_KEYS."""
     entries = F.array_sort(F.map_entries(F.from_json(args, "map<string,string>")))
-    fit = F.filter(entries, lambda e: e["value"].rlike(r"^https?://\S+$") | (e["value"].rlike(r"^/\S+$") & e["key"].rlike(r"(?i)path|file|dir")))
+    fit = F.filter(entries, lambda e: e["value"].rlike(r"^(?i:https?)://[^\s/?#][^\s]*$") | (e["value"].startswith("/") & e["key"].isin(*PATH_KEYS)))
     return F.get(fit, 0)["value"]
 
 
@@ -82,7 +86,7 @@ def match_need(content: Column, read: Column) -> Column:
     return (
         F.when(read.contains(content), "exact").when(once.contains(content), "decoded")
         .when(T.fold_plain(read).contains(plain), "normalized").when(T.fold_plain(once).contains(plain), "decoded")
-        .when(T.fold_plain(twice).contains(plain), "two_string_levels").when(T.fold_mapped(read)["folded"].contains(T.fold_mapped(content)["folded"]), "folded").otherwise("semantic")
+        .when(T.fold_plain(twice).contains(plain), "two_string_levels").when(T.fold(read).contains(T.fold(content)), "folded").otherwise("semantic")
     )
 
 

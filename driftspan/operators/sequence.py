@@ -73,14 +73,17 @@ def access_stats(accesses: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def state_asof(events: DataFrame, probes: DataFrame, key: str, default) -> DataFrame:
-    """probes (key, at, id) with value: of the latest event at or before it, else of the first after, else the default."""
+    """probes (key, at, id) with value: of the latest event at or before it, else of the first after, else the default.
+
+    What comes after a probe is the last before it in descending order, so that both frames grow
+    row by row.
+    """
     e = events.select(key, "at", F.lit(0).alias("side"), F.col("id"), F.col("value"))
     p = probes.select(key, "at", F.lit(1).alias("side"), F.col("id"), F.lit(None).cast(events.schema["value"].dataType).alias("value"))
-    by = Window.partitionBy(key).orderBy("at", "side", "id")
-    rows = e.union(p)
-    last = F.last_value("value", ignoreNulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first_value("value", ignoreNulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("found", F.coalesce(last, after, F.lit(default))).filter("side = 1").select("id", key, "at", F.col("found").alias("value"))
+    order = ["at", "side", "id"]
+    last = F.last_value("value", ignoreNulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last_value("value", ignoreNulls=True).over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+    return e.union(p).withColumn("found", F.coalesce(last, after, F.lit(default))).filter("side = 1").select("id", key, "at", F.col("found").alias("value"))
 
 
 def active_at(intervals: DataFrame, probes: DataFrame, key: str, slot: int) -> DataFrame:
@@ -98,12 +101,18 @@ def active_at(intervals: DataFrame, probes: DataFrame, key: str, slot: int) -> D
 
 def next_delivery(posts: DataFrame, calls: DataFrame, members: DataFrame, horizon: int) -> DataFrame:
     """(post, agent, call): a post reaches each other member of its room at the member's next call
-    within the horizon. posts: id, room, agent, at; calls: id, agent, at; members: room, agent."""
-    to = posts.select("id", "room", F.col("agent").alias("author"), "at").join(members, "room").filter("agent <> author")
+    within the horizon. posts: id, room, agent, at; calls: id, agent, at; members: room, agent.
+
+    A post meets only members who call in its own slot of time or the next, a slot being as long
+    as the horizon. The next call is the last one before in descending order of time.
+    """
+    slot = F.expr(f"at div {horizon}")
+    busy = calls.select("agent", F.explode(F.array(slot, slot - 1)).alias("slot")).distinct().join(members, "agent")
+    to = posts.select("id", "room", F.col("agent").alias("author"), "at", slot.alias("slot")).join(busy, ["room", "slot"]).filter("agent <> author")
     p = to.select("agent", "at", F.lit(0).alias("side"), F.col("id").alias("post"), F.lit(None).cast("long").alias("call"))
     c = calls.select("agent", "at", F.lit(1).alias("side"), F.lit(None).cast("long").alias("post"), F.col("id").alias("call"))
-    ahead = Window.partitionBy("agent").orderBy("at", "side", "post", "call").rowsBetween(1, Window.unboundedFollowing)
-    rows = p.union(c).withColumn("n", F.first_value(F.when(F.col("side") == 1, F.struct("call", "at")), ignoreNulls=True).over(ahead))
+    ahead = Window.partitionBy("agent").orderBy(*[F.desc(x) for x in ("at", "side", "post", "call")]).rowsBetween(Window.unboundedPreceding, -1)
+    rows = p.union(c).withColumn("n", F.last_value(F.when(F.col("side") == 1, F.struct("call", "at")), ignoreNulls=True).over(ahead))
     return rows.filter(f"side = 0 and n is not null and n.at - at <= {horizon}").select("post", "agent", "n.call")
 
 

@@ -14,7 +14,7 @@ from .registry import query
 PARTS_SQL = f"""{TURNS_SQL},
 at_ex as (select *, min(case when role = 'assistant' then pos end) over (partition by world, agent order by pos rows between current row and unbounded following) ex from turns),
 parts as (select world, agent, ex, row_number() over (partition by world order by ex, agent, pos) step, case when role = 'assistant' then 'w' else 'r' end kind, pos,
-    ltrim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') text from at_ex where ex is not null),
+    role, text raw, ltrim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') text from at_ex where ex is not null),
 win as (select world, agent, step, kind, off, substr(text, off + 1, 24) h from parts, range(0, greatest(length(text) - 23, 0)) r(off)),
 nov as (select * from (select *, min(step) over (partition by world, agent, h) fs from win) where fs = step)"""
 SPANS_SQL = f"""{PARTS_SQL},
@@ -32,9 +32,11 @@ l as (select distinct w.world, w.step, w.agent, w.off, p.sid, p.sagent, p.sstep,
 l2 as (select *, case when off - lag(off) over (partition by world, step, sid order by off) <= 24 then 0 else 1 end brk from l),
 l3 as (select *, sum(brk) over (partition by world, step, sid order by off rows unbounded preceding) isl from l2),
 l4 as (select world, step, agent, sid, sagent, sstep, s, e, min(off) a, max(off) + 24 b from l3 group by world, step, agent, sid, sagent, sstep, s, e, isl),
-m as (select l4.world, l4.agent reader, p.ex reader_ex, p.pos read_pos, a, b, sagent sender, q.ex sender_ex, q.pos sender_pos, s, e
+m0 as (select l4.world, l4.agent reader, p.ex reader_ex, p.pos read_pos, a, b, substr(p.raw, a + 1, b - a) rd, substr(q.raw, s + 1, e - s) sp, case when p.role = 'system' then 'system_prompt' else 'user_turn' end carrier, sagent sender, q.ex sender_ex, q.pos sender_pos, s, e
     from l4 join parts p on p.world = l4.world and p.step = l4.step join parts q on q.world = l4.world and q.step = l4.sstep
-    where length(regexp_replace(substr(p.text, a + 1, b - a), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 20)"""
+    where length(regexp_replace(substr(p.text, a + 1, b - a), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 20),
+m as (select world, reader, reader_ex, read_pos, a, b, case when contains(sp, rd) then 'exact' when contains(ltrim(regexp_replace(lower(sp), '\\s+', ' ', 'g'), ' '), rtrim(ltrim(regexp_replace(lower(rd), '\\s+', ' ', 'g'), ' '), ' ')) then 'normalized' else 'decoded:json_string' end as class,
+    carrier, 'direct:' || carrier route, sender, sender_ex, sender_pos, s, e from m0)"""
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +44,13 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parts = D.parts_in_order(conversation_turns(spark, sf_dir)).withColumn("text", T.fold_plain(F.col("text")))
-    return parts, T.shingles(parts.select("world", "agent", "step", "kind", "text"), "text")
+    pieces = D.cut_pieces(D.parts_in_order(conversation_turns(spark, sf_dir)))
+    return pieces, D.window_rows(pieces, T.K).filter("kind <> 'd'")
+
+
+def _spans(pieces: DataFrame, windows: DataFrame) -> DataFrame:
+    seen = D.repeated_windows(windows).filter("kind = 'w' and first < step").select("world", "step", "at", "off").distinct()
+    return D.spans_between(seen, pieces, 24, 24, 20)
 
 
 @query(f"with {MATCHES_SQL} select * from m")
@@ -51,16 +58,17 @@ def detect_transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir)
 
 
-@query(f"with {MATCHES_SQL} select world, reader, reader_ex, sender, count(*) n_matches, sum(b - a)::bigint n_chars, min(read_pos) first_pos, arg_min(a, read_pos * 1000000 + a) first_a from m group by 1, 2, 3, 4")
+@query(f"with {MATCHES_SQL} select world, reader, reader_ex, sender, route, count(*) n_matches, sum(b - a)::bigint n_chars, min(read_pos) first_pos, arg_min(a, read_pos * 1000000 + a) first_a from m group by 1, 2, 3, 4, 5")
 def group_transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.group_transmissions(_matches(spark, sf_dir))
+    return D.group_transmissions(_matches(spark, sf_dir)).drop("evidence")
 
 
-@query(f"""with {MATCHES_SQL}, x as (select world, count(*) matches, count(distinct (reader, reader_ex, sender)) transmissions from m group by 1),
+@query(f"""with {MATCHES_SQL}, x as (select world, count(*) matches, count(distinct (reader, reader_ex, sender, route)) transmissions from m group by 1), sp as (select world, count(*) spans from spans group by 1),
     t as (select world, count(distinct agent) agents, count(*) filter (where role = 'assistant') exchanges from turns group by 1)
-    select t.world, agents, exchanges, coalesce(matches, 0) matches, coalesce(transmissions, 0) transmissions from t left join x on x.world = t.world""")
+    select t.world, agents, exchanges, coalesce(spans, 0) spans, coalesce(matches, 0) matches, 0 rereads, 0 out_of_reach, coalesce(transmissions, 0) transmissions from t left join x on x.world = t.world left join sp on sp.world = t.world""")
 def world_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.world_summary(conversation_turns(spark, sf_dir), _matches(spark, sf_dir))
+    turns = conversation_turns(spark, sf_dir)
+    return D.world_summary(turns, *D.scan(turns))
 
 
 @query(f"with {TURNS_SQL} select world, agent, pos, row_number() over (partition by world order by pos, agent) ord, 'end_turn' stop from turns where role = 'assistant'")
@@ -74,21 +82,19 @@ def novel_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.novel_windows(w).groupBy("world", "agent", "step", "kind").agg(F.count("*").alias("n"), F.count_distinct("h").alias("d"))
 
 
-@query(f"with {SPANS_SQL} select * from spans")
+@query(f"with {SPANS_SQL} select world, sagent, sstep, s, e from spans")
 def originated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, w = _windows(spark, sf_dir)
-    return D.originated_spans(D.novel_windows(w), parts, 24, 24, 20)
+    return _spans(*_windows(spark, sf_dir)).select("world", "sagent", "sstep", "s", "e")
 
 
-@query(f"""with {SPANS_SQL}, po as (select distinct n.world, n.h, sid, sstep from nov n join spans x on x.world = n.world and x.sstep = n.step and n.off >= x.s and n.off + 24 <= x.e where n.kind = 'w'),
+@query(f"""with {SPANS_SQL}, po as (select distinct n.world, n.h, sid, sstep, s from nov n join spans x on x.world = n.world and x.sstep = n.step and n.off >= x.s and n.off + 24 <= x.e where n.kind = 'w'),
     pr as (select *, dense_rank() over (partition by world, h order by sid) rk from po), pc as (select *, min(case when rk = 2 then sstep end) over (partition by world, h) cutoff from pr)
-    select world, sid, sstep, count(*) n, count(cutoff) cut from pc where rk <= 1 group by 1, 2, 3""")
+    select world, sstep, s, count(*) n, count(cutoff) cut from pc where rk <= 1 group by 1, 2, 3""")
 def boilerplate_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with a cutoff after one span."""
-    parts, w = _windows(spark, sf_dir)
-    novel = D.novel_windows(w)
-    posted = D.postings(novel, D.originated_spans(novel, parts, 24, 24, 20), 24, 1)
-    return posted.groupBy("world", "sid", "sstep").agg(F.count("*").alias("n"), F.count("cutoff").alias("cut"))
+    pieces, w = _windows(spark, sf_dir)
+    posted = D.postings(D.novel_windows(w.filter("kind <> 'd'")).filter("kind = 'w'"), _spans(pieces, w), 24, 1)
+    return posted.groupBy("world", "sstep", "s").agg(F.count("*").alias("n"), F.count("cutoff").alias("cut"))
 
 
 @query("select doc_id, ltrim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') folded from documents")
@@ -124,9 +130,21 @@ def first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("world", "sender", "reader", F.col("ord").alias("reader_ex")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""with w as (select doc_id, unnest(regexp_extract_all(text, '[0-9A-Fa-f]{16,}')) token from documents)
+    select doc_id, token, count(*) n, count(*) filter (where length(token) % 2 = 0) even from w group by 1, 2""")
+def hex_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of hexadecimal digits, which decode_tokens tries."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    t = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9A-Fa-f]{16,}"), F.lit(0))).alias("token"))
+    return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.count_if(F.length("token") % 2 == 0).alias("even"))
+
+
+@query("select doc_id, 'hex' codec, lower(hex(encode(text))) token, length(cast(doc_id as varchar)) + 1 as start, text decoded from documents where text <> '' and not regexp_matches(text, '[\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f]') and strlen(text) >= 8")
 def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.decode_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "text")
+    """Every whole text as hexadecimal digits behind its id, decoded."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").filter("octet_length(text) >= 8")
+    coded = d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.lower(F.hex(F.encode("text", "UTF-8")))).alias("text"))
+    return T.decode_tokens(coded, "text").filter("codec = 'hex'")
 
 
 @query(r"""with t as (select doc_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(regexp_replace(x, '^["''(<\[]+', ''), '["'')>\].,;:!?]+$', '')),

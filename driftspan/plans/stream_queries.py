@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftspan.operators import detect as D
+from driftspan.sources.adapters import conversation_turns
+from driftspan.sources.io import shared_folder
 from driftspan.streaming import online
 
+from .detect_queries import MATCHES_SQL
 from .registry import query
 from .sequence_queries import PAIRS_SQL
 
+#: How far out of order the events may come: longer than they last, as a table's files have no order of time.
+DELAY = 10 * 366 * 86_400_000_000
+
 
 @query(f"with {PAIRS_SQL} select * from pairs")
 def pairs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +30,19 @@ def pairs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders
     kind = F.when(F.col("event_type").isin("signup", "purchase"), "write").otherwise("read")
     accesses = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("agent"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.get_json_object("props", "$.k").alias("resource"), kind.alias("op"), ((F.col("event_id") % 17) == 0).alias("rejected"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairs-")
-    out = f"{base.rstrip('/')}/pairs-{uuid.uuid4().hex}"
-    q = online.pairs_stream(accesses, out)
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/pairs").drop("batch")
+    out = f"{shared_folder(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    online.pairs_stream(accesses, out, DELAY).awaitTermination()
+    return online.finish_pairs(spark, out)
+
+
+@query(f"with {MATCHES_SQL} select world, reader, a, b, class, sender, s, e, count(*) n from m group by all")
+def detect_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector over the conversations' parts as files of one range of exchanges each."""
+    base = f"{shared_folder(spark).rstrip('/')}/detect-{uuid.uuid4().hex}"
+    parts = D.parts_in_order(conversation_turns(spark, sf_dir)).drop("role").withColumn("step", F.col("step").cast("long"))
+    for cut in ("ex <= 3", "ex > 3"):  # a file is a batch, and files come in order of exchanges
+        parts.filter(cut).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{base}/in").schema)
+    online.detect_stream(spark, f"{base}/in", f"{base}/out", schema).awaitTermination()
+    m = spark.read.parquet(f"{base}/out/matches")
+    return m.groupBy("world", F.col("agent").alias("reader"), "a", "b", "class", F.col("sagent").alias("sender"), F.col("rs").alias("s"), F.col("re").alias("e")).agg(F.count("*").alias("n"))

@@ -11,11 +11,20 @@ from pyspark.sql.types import StructType
 LABEL_TABLES = ("labels_tx", "labels_control", "labels_exempt", "labels_cluster", "exchange_agent")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the checkpoint folder that the context or session
+    names. Only where executors are threads of the driver may it be unset, and one is made."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder the session names, and read back."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """df written to the shared folder and read back, so lost executors cost no recomputation."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from driftspan.functions import text as T
 from driftspan.operators import detect as D
 from driftspan.operators import sequence as Q
+from driftspan.sources.io import checkpointed
 
-POSTED = "world long, h long, sid long, sagent long, sstep long, s int, e int"
+POSTED = "world long, h long, sagent long, sstep long, sat int, s int, e int"
 SEEN = "world long, agent long, h long, step long"
-LATEST = "id long, agent long, at long, resource string, op string, rejected boolean"
+SPANS = "world long, sagent long, sstep long, sat int, s int, e int, piece string"
+ACCESS = "id long, agent long, at long, resource string, op string, rejected boolean"
 
 
 def _state(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
@@ -25,32 +27,40 @@ def _state(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame
     return spark.read.schema(schema + ", batch int").parquet(path).filter(F.col("batch") < batch).drop("batch")
 
 
+def _latest(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
+    """What the batch before this one has written."""
+    return spark.createDataFrame([], schema) if batch == 0 else spark.read.schema(schema).parquet(f"{path}/batch={batch - 1}")
+
+
 def _put(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def detect_batch(parts: DataFrame, seen: DataFrame, posted: DataFrame, k: int = T.K, min_word_chars: int = 20, max_postings: int = D.MAX_POSTINGS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, new seen rows, new postings) of the next parts of every world in order of step."""
-    parts = parts.withColumn("text", T.fold_plain(F.col("text"))).withColumn("step", F.col("step").cast("long"))
-    windows = T.shingles(parts.select("world", "agent", "step", "kind", "text"), "text", k)
-    first = windows.groupBy("world", "agent", "h").agg(F.min("step").alias("step"))
-    fresh = first.join(seen.select("world", "agent", "h"), ["world", "agent", "h"], "left_anti").select("world", "agent", "h", "step")
-    novel = windows.filter("kind = 'w'").join(fresh, ["world", "agent", "h", "step"], "left_semi")
-    spans = D.originated_spans(novel.withColumn("kind", F.lit("w")), parts, k, k, min_word_chars)
-    spans = spans.withColumn("sid", F.col("sstep") * 1_000_000_000 + F.col("s"))
-    own = novel.select("world", F.col("step").alias("sstep"), "off", "h").join(spans, ["world", "sstep"]).filter(f"off >= s and off + {k} <= e").select("world", "h", "sid", "sagent", "sstep", "s", "e").distinct()
-    both = posted.select("world", "h", "sid", "sagent", "sstep", "s", "e", F.lit(False).alias("new")).union(own.withColumn("new", F.lit(True)))
-    by = Window.partitionBy("world", "h")
-    ranked = both.withColumn("rank", F.dense_rank().over(by.orderBy("sid"))).filter(F.col("rank") <= max_postings + 1)
-    ranked = ranked.withColumn("cutoff", F.min(F.when(F.col("rank") == max_postings + 1, F.col("sstep"))).over(by))
-    hits = D.shingle_lookup(windows.filter("kind = 'r'"), ranked.filter(F.col("rank") <= max_postings))
-    runs = T.covered_runs(hits, ["world", "step", "agent", "sid", "sagent", "sstep", "s", "e"], k)
-    found = runs.join(parts.select("world", "step", "text"), ["world", "step"]).filter(T.good_span(F.expr("substring(text, a + 1, b - a)"), k, min_word_chars))
-    return found.select("world", "agent", "step", "a", "b", "sagent", "sstep", "s", "e"), fresh, ranked.filter("new").select("world", "h", "sid", "sagent", "sstep", "s", "e")
+def detect_batch(parts: DataFrame, seen: DataFrame, posted: DataFrame, known: DataFrame, k: int = T.K, min_word_chars: int = 20, max_postings: int = D.MAX_POSTINGS, min_decoded: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(matches, new seen rows, new postings, new spans) of the next parts of every world in order of step.
+
+    As detect(), with the windows seen, postings and spans of earlier parts as state; matches have
+    their steps, and their class, two_string_levels among them.
+    """
+    parts = parts.withColumn("step", F.col("step").cast("long"))
+    pieces = checkpointed(D.cut_pieces(parts, min_decoded))
+    windows = checkpointed(D.window_rows(pieces, k))
+    first = windows.filter("kind <> 'd'").groupBy("world", "agent", "h").agg(F.min("step").alias("first"))
+    before = seen.groupBy("world", "agent", "h").agg(F.min("step").alias("before"))
+    first = checkpointed(first.join(before, ["world", "agent", "h"], "left"))
+    written = windows.filter("kind = 'w'").join(first, ["world", "agent", "h"])
+    old = written.filter("before is not null or first < step").select("world", "step", "at", "off").distinct()
+    spans = checkpointed(D.spans_between(old, pieces, k, k, min_word_chars))
+    own = written.filter("before is null and first = step").select("world", F.col("step").alias("sstep"), F.col("at").alias("sat"), "off", "h")
+    own = own.join(spans.select("world", *D.SPAN), ["world", "sstep", "sat"]).filter(f"off >= s and off + {k} <= e").select("world", "h", *D.SPAN).distinct()
+    hits = D.shingle_lookup(windows.filter("kind <> 'w'"), D.ranked_postings(posted.select("world", "h", *D.SPAN).union(own), max_postings))
+    found = D.explained(hits, pieces, known.unionByName(spans), k, k, min_word_chars)
+    fresh = first.filter("before is null").select("world", "agent", "h", F.col("first").alias("step"))
+    return found, fresh, own, spans
 
 
 def detect_stream(spark: SparkSession, parts_path: str, out: str, schema: str = "world long, agent long, ex long, step long, kind string, pos long, text string"):
-    """A query that writes out/matches, out/seen, out/posted and out/rejected as files of parts arrive.
+    """A query that writes out/matches, out/seen, out/posted, out/spans and out/rejected as files of parts arrive.
 
     A file must not split an exchange, and a world's files come in order of step; parts at or before
     the last step seen of their world go to rejected.
@@ -58,15 +68,18 @@ def detect_stream(spark: SparkSession, parts_path: str, out: str, schema: str =
 
     def step(df: DataFrame, batch: int) -> None:
         df = df.persist()
-        seen, posted = _state(spark, f"{out}/seen", batch, SEEN), _state(spark, f"{out}/posted", batch, POSTED)
+        state = {name: _state(spark, f"{out}/{name}", batch, kind) for name, kind in (("seen", SEEN), ("posted", POSTED), ("spans", SPANS))}
         last = _state(spark, f"{out}/steps", batch, "world long, last long").groupBy("world").agg(F.max("last").alias("last"))
         rows = df.join(last, "world", "left")
         good = rows.filter("last is null or step > last").drop("last")
         _put(rows.filter("step <= last").drop("last"), f"{out}/rejected", batch)
-        matches, fresh, new = detect_batch(good, seen, posted)
+        here = good.select("world").distinct()
+        mine = {name: rows.join(here, "world", "left_semi") for name, rows in state.items()}  # a world's state is of use to it only
+        matches, fresh, new, spans = detect_batch(good, mine["seen"], mine["posted"], mine["spans"])
         _put(matches, f"{out}/matches", batch)
         _put(new, f"{out}/posted", batch)
         _put(fresh, f"{out}/seen", batch)
+        _put(spans, f"{out}/spans", batch)
         _put(good.groupBy("world").agg(F.max("step").alias("last")), f"{out}/steps", batch)
         df.unpersist()
 
@@ -74,23 +87,50 @@ def detect_stream(spark: SparkSession, parts_path: str, out: str, schema: str =
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
 
 
-def pairs_stream(accesses: DataFrame, out: str):
-    """A query that writes out/pairs: write_read_pairs over a stream of accesses in order of time.
+def _settle(rows: DataFrame, upto: int | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs of the reads up to a time, what later reads need): the resources' latest writes up to it, and all later rows."""
+    past = rows.filter("settled") if upto is None else rows.filter(f"settled or at <= {upto}")
+    fields = ["id", "agent", "at", "resource", "op", "rejected"]
+    now = past.filter("not settled").select(F.col("id").alias("read_id"))
+    pairs = Q.write_read_pairs(past.select(*fields)).join(now, "read_id", "left_semi")
+    newest = Window.partitionBy("resource").orderBy(F.desc("at"), F.desc("agent"), F.desc("id"))
+    writes = past.filter("op = 'write' and not rejected and resource is not null").withColumn("__rn", F.row_number().over(newest)).filter("__rn = 1")
+    state = writes.select(*fields, F.lit(True).alias("settled"))
+    return pairs, state if upto is None else state.union(rows.filter(f"not settled and at > {upto}").select(*fields, "settled"))
 
-    State is the latest accepted write of each resource.
+
+def pairs_stream(accesses: DataFrame, out: str, delay: int):
+    """A query that writes out/pairs: write_read_pairs over a stream of accesses, whose rows may come
+    `delay` microseconds out of order of time.
+
+    The watermark is the latest time seen less the delay. Reads wait until it has passed them, so
+    that a write that comes late is still found; rows at or before it when they come go to
+    out/rejected. State is each resource's latest accepted write up to the watermark and the rows
+    after it, written anew with each batch. finish_pairs gives the pairs of the reads still waiting.
     """
     spark = accesses.sparkSession
 
     def step(df: DataFrame, batch: int) -> None:
         df = df.persist()
-        state = _state(spark, f"{out}/latest", batch, LATEST)
-        newest = Window.partitionBy("resource").orderBy(F.desc("at"), F.desc("agent"), F.desc("id"))
-        state = state.withColumn("__rn", F.row_number().over(newest)).filter("__rn = 1").drop("__rn")
-        rows = df.select("id", "agent", "at", "resource", "op", "rejected")
-        pairs = Q.write_read_pairs(rows.unionByName(state)).join(rows.select(F.col("id").alias("read_id")), "read_id", "left_semi")
-        writes = rows.filter("op = 'write' and not rejected and resource is not null")
+        state, marks = _latest(spark, f"{out}/state", batch, f"{ACCESS}, settled boolean"), _state(spark, f"{out}/marks", batch, "upto long")
+        last = marks.agg(F.max("upto")).first()[0]
+        rows = df.select("id", "agent", "at", "resource", "op", "rejected", F.lit(False).alias("settled"))
+        late = F.lit(False) if last is None else F.col("at") <= last
+        top = df.agg(F.max("at")).first()[0]
+        upto = max([x for x in (last, None if top is None else top - delay) if x is not None], default=-(2**62))
+        pairs, left = _settle(state.union(rows.filter(~late)), upto)
+        _put(rows.filter(late).drop("settled"), f"{out}/rejected", batch)
         _put(pairs, f"{out}/pairs", batch)
-        _put(writes.withColumn("__rn", F.row_number().over(newest)).filter("__rn = 1").drop("__rn"), f"{out}/latest", batch)
+        _put(left, f"{out}/state", batch)
+        _put(spark.range(1).select(F.lit(upto).cast("long").alias("upto")), f"{out}/marks", batch)
         df.unpersist()
 
     return accesses.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
+def finish_pairs(spark: SparkSession, out: str) -> DataFrame:
+    """All pairs of a stream that has ended, those of reads after the last watermark among them."""
+    batches = spark.read.parquet(f"{out}/marks").agg(F.max("batch")).first()[0]
+    state = _latest(spark, f"{out}/state", batches + 1, f"{ACCESS}, settled boolean")
+    pairs, _ = _settle(state, 2**62)
+    return spark.read.parquet(f"{out}/pairs").drop("batch").unionByName(pairs)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from driftspan.operators import detect as D
+from driftspan.operators import sequence as Q
 from driftspan.streaming import online
 
 
@@ -87,7 +88,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for n, cut in enumerate(("ex <= 1", "ex = 2", "ex > 2")):
         parts.filter(cut).withColumn("step", F.col("step").cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     real = online.detect_batch
-    online.detect_batch = lambda p, s, q: real(p, s, q, k=4, min_word_chars=0, max_postings=2)
+    online.detect_batch = lambda p, s, q, x: real(p, s, q, x, k=4, min_word_chars=0, max_postings=2)
     try:
         online.detect_stream(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
     finally:
@@ -95,7 +96,56 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/matches"))
     batch = D.detect(turns, k=4, min_span=4, min_word_chars=0, max_postings=2)
     steps = parts.select("world", "step", F.col("agent").alias("x"), "ex", "pos")
-    named = got.join(steps, ["world", "step"]).select("world", F.col("agent").alias("reader"), F.col("ex").alias("reader_ex"), F.col("pos").alias("read_pos"), "a", "b", F.col("sagent").alias("sender"), "s", "e")
-    cols = ["world", "reader", "reader_ex", "read_pos", "a", "b", "sender", "s", "e"]
+    named = got.join(steps, ["world", "step"]).select("world", F.col("agent").alias("reader"), F.col("ex").alias("reader_ex"), F.col("pos").alias("read_pos"), "a", "b", F.col("sagent").alias("sender"), F.col("rs").alias("s"), F.col("re").alias("e"), "class")
+    cols = ["world", "reader", "reader_ex", "read_pos", "a", "b", "sender", "s", "e", "class"]
     assert sorted(map(tuple, named.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect())) and named.count()
     assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 0
+
+
+def test_pairs_stream_out_of_order(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1, 6), rng.randint(0, 900), f"r{rng.randint(0, 5)}", rng.choice(["read", "read", "write"]), rng.random() < 0.1) for i in range(400)]
+    df = spark.createDataFrame(rows, online.ACCESS)
+    for n in range(5):  # files that overlap in time
+        df.filter(f"at + (id % 3) * 90 >= {n * 180} and at + (id % 3) * 90 < {n * 180 + 180}" if n < 4 else "at + (id % 3) * 90 >= 720").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(online.ACCESS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    online.pairs_stream(stream, str(tmp_path / "out"), 400).awaitTermination()
+    got, want = online.finish_pairs(spark, str(tmp_path / "out")), Q.write_read_pairs(df)
+    cols = want.columns
+    assert spark.read.parquet(str(tmp_path / "out/marks")).count() == 5 and spark.read.parquet(str(tmp_path / "out/rejected")).count() == 0
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+
+
+BASE = "the wise old harbour master keeps the lamp lit until dawn"
+
+
+def found(spark, turns, calls=None, **options):
+    t = spark.createDataFrame(turns, "world long, agent long, pos long, role string, text string, call_id string")
+    c = calls and spark.createDataFrame(calls, "world long, agent long, pos long, call_id string, tool string, args string")
+    return D.detect(t, c, **options), D.scan(t, c, **options)
+
+
+def test_classes_routes_and_rereads(spark):
+    import base64
+    import json
+
+    quoted = BASE.replace("old", '"old"') + "\nand \U0001f600 beyond"
+    once = json.dumps(quoted)[1:-1]
+    turns = [
+        (1, 1, 0, "assistant", quoted, None), (1, 2, 0, "system", quoted, None), (1, 2, 1, "user", once, None), (1, 2, 2, "user", json.dumps(once)[1:-1], None), (1, 2, 3, "user", quoted.upper().replace(" ", "  "), None),
+        (1, 2, 4, "user", "see " + base64.b64encode(quoted.encode()).decode(), None), (1, 2, 5, "user", '{"signature": "' + BASE.replace(" ", "_") + '"}', None), (1, 2, 6, "tool", quoted, "c1"), (1, 2, 7, "tool", quoted, "c2"), (1, 2, 8, "assistant", "noted", None),
+        (1, 2, 9, "tool", "again: " + quoted, "c1"), (1, 2, 10, "tool", "again: " + quoted, "c2"), (1, 2, 11, "assistant", "fine", None), (1, 1, 20, "user", None, None),
+    ]
+    calls = [(1, 2, 5, "c1", "fetch", json.dumps({"path": "/srv/./notes"})), (1, 2, 5, "c2", "say", "{}"), (1, 2, 4, "c2", "old", json.dumps({"profile": "/not/a/path"}))]
+    matches, (hits, spans) = found(spark, turns, calls)
+    got = {(r["read_pos"], r["carrier"], r["route"], r["class"]) for r in matches.collect()}
+    assert got == {
+        (0, "system_prompt", "direct:system_prompt", "exact"), (1, "user_turn", "direct:user_turn", "decoded:json_string"), (3, "user_turn", "direct:user_turn", "normalized"), (4, "user_turn", "direct:user_turn", "decoded:base64"),
+        (6, "tool_result", "channel:file:/srv/notes", "exact"), (7, "tool_result", "direct:tool:say", "exact"), (10, "tool_result", "direct:tool:say", "exact"),
+    }
+    texts = {t[2]: t[4] for t in turns if t[1] == 2}
+    assert all(texts[r["read_pos"]][r["a"] : r["b"]] == once for r in matches.filter("read_pos = 1").collect()) and all(quoted[r["s"] : r["e"]] == quoted for r in matches.collect())
+    s = D.world_summary(spark.createDataFrame(turns, "world long, agent long, pos long, role string, text string, call_id string"), hits, spans).first()
+    assert (s["agents"], s["exchanges"], s["spans"], s["rereads"], s["out_of_reach"], s["transmissions"]) == (2, 3, 1, 1, 1, 5)
+    groups = {(r["reader_ex"], r["route"]): r for r in D.group_transmissions(matches).collect()}
+    assert groups[8, "direct:user_turn"]["n_matches"] == 3 and [e["read_pos"] for e in groups[8, "direct:user_turn"]["evidence"]] == [1, 3, 4]
