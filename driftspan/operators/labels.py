@@ -101,22 +101,32 @@ def hit_routes(hits: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def find_occurrences(needles: DataFrame, texts: DataFrame, k: int = T.K) -> DataFrame:
-    """(needle_id, text_id, class, n, at): texts that hold a needle, exactly or folded.
+    """(needle_id, text_id, class, n, at): texts that hold a needle, exactly, folded, or folded once
+    one level of string escapes is undone (decoded); the weakest class that does counts.
 
     needles: needle_id, needle; texts: text_id, text. Texts that share the hash of a needle's first
-    folded window are looked at, so no needle meets all texts; shorter needles are not found. n
-    counts copies that do not overlap, `at` is the first.
+    folded window are looked at, so no needle meets all texts; a shorter needle is one window of its
+    own length, of which there are fewer than k. Blank needles are in no text. n counts copies that
+    do not overlap, `at` is the first, in the text of that class.
     """
-    n = needles.withColumn("plain", F.rtrim(T.fold_plain(F.col("needle")))).filter(F.length("plain") >= k)
-    first = n.select("needle_id", "needle", "plain", F.xxhash64(F.substring("plain", 1, k)).alias("h"))
-    folded = texts.withColumn("folded", T.fold_plain(F.col("text")))
-    windows = T.shingles(folded.select("text_id", F.col("folded").alias("w")), "w", k)
-    met = windows.join(first, "h").select("needle_id", "text_id", "needle", "plain").distinct().join(folded, "text_id")
-    exact = F.col("text").contains(F.col("needle"))
-    found = met.filter(exact | F.col("folded").contains(F.col("plain")))
-    where, what = F.when(exact, F.col("text")).otherwise(F.col("folded")), F.when(exact, F.col("needle")).otherwise(F.col("plain"))
+    n = needles.withColumn("plain", F.rtrim(T.fold_plain(F.col("needle")))).filter("plain <> ''")
+    n = n.withColumn("size", F.least(F.length("plain"), F.lit(k))).withColumn("h", F.xxhash64(F.substring(F.col("plain"), F.lit(1), F.col("size"))))
+    sizes = sorted(r["size"] for r in n.select("size").distinct().collect())  # k values at most
+    forms = texts.select("text_id", "text", T.fold_plain(F.col("text")).alias("folded"), F.when(F.col("text").contains("\\"), T.fold_plain(T.unescape_once(F.col("text")))).alias("undone"))
+    looked = forms.select("text_id", F.explode(F.array_compact(F.array("folded", "undone"))).alias("w"))
+    met = None
+    for size in sizes:
+        own = n.filter(F.col("size") == size).select("needle_id", "needle", "plain", "h")
+        found = T.shingles(looked, "w", size).join(own, "h").select("needle_id", "text_id", "needle", "plain")
+        met = found if met is None else met.union(found)
+    if met is None:
+        met = looked.join(n, F.lit(False)).select("needle_id", "text_id", "needle", "plain")
+    met = met.distinct().join(forms, "text_id")
+    exact, folded = F.col("text").contains(F.col("needle")), F.col("folded").contains(F.col("plain"))
+    found = met.filter(exact | folded | F.col("undone").contains(F.col("plain")))
+    where, what = F.when(exact, F.col("text")).when(folded, F.col("folded")).otherwise(F.col("undone")), F.when(exact, F.col("needle")).otherwise(F.col("plain"))
     copies = (F.length(where) - F.length(F.replace(where, what, F.lit("")))) / F.length(what)
-    return found.select("needle_id", "text_id", F.when(exact, "exact").otherwise("normalized").alias("class"), copies.cast("long").alias("n"), (F.position(what, where) - 1).cast("long").alias("at"))
+    return found.select("needle_id", "text_id", F.when(exact, "exact").when(folded, "normalized").otherwise("decoded").alias("class"), copies.cast("long").alias("n"), (F.position(what, where) - 1).cast("long").alias("at"))
 
 
 def line_sources(revisions: DataFrame) -> DataFrame:

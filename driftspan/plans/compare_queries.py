@@ -104,15 +104,18 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.notes(rows)
 
 
-@query(f"""with recursive {ACCESS_SQL}, e as (select distinct agent u, agent * 37 % 151 v from accesses where agent % 5 = 1), b as (select u, v from e union select v, u from e), r as (select u a, u b from b union select r.a, b.v from r join b on b.u = r.b)
-    select a as node, min(b) as component from r group by a""")
+@query(f"with {ACCESS_SQL} select id as node, min(id) over (partition by agent, tm // 86400000000) as component from accesses qualify count(*) over (partition by agent, tm // 86400000000) > 1")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(access_log(spark, sf_dir).filter("agent % 5 = 1").selectExpr("agent as u", "agent * 37 % 151 as v").distinct())
+    """Every access linked to its agent's one before on the same day."""
+    from pyspark.sql import Window
 
+    day = Window.partitionBy("agent", F.expr("at div 86400000000")).orderBy("at", "id")
+    return G.components(access_log(spark, sf_dir).select(F.col("id").alias("u"), F.lag("id").over(day).alias("v")).filter("v is not null"))
 
-@query(f"""with recursive {ACCESS_SQL}, e as (select distinct 'a:' || agent u, 'p:' || lpad((id % 400)::varchar, 4, '0') v from accesses where id < 400), b as (select u, v from e union select v, u from e), r as (select u a, u b from b union select r.a, b.v from r join b on b.u = r.b),
-    c as (select a, min(b) c from r group by a) select min(substr(a, 3)) filter (where a like 'p:%') as world, count(*) filter (where a like 'a:%') agents, count(*) filter (where a like 'p:%') pages from c group by c having count(*) filter (where a like 'a:%') >= 1""")
+
+@query(f"""with {ACCESS_SQL}, e as (select distinct agent, resource || ':' || agent % 10 page, agent % 10 part from accesses where resource is not null)
+    select min(page) as world, count(distinct agent) agents, count(distinct page) pages from e group by part""")
 def plan_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Worlds of the first pages, one agent or more."""
-    a = access_log(spark, sf_dir).filter("id < 400").select(F.col("agent").cast("string").alias("agent"), F.lpad((F.col("id") % 400).cast("string"), 4, "0").alias("page"))
+    """Worlds of all accesses; an agent's pages are those of its last digit."""
+    a = access_log(spark, sf_dir).filter("resource is not null").select(F.col("agent").cast("string").alias("agent"), F.expr("concat(resource, ':', agent % 10)").alias("page"))
     return G.plan_worlds(a, 1)

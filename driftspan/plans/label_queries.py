@@ -23,21 +23,26 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, "key")
 
 
-@query(r"""with t as (select item_id, text from benchmark), d as (select doc_id, text, ltrim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') f from documents), n as (select item_id, substr(text, 1, 80) needle, rtrim(ltrim(regexp_replace(lower(substr(text, 1, 80)), '\s+', ' ', 'g'), ' '), ' ') plain from benchmark)
+@query(r"""with d as (select doc_id, text, ltrim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') f from documents), n as (select item_id, text needle, rtrim(ltrim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), ' ') plain from benchmark union all select item_id || ':short', substr(text, 1, 20), rtrim(ltrim(regexp_replace(lower(substr(text, 1, 20)), '\s+', ' ', 'g'), ' '), ' ') from benchmark)
     select item_id as needle_id, doc_id as text_id, case when contains(text, needle) then 'exact' else 'normalized' end as class,
     case when contains(text, needle) then (length(text) - length(replace(text, needle, ''))) // length(needle) else (length(f) - length(replace(f, plain, ''))) // length(plain) end as n,
-    case when contains(text, needle) then strpos(text, needle) - 1 else strpos(f, plain) - 1 end as "at" from n join d on contains(text, needle) or contains(f, plain) where length(plain) >= 24""")
+    case when contains(text, needle) then strpos(text, needle) - 1 else strpos(f, plain) - 1 end as "at" from n join d on contains(text, needle) or contains(f, plain) where length(plain) > 0""")
 def benchmark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark", F.col("item_id"), "text").select(F.col("item_id").alias("needle_id"), F.substring("text", 1, 80).alias("needle"))
-    return L.find_occurrences(b, table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("text_id"), "text"))
+    """Whole benchmark items, and the beginning of each as a short needle, in all documents."""
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    needles = b.select(F.col("item_id").cast("string").alias("needle_id"), F.col("text").alias("needle"))
+    needles = needles.union(b.select(F.concat("item_id", F.lit(":short")), F.substring("text", 1, 20)))
+    return L.find_occurrences(needles, table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("text_id"), "text"))
 
 
-@query(r"""with s as (select doc_id, substr(text, 1, 200) span, case doc_id % 3 when 0 then substr(text, 11, 60) when 1 then translate(substr(text, 11, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') else replace(substr(text, 11, 60), ' ', '  ') end as r from documents where length(text) >= 100 and not contains(substr(text, 1, 200), '\') and not contains(text, ''''''))
-    select doc_id, case when contains(span, r) then 'exact' when contains(ltrim(regexp_replace(lower(span), '\s+', ' ', 'g'), ' '), rtrim(ltrim(regexp_replace(lower(r), '\s+', ' ', 'g'), ' '), ' ')) then 'normalized' else 'decoded:json_string' end as class from s""")
+@query(r"""with s as (select doc_id, text span, substr(text, 11, 60) c from documents where text is not null), r as (select doc_id, span, case doc_id % 5 when 0 then c when 1 then translate(c, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 2 then replace(c, ' ', '  ') when 3 then replace(replace(c, '"', '\"'), chr(10), '\n') else replace(c, '''', '''''') end as r from s)
+    select doc_id, case when contains(span, r) then 'exact' when rtrim(ltrim(regexp_replace(lower(r), '\s+', ' ', 'g'), ' '), ' ') <> '' and contains(ltrim(regexp_replace(lower(span), '\s+', ' ', 'g'), ' '), rtrim(ltrim(regexp_replace(lower(r), '\s+', ' ', 'g'), ' '), ' ')) then 'normalized' when doc_id % 5 = 4 then 'decoded:yaml_string' else 'decoded:json_string' end as class from r""")
 def classify_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").filter("length(text) >= 100").filter(~F.substring("text", 1, 200).contains("\\") & ~F.col("text").contains("''"))
-    read = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 11, 60)).when(F.col("doc_id") % 3 == 1, F.translate(F.substring("text", 11, 60), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.replace(F.substring("text", 11, 60), F.lit(" "), F.lit("  ")))
-    return d.select("doc_id", T.classify(F.substring("text", 1, 200), read).alias("class"))
+    """Whole texts as spans; a cut of each is read as it is, in capitals, spaced out, escaped, or with its quotes doubled."""
+    d, cut, way = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null"), F.substring("text", 11, 60), F.col("doc_id") % 5
+    escaped = F.replace(F.replace(cut, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    read = F.when(way == 0, cut).when(way == 1, F.translate(cut, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(way == 2, F.replace(cut, F.lit(" "), F.lit("  "))).when(way == 3, escaped).otherwise(F.replace(cut, F.lit("'"), F.lit("''")))
+    return d.select("doc_id", T.classify(F.col("text"), read).alias("class"))
 
 
 @query("""with e as (select event_id, json_extract_string(props, '$.k') k from events) select event_id, case when k is not null then '/srv/' || k end as resource from e""")
@@ -54,25 +59,14 @@ def arrival_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.arrival_tally(d.select(F.col("source").alias("suite"), kind.alias("class"), (F.col("n_chars") > 500).alias("attack"), (F.col("n_chars") > 5000).alias("second_hop")))
 
 
-@query(r"""with l as (select conv_id page, turn seq, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no, conv_id * 10 + turn % 3 author, unnest(string_split(text, chr(10))) text from conversations),
-    g as (select page // 20 page, seq * 10000 + page as seq, line_no, author, text from l where length(text) >= 24), f as (select page, text, min((seq, line_no, author)) m from g group by 1, 2)
+@query(r"""with l as (select conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no, unnest(string_split(text, chr(10))) text from conversations),
+    g as (select conv_id // 20 page, turn * 10000 + conv_id as seq, line_no, conv_id * 10 + turn % 3 author, text from l where length(text) >= 24 union all select conv_id // 20, (turn + 100) * 10000 + conv_id, line_no, conv_id * 10 + 9, text from l where length(text) >= 24 and turn = 0 and conv_id % 2 = 0),
+    f as (select page, text, min((seq, line_no, author)) m from g group by 1, 2)
     select g.page, g.seq, line_no as line, author, m[3] as origin from g join f on f.page = g.page and f.text = g.text where m[1] < g.seq and m[3] <> author""")
 def relay_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of conversations that an earlier one of the same score of conversations has."""
+    """Lines of a score of conversations; another author inserts the first turn of every second one again."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    lines = c.select(F.expr("conv_id div 20").alias("page"), (F.col("turn") * 10000 + F.col("conv_id")).alias("seq"), (F.col("conv_id") * 10 + F.col("turn") % 3).alias("author"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    return L.relay_lines(lines)
-
-
-@query()
-def line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisions made of conversations: every turn adds its lines at the top."""
-    c = conversation_turns(spark, sf_dir).select(F.col("agent").alias("page"), F.col("pos").alias("seq"), F.size(F.split("text", "\n")).alias("added"))
-    from pyspark.sql import Window
-
-    total = F.sum("added").over(Window.partitionBy("page").orderBy("seq"))
-    rev = c.withColumn("total", total.cast("int"))
-
-    hunks = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("removed"), F.col("added").alias("added")))
-    rev = rev.withColumn("hunks", hunks).withColumn("n_lines", F.col("total")).drop("total", "added")
-    return L.line_sources(rev).withColumn("sources", F.to_json("sources"))
+    line = F.posexplode(F.split("text", "\n")).alias("line_no", "text")
+    own = c.select(F.expr("conv_id div 20").alias("page"), F.expr("turn * 10000 + conv_id").alias("seq"), F.expr("conv_id * 10 + turn % 3").alias("author"), line)
+    again = c.filter("turn = 0 and conv_id % 2 = 0").select(F.expr("conv_id div 20"), F.expr("(turn + 100) * 10000 + conv_id"), F.expr("conv_id * 10 + 9"), line)
+    return L.relay_lines(own.union(again))

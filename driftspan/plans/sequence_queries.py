@@ -72,12 +72,12 @@ def access_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.access_stats(a, Q.write_read_pairs(a))
 
 
-@query(f"""with {ACCESS_SQL}, e as (select agent, tm, id, resource from accesses where event_type = 'signup'), p as (select agent, tm, id from accesses where id % 3 = 0)
+@query(f"""with {ACCESS_SQL}, e as (select agent, tm, id, resource from accesses where event_type = 'signup'), p as (select agent, tm, id from accesses)
     select p.id, p.agent, p.tm as at, coalesce((select arg_max(resource, (e.tm, e.id)) from e where e.agent = p.agent and e.tm <= p.tm), (select arg_min(resource, (e.tm, e.id)) from e where e.agent = p.agent and e.tm > p.tm), 'none') as value from p""")
 def state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = access_log(spark, sf_dir)
     events = a.filter("event_type = 'signup'").select("agent", "at", "id", F.col("resource").alias("value"))
-    return Q.state_asof(events, a.filter("id % 3 = 0").select("agent", "at", "id"), "agent", "none")
+    return Q.state_asof(events, a.select("agent", "at", "id"), "agent", "none")
 
 
 @query(f"""with {ACCESS_SQL}, i as (select id, agent, tm as s, case when id % 9 <> 0 then tm + 7200000000 * (1 + id % 12) end e from accesses where event_type = 'purchase'), p as (select id, agent, tm from accesses where op = 'read')
@@ -130,20 +130,20 @@ def session_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.session_owner(access_log(spark, sf_dir).filter("resource is not null").select(F.col("resource").alias("session"), "agent", (F.col("id") % 4).alias("priority")))
 
 
-@query(f"""with {ACCESS_SQL}, c as (select id % 6 as world, agent, resource as message, id as exchange, tm as ord from accesses), l as (select id, id % 6 as world, (agent * 7) % 150 as agent, resource as message from accesses where id % 4 = 1)
+@query(f"""with {ACCESS_SQL}, c as (select id % 6 as world, agent, resource as message, id as exchange, tm as ord from accesses), l as (select id, id % 6 as world, (agent * 7) % 150 as agent, resource as message from accesses)
     select l.id, coalesce((select arg_min(exchange, (ord, exchange)) from c where c.world = l.world and c.agent = l.agent and c.message = l.message), (select arg_min(exchange, (ord, exchange)) from c where c.world = l.world and c.message = l.message)) as exchange from l""")
 def first_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = access_log(spark, sf_dir).withColumn("world", F.col("id") % 6)
     carried = a.select("world", "agent", F.col("resource").alias("message"), F.col("id").alias("exchange"), F.col("at").alias("ord"))
-    return Q.first_carrier(a.filter("id % 4 = 1").select("id", "world", ((F.col("agent") * 7) % 150).alias("agent"), F.col("resource").alias("message")), carried)
+    return Q.first_carrier(a.select("id", "world", ((F.col("agent") * 7) % 150).alias("agent"), F.col("resource").alias("message")), carried)
 
 
 @query("""with w as (select doc_id write_id, n, trim(line) line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents)
-    where length(trim(line)) >= 24 and length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) >= 20), r as (select doc_id read_id, doc_id - 1 write_id, text from documents union all select doc_id, doc_id, text from documents where doc_id % 5 = 0),
+    where length(trim(line)) >= 24 and length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) >= 20), r as (select doc_id read_id, doc_id - 1 write_id, text from documents union all select doc_id, doc_id, text from documents),
     m as (select read_id, r.write_id, line, row_number() over (partition by read_id, r.write_id order by length(line) desc, n) rn from r join w on w.write_id = r.write_id and contains(text, line)) select read_id, write_id, line from m where rn = 1""")
 def authored_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    reads = d.select(F.col("doc_id").alias("read_id"), (F.col("doc_id") - 1).alias("write_id"), "text").union(d.filter("doc_id % 5 = 0").select("doc_id", "doc_id", "text"))
+    reads = d.select(F.col("doc_id").alias("read_id"), (F.col("doc_id") - 1).alias("write_id"), "text").union(d.select("doc_id", "doc_id", "text"))
     return Q.authored_line_found(d.select(F.col("doc_id").alias("write_id"), "text"), reads)
 
 
