@@ -43,8 +43,8 @@ g as (select conv_id, turn, count(*) n_quotes, count(found) n_linked, arg_min(fo
 e as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) before from (select distinct conv_id, turn from t)),
 m as (select t.conv_id, t.turn, trim(t.text) own_text, coalesce(n_quotes, 0) n_quotes, coalesce(n_linked, 0) n_linked, coalesce(g.parent, e.before) parent_turn
     from t join e on e.conv_id = t.conv_id and e.turn = t.turn left join g on g.conv_id = t.conv_id and g.turn = t.turn),
-p as (select conv_id, turn, lpad(turn::varchar, 12, '0') path from m where parent_turn is null
-    union all select m.conv_id, m.turn, p.path || '/' || lpad(m.turn::varchar, 12, '0') from p join m on m.conv_id = p.conv_id and m.parent_turn = p.turn)
+p as (select conv_id, turn, lpad((turn::hugeint + 9223372036854775808)::varchar, 20, '0') path from m where parent_turn is null
+    union all select m.conv_id, m.turn, p.path || '/' || lpad((m.turn::hugeint + 9223372036854775808)::varchar, 20, '0') from p join m on m.conv_id = p.conv_id and m.parent_turn = p.turn)
 select m.*, p.path from m left join p on p.conv_id = m.conv_id and p.turn = m.turn
 """,
     "op6_extendible_shards": f"""

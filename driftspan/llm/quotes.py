@@ -23,15 +23,19 @@ def _normal(text: Column) -> Column:
 def passages(text: Column) -> Column:
     """Array of (level, text) of a message's passages in order; blank lines end none of them."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, "^((?:[ \t]*>)*)", 1), "[^>]", "")).alias("level"), F.regexp_replace(x, "^(?:[ \t]*>)+[ \t]?", "").alias("text")))
-    none = F.expr("cast(array() as array<struct<level: int, lines: array<string>>>)")
+    once = lambda value, body: F.get(F.transform(F.array(value), body), 0)
 
-    def add(acc, line):
-        new = F.concat(acc, F.array(F.struct(line["level"].alias("level"), F.array(line["text"]).alias("lines"))))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat(last["lines"], F.array(line["text"])).alias("lines"))))
-        return F.when(F.size(acc) == 0, new).when(last["level"] == line["level"], longer).otherwise(new)
+    def cut(x: Column, starts: Column) -> Column:
+        size = lambda a, k: F.coalesce(F.get(starts, k + 1), F.size(x)) - a
+        return F.transform(starts, lambda a, k: F.struct(F.get(x, a)["level"].alias("level"), F.array_join(F.transform(F.slice(x, a + 1, size(a, k)), lambda y: y["text"]), "\n").alias("text")))
 
-    return F.transform(F.aggregate(lines, none, add), lambda p: F.struct(p["level"].alias("level"), F.array_join(p["lines"], "\n").alias("text")))
+    first = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["level"] != F.get(x, i - 1)["level"]))
+    return once(lines, lambda x: once(first(x), lambda starts: cut(x, starts)))
+
+
+def _key(turn: Column) -> Column:
+    """A turn as 20 digits whose order as text is that of the turns, negative ones too."""
+    return F.lpad((turn.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
@@ -40,7 +44,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     own_text is the message without quoted lines; n_quotes counts its quoted passages that are not
     blank, n_linked those found in an earlier message. parent_turn is the latest message that its
     outermost linked level quotes, or else the turn before it; null for a conversation's first
-    message. path has the turns from the first message down to this one: in its order every message
+    message. path has the turns from the first message down to this one, each plus 2**63 as 20 digits: in its order every message
     follows its parent, and replies to one message come in order of turn. It is as long as the
     chain of replies is deep.
 
@@ -74,6 +78,6 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
             break
         above = paths.select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("up").alias("up2"), F.col("path").alias("path2"))
         paths = paths.join(above, (F.col("c") == F.col("c2")) & (F.col("up") == F.col("t2")), "left").select("c", "t", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
-    digits = F.transform("path", lambda t: F.lpad(t.cast("string"), 12, "0"))
+    digits = F.transform("path", _key)
     out = named.join(paths.select("c", "t", F.array_join(digits, "/").alias("path")), ["c", "t"], "left")
     return out.select(F.col("c").alias(conv_col), F.col("t").alias(turn_col), "own_text", F.col("n_quotes").cast("long").alias("n_quotes"), F.col("n_linked").cast("long").alias("n_linked"), F.col("parent").alias("parent_turn"), "path")
