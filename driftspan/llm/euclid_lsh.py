@@ -58,8 +58,7 @@ def unit_rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str,
                     units.append(None)
                     buckets.append(None)
                     continue
-                directions, shifts = _projections(len(v), tables, projections, width)
-                cells = np.floor(v @ directions + shifts).astype(np.int64).reshape(tables, projections)
+                cells = _cells(v[None], tables, projections, width)
                 keys.append(f"{label}".encode() + b"|" + v.tobytes())
                 units.append(v.tobytes())
                 buckets.append(cells.astype("<i2").tobytes())
@@ -69,12 +68,18 @@ def unit_rows(vectors: DataFrame, id_col: str, vector_col: str, label_col: str,
     return picked.mapInArrow(run, f"id {vectors.schema[id_col].dataType.simpleString()}, label string, key binary, unit binary, buckets binary").withColumn("key", F.sha2("key", 256))
 
 
-def _meet(rows: list[tuple], least: float, projections: int, table: int) -> tuple[list, list]:
-    """(counts (rep, linked vectors), links (u, v)) of one meeting; rows are (side, rep, copies, unit, buckets)."""
+def _cells(units: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
+    """The bucket of each unit vector in each table. Row by row, so that a vector's buckets never depend on its neighbours."""
+    directions, shifts = _projections(units.shape[1], tables, projections, width)
+    return np.stack([np.floor(v @ directions + shifts) for v in units]).astype(np.int64).reshape(-1, tables, projections)
+
+
+def _meet(rows: list[tuple], least: float, tables: int, projections: int, width: float, table: int) -> tuple[list, list]:
+    """(counts (rep, linked vectors), links (u, v)) of one meeting; rows are (side, rep, copies, unit)."""
     side = np.array([r[0] for r in rows])
     reps, copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     units = np.stack([np.frombuffer(r[3], "<f8") for r in rows])
-    cells = np.stack([np.frombuffer(r[4], "<i2").reshape(-1, projections) for r in rows])
+    cells = _cells(units, tables, projections, width)
     two = bool(side.any())
     a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(rows)),) * 2
     if not len(a) or not len(b):
@@ -115,25 +120,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     precision are linked when a table finds them; none below is linked. component_id is the
     smallest id reachable by links. Null, empty, zero and non-finite vectors, those that hold
     nulls, and rows with a null label link with nothing. Repeated rows are vectors of their own; a
-    null id has no component. Ids are integers. Other columns are ignored; no rows give none.
+    null id is in no component unless an equal vector has an id. Ids are integers. Other columns are ignored; no rows give none.
     """
     rows = checkpointed(unit_rows(vectors, id_col, vector_col, label_col, tables, projections, width))
     usable = rows.filter("key is not null and id is not null")
     classes = checkpointed(usable.groupBy("key").agg(F.min("id").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("unit").alias("unit"), F.first("buckets").alias("buckets"), F.first(F.octet_length("unit")).alias("size")))
 
+    # buckets first, without the vectors, which only go to the meetings
     step = 2 * projections
-    placed = classes.select("rep", "copies", "unit", "buckets", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64("label", "size", t, F.col("buckets").substr(t * step + 1, F.lit(step))))).alias("t", "bucket"))
+    placed = classes.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64("label", "size", t, F.col("buckets").substr(t * step + 1, F.lit(step))))).alias("t", "bucket"))
     counts = placed.groupBy("t", "bucket").agg(F.count("*").alias("c")).filter("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK_ROWS).cast("int"))
     dealt = placed.join(counts.drop("c"), ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
+    dealt = dealt.groupBy("rep").agg(F.collect_list(F.struct("t", "bucket", "blocks", "block")).alias("at"))  # `tables` entries at most
+    dealt = classes.select("rep", "copies", "unit").join(dealt, "rep").select("rep", "copies", "unit", F.inline("at"))
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("block", b).alias("a"), F.greatest("block", b).alias("b"), F.when(F.col("block") > b, 1).otherwise(0).alias("side")))
-    dealt = dealt.select("t", "bucket", "rep", "copies", "unit", "buckets", F.explode(meetings).alias("m")).select("t", "bucket", "m.a", "m.b", "m.side", "rep", "copies", "unit", "buckets")
+    dealt = dealt.select("t", "bucket", "rep", "copies", "unit", F.explode(meetings).alias("m")).select("t", "bucket", "m.a", "m.b", "m.side", "rep", "copies", "unit")
     dealt = dealt.repartition("t", "bucket", "a", "b").sortWithinPartitions("t", "bucket", "a", "b")
 
     def run(batches):
         key, held = None, []
 
         def done():
-            found, links = _meet(held, least, projections, key[0]) if len(held) > 1 else ([], [])
+            found, links = _meet(held, least, tables, projections, width, key[0]) if len(held) > 1 else ([], [])
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found] + [u for u, _ in links], pa.int64()), pa.array([n for _, n in found] + [None] * len(links), pa.int64()), pa.array([None] * len(found) + [v for _, v in links], pa.int64())], names=["rep", "n", "other"])
 
         for batch in batches:
