@@ -127,11 +127,12 @@ def diagonals(index: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
-    """(doc, query_id, start, end): spans of at most `slop` words around all terms of a query.
+    """(doc, query_id, start, end): spans of at most `slop` words that hold all terms of a query.
 
-    index: positional_index(...); queries: (query_id, words), hashes as of item_words. For each
-    place of the query's rarest term the nearest places of its other terms are taken within the
-    document; end is exclusive. A query's terms count once each; a query without terms has no match.
+    index: positional_index(...); queries: (query_id, words), hashes as of item_words. Each place of
+    the query's rarest term gives the shortest span around it, the first of equals, if that is short
+    enough: from every place of a term before it, the span reaches to the first place of each other
+    term; end is exclusive. A query's terms count once each; a query without terms has no match.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
     lengths = index.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
@@ -140,10 +141,12 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
     met = index.join(whole.join(total, "query_id"), "term")
     rare = met.filter("rank = 1").select("query_id", "doc", "total", F.explode("positions").alias("q"))
     other = met.filter("rank > 1").select("query_id", "doc", "positions")
-    # of each other term the place nearest to q
-    near = rare.join(other, ["query_id", "doc"], "left").withColumn("p", F.expr("array_min(transform(filter(positions, x -> abs(x - q) < %d), x -> struct(abs(x - q) as d, x as x))).x" % slop))
-    spans = near.groupBy("query_id", "doc", "q", "total").agg((F.count("p") + 1).alias("terms"), F.least("q", F.min("p")).alias("start"), (F.greatest("q", F.max("p")) + 1).alias("end"))
-    return spans.filter((F.col("terms") == F.col("total")) & (F.col("end") - F.col("start") <= slop)).select("doc", "query_id", "start", "end").distinct()
+    near = rare.join(other, ["query_id", "doc"], "left").withColumn("p", F.expr(f"filter(positions, x -> abs(x - q) < {slop})"))
+    near = near.groupBy("query_id", "doc", "q", "total").agg(F.collect_list("p").alias("near")).filter("size(near) = total - 1 and not exists(near, xs -> size(xs) = 0)")
+    spans = near.withColumn("starts", F.expr("array_union(array(q), filter(flatten(near), x -> x < q))"))
+    ends = "array_max(transform(near, xs -> array_min(filter(xs, x -> x >= s))))"
+    spans = spans.withColumn("span", F.expr(f"array_min(transform(filter(starts, s -> not exists(near, xs -> not exists(xs, x -> x >= s))), s -> struct(greatest(q, coalesce({ends}, q)) + 1 - s as length, s as start)))"))
+    return spans.filter(f"span.length <= {slop}").select("doc", "query_id", F.col("span.start").alias("start"), F.expr("span.start + span.length").alias("end")).distinct()
 
 
 def _hits(words: np.ndarray, item: np.ndarray, diagonal: int, width: int) -> list[tuple[int, int]]:

@@ -73,6 +73,25 @@ def test_proximity(spark):
     assert [tuple(r) for r in decontaminate.proximity_matches(index, queries, 5).select("doc", "start", "end").collect()] == [(1, 0, 5)]
 
 
+def test_proximity_against_brute_force(spark):
+    r = np.random.default_rng(6)
+    docs = [(i, " ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "x", "y", "z"], r.integers(3, 60)))) for i in range(60)]
+    asked, slop = {"q1": "aa bb cc", "q2": "dd ee", "q3": "aa", "q4": "aa absent", "q5": "bb bb ee aa"}, 5
+    queries = decontaminate.item_words(spark.createDataFrame(list(asked.items()), "item_id string, text string"), "item_id", "text").select(F.col("item_id").alias("query_id"), "words")
+    index = decontaminate.positional_index(frame(spark, docs), "doc_id", "text", queries.select(F.explode("words").alias("term")))
+    got = {(f["query_id"], f["doc"], f["start"], f["end"]) for f in decontaminate.proximity_matches(index, queries, slop).collect()}
+    for q, text_ in asked.items():
+        want = set(text_.split())
+        for i, t in docs:
+            w = t.split()
+            own = {(a, b) for n, d, a, b in got if n == q and d == i}
+            assert all(want <= set(w[a:b]) and b - a <= slop for a, b in own)
+            fits = [(a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + slop) + 1) if want <= set(w[a:b])]
+            assert bool(fits) == bool(own)
+            if fits:
+                assert min(b - a for a, b in fits) == min(b - a for a, b in own)
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(euclid_lsh, "BLOCK_ROWS", 8)
     r = np.random.default_rng(1)
@@ -265,10 +284,27 @@ def test_token_counts(spark):
 
     trie = token_counts.UnigramTrie(scores, -7.0)
     words = ["▁" + "".join(rng.choice(list("abcé"), rng.integers(0, 8))) for _ in range(300)]
-    trie.insert(set(words))
+    assert [trie.counts([words[i : i + 7]]) for i in range(0, 300, 7)] == [[sum(map(brute, words[i : i + 7]))] for i in range(0, 300, 7)]
+    known = trie.nodes
+    trie.counts([words])  # nothing is computed twice
+    assert trie.nodes == known == len({w[:k] for w in words for k in range(1, len(w) + 1)})
     assert all(trie.terminals[w] == brute(w) for w in words) and trie.nodes < sum(len(w) for w in set(words))
+    real = token_counts.piece_trie(entry.tokenizer("piece_bpe_32k.model"))
+    longest = max(map(len, real.scores))
+
+    def tokens(word):
+        best = [(0.0, 0)]
+        for e in range(1, len(word) + 1):
+            n = len(word[e - 1].encode())
+            best.append(max([(best[e - 1][0] + n * real.byte_score, best[e - 1][1] - n), *((best[k][0] + real.scores[word[k:e]], best[k][1] - 1) for k in range(max(0, e - longest), e) if word[k:e] in real.scores)]))
+        return -best[-1][1]
+
     got = {r["doc_id"]: r for r in token_counts.token_counts(frame(spark, DOCS), entry.tokenizer("piece_bpe_32k.model")).collect()}
     assert got[0]["n_tokens"] == got[1]["n_tokens"] == got[2]["n_tokens"] == 0 and got[7] == got[7] and got[7]["n_tokens"] == got[8]["n_tokens"] > 0
+    assert {i: r["n_tokens"] for i, r in got.items()} == {i: sum(tokens("▁" + w) for w in B.re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in DOCS}
+    assert token_counts.token_counts(frame(spark, []), entry.tokenizer("piece_bpe_32k.model")).count() == 0
+    twice = token_counts.token_counts(frame(spark, [(None, "a b"), (1, "a"), (1, "a")]), entry.tokenizer("piece_bpe_32k.model")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_pretokens"]) for r in twice) == [(0, 2), (1, 1), (1, 1)]
     assert {i: r["n_pretokens"] for i, r in got.items()} == {i: len([w for w in (t or "").replace("\n", " ").replace("\t", " ").split(" ") if w]) for i, t in DOCS}
 
 
@@ -313,6 +349,12 @@ def test_quotes(spark):
     }
     assert [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["path"])] == [0, 1, 2, 3, 4, 5]
     assert quotes.link_quotes(df.limit(0)).count() == 0
+    base = 1_764_000_000_000
+    turns = [(1, base + k, t) for k, t in ((0, "one"), (1, "two"), (2, "> one\nreply to one"), (3, "> two\nreply to two"))] + [(2, -5, "x"), (2, 7, "> x\ny"), (2, 7, "> x\ny")]
+    turns.append((3, 0, "line\n" * 20_000 + "> q"))
+    paths = quotes.link_quotes(spark.createDataFrame(turns, "conv_id long, turn long, text string")).collect()
+    order = lambda c: [r["turn"] for r in sorted((r for r in paths if r["conv_id"] == c), key=lambda r: r["path"])]
+    assert order(1) == [base, base + 1, base + 3, base + 2] and order(2) == [-5, 7, 7] and order(3) == [0]
 
 
 def test_pipeline(spark, tmp_path):
