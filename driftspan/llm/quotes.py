@@ -70,14 +70,17 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     named = rows.select("id", "c", "t", own_text.alias("own_text")).join(best, "id", "left").join(before, ["c", "t"], "left")
     named = checkpointed(named.select("id", "c", "t", "own_text", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce(-F.col("minus"), "before").alias("parent")))
 
-    # paths of turns from the first message down, doubled in length with every round
-    paths = named.filter(known).groupBy("c", "t").agg(F.min("parent").alias("up")).withColumn("path", F.array("t"))
-    while True:
-        paths = checkpointed(paths)
-        if paths.filter("up is not null").isEmpty():
-            break
-        above = paths.select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        paths = paths.join(above, (F.col("c") == F.col("c2")) & (F.col("up") == F.col("t2")), "left").select("c", "t", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
+    # paths of turns from the first message down: a round doubles those that do not begin there yet,
+    # and whole ones take no further part
+    fields = ("c", "t", "up", "path")
+    paths = checkpointed(named.filter(known).groupBy("c", "t").agg(F.min("parent").alias("up")).withColumn("path", F.array("t")).select(*fields))
+    whole, open_ = paths.filter("up is null"), paths.filter("up is not null")
+    while not open_.isEmpty():
+        above = whole.union(open_).select(F.col("c").alias("c2"), F.col("t").alias("t2"), F.col("up").alias("up2"), F.col("path").alias("path2"))
+        grown = open_.join(above, (F.col("c") == F.col("c2")) & (F.col("up") == F.col("t2")))
+        grown = checkpointed(grown.select("c", "t", F.col("up2").alias("up"), F.concat("path2", "path").alias("path")))
+        whole, open_ = whole.union(grown.filter("up is null")), grown.filter("up is not null")
+    paths = whole
     digits = F.transform("path", _key)
     out = named.join(paths.select("c", "t", F.array_join(digits, "/").alias("path")), ["c", "t"], "left")
     return out.select(F.col("c").alias(conv_col), F.col("t").alias(turn_col), "own_text", F.col("n_quotes").cast("long").alias("n_quotes"), F.col("n_linked").cast("long").alias("n_linked"), F.col("parent").alias("parent_turn"), "path")
