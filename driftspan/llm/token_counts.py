@@ -1,11 +1,10 @@
 """Token counts under a unigram vocabulary, with forward scores shared by common prefixes.
 
 A text's pre-tokens are its words with a leading word mark. The best segmentation of a prefix
-depends on the prefix alone, so pre-tokens that begin alike share its score: each worker keeps a
-trie of the distinct pre-tokens it has met, whose nodes hold the forward score and the number of
-tokens of their prefix. A new pre-token is inserted below its longest known prefix with one
-forward step per new node; the count of its best path stands at its terminal and is looked up for
-every text. No shuffle is needed.
+depends on the prefix alone, so pre-tokens that begin alike share its score: each task puts its
+distinct, still unknown pre-tokens into a trie, which is walked in sorted order with the scores
+of the current path on a stack, and computes one forward step per trie node. The number of tokens
+of the best path is stored at each terminal and looked up for every text. No shuffle is needed.
 """
 
 from __future__ import annotations
@@ -18,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Nodes of a worker's trie (some 250 bytes each); a full one starts anew.
-MOST_NODES = 400_000
+CACHE_ENTRIES = 1_000_000
 SPACES = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
 
 
@@ -33,42 +31,42 @@ class UnigramTrie:
     def __init__(self, scores: dict[str, float], byte_score: float) -> None:
         self.scores, self.byte_score = scores, byte_score
         self.endings = {piece[i:] for piece in scores for i in range(len(piece))}
-        self.clear()
-
-    def clear(self) -> None:
-        #: A node is (score, -tokens, children by character); terminals have the tokens of whole pre-tokens.
-        self.root: tuple[float, int, dict] = (0.0, 0, {})
         self.terminals: dict[str, int] = {}
         self.nodes = 0
 
-    def insert(self, word: str) -> int:
-        """The tokens of a pre-token, which is put into the trie."""
+    def insert(self, words: set[str]) -> None:
+        """Computes and stores the counts of these pre-tokens."""
         scores, endings = self.scores, self.endings
-        path = [self.root]
-        for end, letter in enumerate(word, 1):
-            node = path[-1][2].get(letter)
-            if node is None:
-                n = len(letter.encode("utf-8", "surrogatepass"))
-                top = (path[-1][0] + n * self.byte_score, path[-1][1] - n)
+        best: list[tuple[float, int]] = [(0.0, 0)]  # (score, -tokens) of each prefix on the path
+        last = ""
+        for word in sorted(words):
+            depth = 0
+            for a, b in zip(last, word, strict=False):
+                if a != b:
+                    break
+                depth += 1
+            del best[depth + 1 :]
+            for end in range(depth + 1, len(word) + 1):
+                n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+                top = (best[end - 1][0] + n * self.byte_score, best[end - 1][1] - n)
                 start = end - 1
                 while start >= 0 and (piece := word[start:end]) in endings:
                     score = scores.get(piece)
                     if score is not None:
-                        before = path[start]
+                        before = best[start]
                         top = max(top, (before[0] + score, before[1] - 1))
                     start -= 1
-                node = path[-1][2][letter] = (*top, {})
+                best.append(top)
                 self.nodes += 1
-            path.append(node)
-        count = self.terminals[word] = -path[-1][1]
-        return count
+            last = word
+            self.terminals[word] = -best[-1][1]
 
     def counts(self, texts: list[list[str]]) -> list[int]:
-        if self.nodes > MOST_NODES:
-            self.clear()
-        for w in {w for t in texts for w in t}:
-            if w not in self.terminals:
-                self.insert(w)
+        missing = {w for t in texts for w in t if w not in self.terminals}
+        if len(self.terminals) + len(missing) > CACHE_ENTRIES:
+            self.terminals = {}
+            missing = {w for t in texts for w in t}
+        self.insert(missing)
         return [sum(map(self.terminals.__getitem__, t)) for t in texts]
 
 
@@ -99,8 +97,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches):
         trie = piece_trie(model_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
                 texts = [[MARK + w for w in (t or "").translate(SPACES).split(" ") if w] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(trie.counts(texts), pa.int64())], names=["id", "n_pretokens", "n_tokens"])
 
