@@ -58,18 +58,29 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations with the quotes a mail reader would add: of every third turn the turn
-    before last, else the last one, every other time with the one before it nested inside."""
-    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    one, two = (turns.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"back{k}")) for k in (1, 2))
-    rows = turns.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
-
-    def quoted(name: str, mark: str):
-        return F.concat(F.lit(mark), F.replace(F.col(name), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    """The conversations with the quotes a mail reader would add.
 
-    third, nested = F.col("turn") % 3 == 2, F.col("turn") % 2 == 0
-    quote = F.when(third & F.col("back2").isNotNull(), quoted("back2", "> ")).when(F.col("back1").isNotNull(), F.concat(F.when(nested & F.col("back2").isNotNull(), quoted("back2", "> > ")).otherwise(""), quoted("back1", "> "))).otherwise("")
-    return rows.select("conv_id", "turn", F.concat(quote, F.coalesce("text", F.lit(""))).alias("text"))
+    Of turn mod 5 = 3, the last turn's first and last line, each above a part of the answer; of 4,
+    the last turn without its first line; else of every third turn the turn before last, or else
+    the last one, every other time with the one before it nested inside.
+    """
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    one, two = (turns.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"back{k}"), F.split("text", "\n").alias(f"lines{k}")) for k in (1, 2))
+    rows = turns.join(one, ["conv_id", "turn"], "left").join(two.drop("lines2"), ["conv_id", "turn"], "left").withColumn("own", F.split(F.coalesce("text", F.lit("")), "\n"))
+
+    def quoted(text, mark: str):
+        return F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+
+    def rest(lines):
+        return F.array_join(F.slice(lines, 2, F.size(lines)), "\n")
+
+    third, nested, lines = F.col("turn") % 3 == 2, F.col("turn") % 2 == 0, F.col("lines1")
+    has1, has2, text = F.col("back1").isNotNull(), F.col("back2").isNotNull(), F.coalesce("text", F.lit(""))
+    answers = F.concat(quoted(F.get(lines, 0), "> "), F.get("own", 0), F.lit("\n> "), F.element_at(lines, -1), F.when(F.size("own") > 1, F.concat(F.lit("\n"), rest(F.col("own")))).otherwise(""))
+    part = quoted(F.when(F.size(lines) > 1, rest(lines)).otherwise(F.col("back1")), "> ")
+    whole = F.when(third & has2, quoted(F.col("back2"), "> ")).when(has1, F.concat(F.when(nested & has2, quoted(F.col("back2"), "> > ")).otherwise(""), quoted(F.col("back1"), "> "))).otherwise("")
+    turn = F.col("turn") % 5
+    return rows.select("conv_id", "turn", F.when((turn == 3) & has1, answers).when((turn == 4) & has1, F.concat(part, text)).otherwise(F.concat(whole, text)).alias("text"))
 
 
 def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

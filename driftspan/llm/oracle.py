@@ -32,16 +32,27 @@ m as (select a, min(b) b from r group by a)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m.b as component_id from documents d join m on m.a = d.doc_id left join n on n.doc_id = d.doc_id
 """,
     "op4_quotation_links": r"""
-with recursive t as (select conv_id, turn, coalesce(text, '') text, trim(regexp_replace(lower(coalesce(text, '')), '[\s\x00-\x1f\x7f]+', ' ', 'g')) norm from conversations),
-q as (select a.*, b.norm n1, c.norm n2, b.conv_id is not null h1, c.conv_id is not null h2 from t a left join t b on b.conv_id = a.conv_id and b.turn = a.turn - 1 left join t c on c.conv_id = a.conv_id and c.turn = a.turn - 2),
-asks as (select conv_id, turn, 1 lvl, n2 x from q where turn % 3 = 2 and h2
-    union all select conv_id, turn, 1, n1 from q where h1 and not (turn % 3 = 2 and h2)
-    union all select conv_id, turn, 2, n2 from q where h1 and h2 and turn % 2 = 0 and not (turn % 3 = 2)),
-have as (select distinct conv_id, turn, norm from t),
-f as (select a.conv_id, a.turn, a.lvl, max(h.turn) found from asks a left join have h on h.conv_id = a.conv_id and h.turn < a.turn and h.norm = a.x where x <> '' group by all),
+with recursive t as (select conv_id, turn, text raw, coalesce(text, '') text, string_split(coalesce(text, ''), chr(10)) ls from conversations),
+q as (select a.*, a.turn % 5 kind, b.text t1, b.ls l1, c.text t2, b.raw is not null h1, c.raw is not null h2 from t a left join t b on b.conv_id = a.conv_id and b.turn = a.turn - 1 left join t c on c.conv_id = a.conv_id and c.turn = a.turn - 2),
+asks as (select conv_id, turn, 1 lvl, 0 k, l1[1] x from q where kind = 3 and h1
+    union all select conv_id, turn, 1, 1, l1[-1] from q where kind = 3 and h1
+    union all select conv_id, turn, 1, 0, case when len(l1) > 1 then array_to_string(l1[2:], chr(10)) else t1 end from q where kind = 4 and h1
+    union all select conv_id, turn, 1, 0, t2 from q where not (kind >= 3 and h1) and turn % 3 = 2 and h2
+    union all select conv_id, turn, 1, 1, t1 from q where kind < 3 and h1 and not (turn % 3 = 2 and h2)
+    union all select conv_id, turn, 2, 0, t2 from q where kind < 3 and h1 and h2 and turn % 2 = 0 and not (turn % 3 = 2)),
+parts as (select conv_id, turn, text x from t union all select conv_id, turn, unnest(ls) from t union all select conv_id, turn, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) from t
+    union all select conv_id, turn, array_to_string(ls[2:], chr(10)) from q where kind = 3 and h1),
+have as (select distinct conv_id, turn, trim(regexp_replace(lower(x), '[\s\x00-\x1f\x7f]+', ' ', 'g')) x from parts),
+wholes as (select conv_id, turn, lvl, k, trim(regexp_replace(lower(x), '[\s\x00-\x1f\x7f]+', ' ', 'g')) x, string_split(x, chr(10)) ls from asks),
+lines as (select distinct conv_id, turn, lvl, k, x whole, trim(regexp_replace(lower(l), '[\s\x00-\x1f\x7f]+', ' ', 'g')) x from (select *, unnest(ls) l from wholes)),
+units as (select conv_id, turn, lvl, k, x, 1 whole, 0 w from wholes where x <> '' union all select conv_id, turn, lvl, k, x, 0, length(x) from lines where x <> '' and x <> whole),
+u as (select a.conv_id, a.turn, a.lvl, a.k, a.x, a.whole, a.w, max(h.turn) found from units a left join have h on h.conv_id = a.conv_id and h.turn < a.turn and h.x = a.x group by all),
+v as (select conv_id, turn, lvl, k, found, max(whole) whole, sum(w) w from u group by all),
+s as (select *, sum(w) over (partition by conv_id, turn, lvl, k) total, row_number() over (partition by conv_id, turn, lvl, k order by found is null, whole desc, w desc, found desc) rn from v),
+f as (select conv_id, turn, lvl, case when whole = 1 or 2 * w >= total then found end found from s where rn = 1),
 g as (select conv_id, turn, count(*) n_quotes, count(found) n_linked, arg_min(found, lvl * 1000000 - found) filter (where found is not null) parent from f group by 1, 2),
 e as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) before from (select distinct conv_id, turn from t)),
-m as (select t.conv_id, t.turn, trim(t.text) own_text, coalesce(n_quotes, 0) n_quotes, coalesce(n_linked, 0) n_linked, coalesce(g.parent, e.before) parent_turn
+m as (select t.conv_id, t.turn, regexp_replace(t.text, '^\s+|\s+$', '', 'g') own_text, coalesce(n_quotes, 0) n_quotes, coalesce(n_linked, 0) n_linked, coalesce(g.parent, e.before) parent_turn
     from t join e on e.conv_id = t.conv_id and e.turn = t.turn left join g on g.conv_id = t.conv_id and g.turn = t.turn),
 p as (select conv_id, turn, lpad((turn::hugeint + 9223372036854775808)::varchar, 20, '0') path from m where parent_turn is null
     union all select m.conv_id, m.turn, p.path || '/' || lpad((m.turn::hugeint + 9223372036854775808)::varchar, 20, '0') from p join m on m.conv_id = p.conv_id and m.parent_turn = p.turn)

@@ -349,6 +349,10 @@ def test_quotes(spark):
     }
     assert [k[1] for k in sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["path"])] == [0, 1, 2, 3, 4, 5]
     assert quotes.link_quotes(df.limit(0)).count() == 0
+    mail = ["Dear all,\nfirst point\n\nsecond point\nin two lines\n\nregards", "thanks\nnoted", "> first point\n\nagreed\n\n> second point\n> in two lines\nno", "> in two lines\n>\n> regards\n> something else\n\nlast", "> regards\n> some longer line that nobody wrote\nnone", "> Dear all,\n> first point\n\n> second point\n> in two lines\nall"]
+    got = {r["turn"]: (r["own_text"], r["n_quotes"], r["n_linked"], r["parent_turn"]) for r in quotes.link_quotes(spark.createDataFrame([(1, i, x) for i, x in enumerate(mail)], "conv_id long, turn long, text string")).collect()}
+    # single lines and paragraphs of a message, answers in between, a passage over paragraphs by its lines, too small a share, a quote with an unmarked blank line
+    assert got == {0: (mail[0], 0, 0, None), 1: (mail[1], 0, 0, 0), 2: ("agreed\n\nno", 2, 2, 0), 3: ("last", 1, 1, 0), 4: ("none", 1, 0, 3), 5: ("all", 2, 2, 0)}
     base = 1_764_000_000_000
     turns = [(1, base + k, t) for k, t in ((0, "one"), (1, "two"), (2, "> one\nreply to one"), (3, "> two\nreply to two"))] + [(2, -5, "x"), (2, 7, "> x\ny"), (2, 7, "> x\ny")]
     turns.append((3, 0, "line\n" * 20_000 + "> q"))
