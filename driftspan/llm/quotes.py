@@ -40,15 +40,32 @@ def passages(text: Column) -> Column:
     return _once(lines, lambda x: _once(first(x), lambda starts: cut(x, starts)))
 
 
+def _lines(text: Column) -> Column:
+    """The normalised lines of a text; blank ones are empty. Joined, they are the normalised text."""
+    return F.transform(F.split(text, "\n"), _normal)
+
+
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def _offered(own: Column) -> Column:
+    """What a message has itself, of the normalised lines of its own passages: all, passages, paragraphs, lines."""
+    lines = F.flatten(own)
+    paragraphs = F.transform(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.trim(F.translate(x, "\n", " ")))
+    return F.array_distinct(F.concat(F.array(_joined(lines)), F.transform(own, _joined), paragraphs, lines))
+
+
 def _asked(quote: Column) -> Column:
     """(level, units) of a quoted passage: itself whole, then its lines by their length."""
+    unit = lambda x, whole, w: F.struct(x.alias("x"), F.lit(whole).alias("whole"), w.cast("long").alias("w"))
 
     def units(q: Column) -> Column:
         lines = F.filter(F.array_distinct(q["lines"]), lambda x: (x != "") & (x != q["x"]))
-        unit = lambda x, whole, w: F.struct(x.alias("x"), F.lit(whole).alias("whole"), w.cast("long").alias("w"))
-        return F.struct(q["level"].alias("level"), F.concat(F.array(unit(q["x"], 1, F.lit(0))), F.transform(lines, lambda x: unit(x, 0, F.length(x)))).alias("units"))
+        return F.concat(F.array(unit(q["x"], 1, F.lit(0))), F.transform(lines, lambda x: unit(x, 0, F.length(x))))
 
-    return _once(F.struct(quote["level"].alias("level"), _normal(quote["text"]).alias("x"), F.transform(F.split(quote["text"], "\n"), _normal).alias("lines")), units)
+    whole = _once(_lines(quote["text"]), lambda x: F.struct(_joined(x).alias("x"), x.alias("lines")))
+    return F.struct(quote["level"].alias("level"), _once(whole, units).alias("units"))
 
 
 def _key(turn: Column) -> Column:
@@ -77,15 +94,14 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = checkpointed(rows.withColumn("id", F.monotonically_increasing_id()))
     own = F.filter("p", lambda x: x["level"] == 0)
     own_text = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), "^\\s+|\\s+$", "")
-    parts = _once(own_text, lambda x: F.concat(F.array(x), F.split(x, "\n[ \t]*\n"), F.split(x, "\n")))
-    texts = F.array_distinct(F.transform(F.concat(F.transform(own, lambda x: x["text"]), parts), _normal))
+    texts = _once(F.transform(own, lambda x: _lines(x["text"])), _offered)
     known = F.col("c").isNotNull() & F.col("t").isNotNull()
     none = F.lit(None)
     have = rows.filter(known).select("c", "t", F.explode(texts).alias("x"), none.cast("long").alias("id"), none.cast("int").alias("k"), none.cast("int").alias("level"), none.cast("int").alias("whole"), none.cast("long").alias("w"))
     # at level n a quote repeats a message's own text
     ask = rows.filter(known).select("c", "t", "id", F.posexplode(F.transform(F.filter("p", lambda x: x["level"] > 0), _asked)).alias("k", "q"))
     ask = ask.select("c", "t", "id", "k", "q.level", F.explode("q.units").alias("u")).select("c", "t", "u.x", "id", "k", "level", "u.whole", "u.w")
-    both = have.union(ask).filter("x <> ''").select("c", "t", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"), "id", "k", "level", "whole", "w")
+    both = checkpointed(have.union(ask).filter("x <> ''").select("c", "t", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"), "id", "k", "level", "whole", "w"))
     linked = latest_earlier(both, ["c", "h1", "h2"], "t", F.when(F.col("id").isNull(), F.col("t"))).filter("id is not null")
     # one exchange serves the three groupings
     votes = linked.select("id", "k", "level", "found", "whole", "w").repartition("id").groupBy("id", "k", "level", "found").agg(F.max("whole").alias("whole"), F.sum("w").alias("w"))
