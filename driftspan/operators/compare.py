@@ -67,7 +67,8 @@ def check_labels(labels: DataFrame, agents: DataFrame, owners: DataFrame, messag
 
     labels: world, label_id, from_agent, to_agent, sender_exchange, reader_exchange, loc_message,
     loc_start, loc_end, text, tier, need; agents: world, agent, driven; owners: world, exchange,
-    agent, ord; messages: world, message, text.
+    agent, ord, and where it has times at, in which an agent's exchanges must not go back;
+    messages: world, message, text.
     """
     say = lambda df, p: df.select("world", F.lit(p).alias("problem"), F.col("label_id").cast("string").alias("item"))
     ends = labels.select("world", "label_id", F.explode(F.array("from_agent", "to_agent")).alias("agent"))
@@ -87,9 +88,29 @@ def check_labels(labels: DataFrame, agents: DataFrame, owners: DataFrame, messag
     out = out.union(say(labels.filter("from_agent = to_agent"), "self_send")).union(say(labels.filter("(need = 'two_string_levels') <> (tier = 'out_of_reach')"), "reach_and_tier"))
     more = owners.groupBy("world", "exchange").agg(F.count_distinct("agent").alias("n")).filter("n > 1").select("world", F.lit("twice_assigned").alias("problem"), F.col("exchange").cast("string").alias("item"))
     scripted = owned.filter("driven = 'scripted'").select("world", F.lit("scripted_owner").alias("problem"), F.col("exchange").cast("string").alias("item"))
+    if "at" in owners.columns:
+        back = owners.withColumn("__p", F.lag("at").over(Window.partitionBy("world", "agent").orderBy("ord"))).filter("__p > at")
+        out = out.union(back.select("world", F.lit("agent_order").alias("problem"), F.col("exchange").cast("string").alias("item")))
     return out.union(more).union(scripted)
 
 
+def check_label_rows(controls: DataFrame, clusters: DataFrame, exemptions: DataFrame) -> DataFrame:
+    """(world, problem, item) of controls, clusters and exemptions that break a rule of their own row.
+
+    controls: world, label_id, from_agent, to_agent, reason, reader_exchange, at_exchange, at_message,
+    origin_message (null: not given); clusters: world, label_id, agents (array); exemptions: world,
+    label_id, reader_exchange, at_exchange. A control is bounded by a reader exchange, a place read
+    or a place written; only a self_read has one agent at both ends; a cluster has two different
+    agents or more, each once; a place read lies in the reader's exchange.
+    """
+    say = lambda df, p: df.select("world", F.lit(p).alias("problem"), F.col("label_id").cast("string").alias("item"))
+    out = say(controls.filter("from_agent = to_agent and not reason <=> 'self_read'"), "self_control")
+    out = out.union(say(controls.filter("reader_exchange is null and at_message is null and origin_message is null"), "unbounded_control"))
+    out = out.union(say(controls.filter("at_message is not null and at_exchange <> reader_exchange"), "elsewhere_than_reader"))
+    out = out.union(say(exemptions.filter("not at_exchange <=> reader_exchange"), "elsewhere_than_reader"))
+    return out.union(say(clusters.filter("coalesce(size(array_distinct(agents)), 0) < 2 or size(array_distinct(agents)) <> size(agents)"), "small_cluster"))
+
+
 def check_predictions(attributions: DataFrame, transmissions: DataFrame, evidence: DataFrame, exchanges: DataFrame) -> DataFrame:
     """(world, problem, item) of predictions that break a rule.
 
@@ -128,11 +149,20 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def commitment(worlds: DataFrame, world: str = "world") -> DataFrame:
-    """One row: how many worlds, and an order-free commitment to which: a digest of the summed
-    digests of their names, so that no task gathers them."""
-    part = F.conv(F.substring(F.sha2(F.col(world).cast("string"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return worlds.select(world).distinct().agg(F.count("*").alias("worlds"), F.sha2(F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string"), 256).alias("commitment"))
+def summed_digest(row: Column) -> Column:
+    """An order-free digest of rows as text: of the sum of their digests, so that no task gathers them."""
+    part = F.conv(F.substring(F.sha2(row, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return F.sha2(F.coalesce(F.sum(part), F.lit(0).cast("decimal(38,0)")).cast("string"), 256)
+
+
+def commitment(worlds: DataFrame, world: str = "world", labels: DataFrame | None = None) -> DataFrame:
+    """One row: how many worlds, and an order-free commitment to which; with labels, also
+    labels_digest over all their rows, columns in order of name."""
+    out = worlds.select(world).distinct().agg(F.count("*").alias("worlds"), summed_digest(F.col(world).cast("string")).alias("commitment"))
+    if labels is None:
+        return out
+    rows = labels.select(F.to_json(F.struct(*sorted(labels.columns)), {"ignoreNullFields": "false"}).alias("row"))
+    return out.crossJoin(rows.agg(summed_digest(F.col("row")).alias("labels_digest")))  # one row and one row
 
 
 def check_run(manifest_rows: DataFrame, found: DataFrame, status: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,40 +34,131 @@ def provider_parts(raw: DataFrame) -> DataFrame:
     return a.unionByName(o).unionByName(g)
 
 
-#: Fixed patterns of sites whose pages have one key: host, path pattern, key, kind.
+#: First path segments of github.com that name no owner, and of gitlab.com that name no namespace.
+NOT_OWNERS = (
+    "about", "apps", "collections", "contact", "customer-stories", "enterprise", "events", "explore", "features", "issues", "login",
+    "marketplace", "new", "notifications", "orgs", "pricing", "pulls", "search", "settings", "sponsors", "topics", "users",
+)
+NOT_NAMESPACES = ("-", "api", "dashboard", "explore", "groups", "help", "users", "search")
+
+_HUB = rf"^github\.com/(?!(?:{'|'.join(NOT_OWNERS)})(?:/|$))([^/]+)/([^/]+?)(?:\.git)?"
+_HUB_API = r"^api\.github\.com/repos/([^/]+)/([^/]+)"
+_LAB = rf"^gitlab\.com/(?!(?:{'|'.join(NOT_NAMESPACES)})(?:/|$))((?:[^/]+/)+?[^/]+?)(?:\.git)?"
+_LAB_API = r"^gitlab\.com/api/v4/projects/([^/]+%2F[^/]+)"
+
+#: Sites where one thing has several URLs: pattern of host and path, kind, key in lower case, rest of the key as
+#: written. The first that fits counts. Issues and pull requests of the one forge share their numbers.
 SITES = (
-    (r"^(?:www\.)?(github\.com|gitlab\.com)$", r"^/([^/]+)/([^/]+?)(?:\.git)?/?$", "repo", "repository"),
-    (r"^(?:www\.)?(github\.com|gitlab\.com)$", r"^/([^/]+)/([^/]+)(?:/-)?/(?:blob|tree)/[^/]+/(.+)$", "file", "repo_file"),
-    (r"^(?:www\.)?(github\.com|gitlab\.com)$", r"^/([^/]+)/([^/]+)(?:/-)?/(?:issues|pull|merge_requests)/([0-9]+).*$", "thread", "thread"),
+    (_HUB + r"/(?:blob|raw)/[^/]+/(.+)$", "repo_file", "file:github.com/$1/$2", "/$3"),
+    (_HUB + r"/(?:issues|pull)/([0-9]+)(?:/.*)?$", "thread", "thread:github.com/$1/$2/$3", ""),
+    (_HUB + r"/(issues|pulls)$", "collection", "list:github.com/$1/$2/$3", ""),
+    (_HUB + r"(?:/tree/[^/]+)?$", "repository", "repo:github.com/$1/$2", ""),
+    (r"^codeload\.github\.com/([^/]+)/([^/]+)(?:/.*)?$", "repository", "repo:github.com/$1/$2", ""),
+    (r"^raw\.githubusercontent\.com/([^/]+)/([^/]+)/(?:refs/(?:heads|tags)/)?[^/]+/(.+)$", "repo_file", "file:github.com/$1/$2", "/$3"),
+    (_HUB_API + r"/contents/(.+)$", "repo_file", "file:github.com/$1/$2", "/$3"),
+    (_HUB_API + r"/(?:issues|pulls)/([0-9]+)(?:/.*)?$", "thread", "thread:github.com/$1/$2/$3", ""),
+    (_HUB_API + r"/(issues|pulls)$", "collection", "list:github.com/$1/$2/$3", ""),
+    (_HUB_API + r"(?:/.*)?$", "repository", "repo:github.com/$1/$2", ""),
+    (r"^([^./]+)\.github\.io/([^/]+)(?:/.*)?$", "repository", "repo:github.com/$1/$2", ""),
+    (r"^([^./]+)\.github\.io/?$", "repository", "repo:github.com/$1/$1.github.io", ""),
+    (_LAB + r"/-/(?:blob|raw)/[^/]+/(.+)$", "repo_file", "file:gitlab.com/$1", "/$2"),
+    (_LAB + r"/-/(issues|merge_requests)/([0-9]+)(?:/.*)?$", "thread", "thread:gitlab.com/$1/$2/$3", ""),
+    (_LAB + r"/-/(issues|merge_requests)$", "collection", "list:gitlab.com/$1/$2", ""),
+    (_LAB + r"(?:/-(?:/(?!(?:issues|merge_requests|blob|raw)/).*)?)?$", "repository", "repo:gitlab.com/$1", ""),
+    (_LAB_API + r"/repository/files/([^/]+)(?:/raw)?$", "repo_file", "file:gitlab.com/$1", "/$2"),
+    (_LAB_API + r"/(issues|merge_requests)/([0-9]+)(?:/.*)?$", "thread", "thread:gitlab.com/$1/$2/$3", ""),
+    (_LAB_API + r"/(issues|merge_requests)$", "collection", "list:gitlab.com/$1/$2", ""),
+    (_LAB_API + r"(?:/.*)?$", "repository", "repo:gitlab.com/$1", ""),
+    (r"^(?![^./]*-[0-9a-fA-F]{6}\.)([^./]+)\.gitlab\.io/([^/]+)(?:/.*)?$", "repository", "repo:gitlab.com/$1/$2", ""),
 )
 
+#: Wikis by the end of their host. Articles are under /wiki/, scripts under /w/ or / (PLAIN_WIKI); titles
+#: begin with a capital letter but for SMALL_WIKI; the mobile host is the same site but for PLAIN_WIKI.
+WIKIS = ("wikipedia.org", "wikimedia.org", "wikibooks.org", "wikiquote.org", "wikisource.org", "wikiversity.org", "wikivoyage.org", "wikinews.org", "wikidata.org", "mediawiki.org", "wiktionary.org", "fandom.com")
+SMALL_WIKI, PLAIN_WIKI = "wiktionary.org", "fandom.com"
+_WIKI_HOST = rf"(?:^|\.)(?:{'|'.join(w.replace('.', '[.]') for w in WIKIS)})$"
+
+
+def normal_percent(text: Column) -> Column:
+    """text with escapes of letters, digits, - . _ ~ undone, other escapes in upper case, and what a
+    URL cannot hold as it is (spaces, characters beyond ASCII) escaped."""
+    units = F.regexp_extract_all(text, F.lit(r"(%[0-9A-Fa-f]{2}|[^\x21-\x7E]+|[^%\x00-\x20\x7F-\x{10FFFF}]+|%)"), F.lit(1))
+    plain = r"^%(?:2[dDeE]|3[0-9]|4[1-9a-fA-F]|5[0-9aAfF]|6[1-9a-fA-F]|7[0-9aAeE])$"
+
+    def unit(u: Column) -> Column:
+        code = F.conv(F.substring(u, 2, 2), 16, 10).cast("int")
+        return F.when(u.rlike(plain), F.char(code)).when(u.rlike(r"^%[0-9A-Fa-f]{2}$"), F.upper(u)).when(u.rlike(r"^[\x21-\x7E]"), u).otherwise(F.replace(F.url_encode(u), F.lit("+"), F.lit("%20")))
+
+    return F.when(text.rlike(r"[^\x21-\x24\x26-\x7E]"), F.array_join(F.transform(units, unit), "")).otherwise(text)
+
+
+def percent_decoded(text: Column) -> Column:
+    """text with its escapes undone, or as it is where they give no text."""
+    out = F.try_url_decode(F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+    return F.when(~text.contains("%"), text).otherwise(T.let(out, lambda o: F.when(o.isNull() | o.contains("�"), text).otherwise(o)))
+
+
+def wiki_page(host: Column, path: Column, query: Column) -> Column:
+    """The article URL without scheme of a request to one of WIKIS, else null.
+
+    A title is the same with underscores or spaces, with or without a section, by its article, its
+    REST or script address or its API calls; of an API call that names several the first counts.
+    """
+    value = lambda name: F.nullif(F.try_url_decode(F.regexp_extract(query, rf"(?:^|&){name}=([^&]*)", 1)), F.lit(""))
+    plain = host.endswith(PLAIN_WIKI)
+    script = F.when(plain, F.regexp_extract(path, r"^/(index|api)\.php$", 1)).otherwise(F.regexp_extract(path, r"^/w/(index|api)\.php$", 1))
+    rest = F.when(plain, F.regexp_extract(path, r"^/rest\.php/v1/page/([^/]+)", 1)).otherwise(F.regexp_extract(path, r"^/w/rest\.php/v1/page/([^/]+)", 1))
+    named = F.concat(F.regexp_extract(path, "^/wiki/(.+)$", 1), F.regexp_extract(path, "^/api/rest_v1/page/[^/]+/([^/]+)", 1), rest)  # one of them at most
+    titles = F.get(F.filter(F.split(value("titles"), r"\|"), lambda t: t.rlike(r"[^\s_]")), 0)
+    called = T.let(value("action"), lambda action: F.when(action.isin("edit", "delete", "protect", "undelete"), value("title")).when(action == "move", value("from")).when(action == "query", titles).when(action == "parse", value("page")))
+    raw = F.when(named != "", percent_decoded(named)).when(script == "index", value("title")).when(script == "api", called)
+    title = F.trim(F.regexp_replace(F.regexp_replace(raw, "(?s)#.*$", ""), r"[_\s]+", " "))
+
+    def article(t: Column) -> Column:
+        out = F.when(host.endswith(SMALL_WIKI), t).otherwise(F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30)))
+        for char, code in (("%", "%25"), ("?", "%3F"), ("\\", "%5C"), (" ", "_")):
+            out = F.replace(out, F.lit(char), F.lit(code))
+        site = F.when(plain, host).otherwise(F.regexp_replace(host, r"^([^.]+)\.m\.(?=.)", "$1."))
+        return F.when(t != "", F.concat(site, F.lit("/wiki/"), T.let(out, normal_percent)))
+
+    return F.when(host.rlike(_WIKI_HOST), T.let(title, article))
+
 
 def canonical_resource(url: Column) -> Column:
     """Struct (key, kind) of a URL, git remote or absolute path: what names one thing has one key.
 
     Scheme, user, default port, fragment, www. and m. go; the host is in lower case; `.` and `..`
-    are walked; the query is sorted without tracking parameters; known forges give repository,
-    file and thread keys.
+    are walked; percent escapes are in one form; the query is sorted without tracking parameters.
+    Null has a null key and kind.
+    Pages of WIKIS have the URL of their article; SITES give repository, file, thread and
+    collection keys.
     """
     remote = F.regexp_replace(F.trim(url), r"^(?:ssh://)?git@([^:/]+)[:/](.*)$", "https://$1/$2")
-    bare = F.regexp_replace(F.regexp_replace(remote, "#.*$", ""), r"^(?i:https?)://(?:[^/@]*@)?", "")
-    is_url = remote.rlike(r"^(?i:https?)://")
-    host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r":(?:80|443)$", "")
-    host = F.regexp_replace(host, r"^(?:www|m)\.", "")
-    path = F.when(is_url, F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1)).otherwise(remote)
-    walked = F.aggregate(F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")), F.expr("cast(array() as array<string>)"), lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
-    clean = F.concat(F.lit("/"), F.array_join(walked, "/"))
-    query = F.array_sort(F.filter(F.split(F.regexp_extract(bare, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_[^=]*|ref|fbclid|gclid)(?:=|$)")))
-    plain = F.concat(F.lit("url:"), host, F.when(clean == "/", "").otherwise(clean), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
-    key, kind = plain, F.lit("url")
-    for site, pattern, prefix, name in SITES:
-        fits = is_url & host.rlike(site) & clean.rlike(pattern)
-        parts = [F.lower(F.regexp_extract(clean, pattern, 1)), F.lower(F.regexp_extract(clean, pattern, 2))] + ([F.regexp_extract(clean, pattern, 3)] if prefix != "repo" else [])
-        key = F.when(fits, F.concat_ws("/", F.concat(F.lit(f"{prefix}:"), host), *parts)).otherwise(key)
-        kind = F.when(fits, name).otherwise(kind)
-    local = ~is_url & remote.startswith("/")
-    key = F.when(local, F.concat(F.lit("file:"), clean)).when(is_url, key).otherwise(F.concat(F.lit("opaque:"), remote))
-    return F.struct(key.alias("key"), F.when(local, "file").when(is_url, kind).otherwise("opaque").alias("kind"))
+
+    def cut(remote: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(remote, "(?s)#.*$", ""), r"^(?i:https?)://(?:[^/?@]*@)?", "")
+        is_url = remote.rlike(r"^(?i:https?)://")
+        host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"\.?(?::(?:80|443))?$", "")
+        host = F.regexp_replace(host, r"^(?:www|m)\.", "")
+        path = F.when(is_url, normal_percent(F.regexp_extract(bare, r"^[^/?]*([^?]*)", 1))).otherwise(remote)
+        walked = F.aggregate(F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")), F.expr("cast(array() as array<string>)"), lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
+        return F.struct(remote.alias("remote"), is_url.alias("is_url"), host.alias("host"), F.concat(F.lit("/"), F.array_join(walked, "/")).alias("path"), F.regexp_extract(bare, r"(?s)\?(.*)$", 1).alias("query"))
+
+    def named(x: Column) -> Column:
+        params = F.array_sort(F.transform(F.filter(F.split(x["query"], "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_[^=]*|ref|fbclid|gclid)(?:=|$)")), normal_percent))
+        ending = T.let(params, lambda q: F.when(F.size(q) > 0, F.concat(F.lit("?"), F.array_join(q, "&"))).otherwise(""))
+        of = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"))
+        plain = of(F.concat(F.lit("url:"), F.coalesce(wiki_page(x["host"], x["path"], x["query"]), F.concat(x["host"], F.when(x["path"] == "/", "").otherwise(x["path"]), ending))), "url")
+        place = F.concat(x["host"], x["path"])
+        fits = reduce(lambda out, i: out.when(place.rlike(SITES[i][0]), i), range(1, len(SITES)), F.when(place.rlike(SITES[0][0]), 0))
+        rules = F.expr("array(" + ", ".join("named_struct('pattern', r'{}', 'kind', '{}', 'low', '{}', 'rest', '{}')".format(*rule) for rule in SITES) + ")")
+        key = lambda r: percent_decoded(F.concat(F.lower(F.regexp_replace(place, r["pattern"], r["low"])), F.regexp_replace(place, r["pattern"], r["rest"])))
+        site = T.let(F.get(rules, fits), lambda r: F.when(r.isNotNull(), F.struct(key(r).alias("key"), r["kind"].alias("kind"))))
+        other = F.when(x["remote"].startswith("/"), of(F.concat(F.lit("file:"), x["path"]), "file")).otherwise(of(F.concat(F.lit("opaque:"), x["remote"]), "opaque"))
+        forge = x["host"].rlike(r"(?:^|\.)(?:github|gitlab|githubusercontent)\.(?:com|io)$")
+        return F.when(x["remote"].isNull(), of(F.lit(None).cast("string"), None)).when(~x["is_url"], other).otherwise(F.coalesce(F.when(forge, site), plain))
+
+    return T.let(T.let(remote, cut), named)
 
 
 #: Names of arguments whose value is a path.

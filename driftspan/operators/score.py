@@ -163,6 +163,15 @@ def examples(judged: DataFrame, texts: DataFrame, cap: int, chars: int = 240) ->
     return rows.join(texts, ["world", "pred_id"], "left").select("world", "pred_id", "reason", F.substring("text", 1, chars).alias("excerpt"))
 
 
+def missed_examples(outcomes: DataFrame, texts: DataFrame, cap: int, chars: int = 240) -> DataFrame:
+    """The first `cap` labels not found in order of world and label, with an excerpt of their text.
+
+    outcomes: as of label_outcomes; texts: world, label_ord, text.
+    """
+    rows = outcomes.filter(~F.col("found")).select("world", "label_ord", "expects", "tier", "suspected").orderBy("world", "label_ord").limit(cap)
+    return rows.join(texts.select("world", "label_ord", F.substring("text", 1, chars).alias("excerpt")), ["world", "label_ord"], "left")
+
+
 def gates(rows: DataFrame, violated: DataFrame, table: DataFrame, exchanges: int) -> DataFrame:
     """(name, status, value) of every gate.
 

@@ -119,3 +119,14 @@ def plan_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worlds of all accesses; an agent's pages are those of its last digit."""
     a = access_log(spark, sf_dir).filter("resource is not null").select(F.col("agent").cast("string").alias("agent"), F.expr("concat(resource, ':', agent % 10)").alias("page"))
     return G.plan_worlds(a, 1)
+
+
+@query(f"""with {TURNS_SQL}, w as (select world, agent * 100 + pos id, agent, pos from turns where role = 'assistant')
+    select world, 'self_control' as problem, id::varchar as item from w where agent % 4 = 0 and agent % 8 <> 0 union all select world, 'unbounded_control', id::varchar from w where agent % 3 = 0
+    union all select world, 'elsewhere_than_reader', id::varchar from w where agent % 5 = 0 union all select world, 'small_cluster', id::varchar from w where pos <= 1""")
+def check_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls, exemptions and clusters made from the turns, with planted faults."""
+    w = conversation_turns(spark, sf_dir).filter("role = 'assistant'").selectExpr("world", "agent * 100 + pos as label_id", "agent", "pos")
+    controls = w.selectExpr("world", "label_id", "agent as from_agent", "case when agent % 4 = 0 then agent else agent + 1 end as to_agent", "case when agent % 8 = 0 then 'self_read' else 'boilerplate' end as reason", "case when agent % 3 > 0 then label_id end as reader_exchange", "label_id as at_exchange", "cast(null as bigint) as at_message", "cast(null as bigint) as origin_message")
+    exemptions = w.selectExpr("world", "label_id", "label_id as reader_exchange", "case when agent % 5 = 0 then label_id + 1 else label_id end as at_exchange")
+    return C.check_label_rows(controls, w.selectExpr("world", "label_id", "array(1, pos) as agents"), exemptions)

@@ -154,6 +154,12 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.examples(f.judged(), f.texts, 25)
 
 
+@query(f"with {FIX_SQL}, f as (select world, label_ord, expects, tier, suspected from oc where not found order by 1, 2 limit 25) select f.*, substr(text, 1, 240) excerpt from f left join documents d on d.doc_id = f.label_ord")
+def missed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Fixture(spark, sf_dir)
+    return S.missed_examples(f.outcomes(), f.texts.withColumnRenamed("pred_id", "label_ord"), 25)
+
+
 GATES = (
     ("recall-all", "recall", 0.2, None, None, None, None, None, None), ("recall-exact", "recall", 0.99, None, None, None, "exact", None, None), ("precision-d0", "precision", 0.1, "d0", "channel", None, None, None, None), ("other", "recall", 0.5, "d9", None, None, None, None, None),
     ("fp", "fp_per_1k", 5000.0, None, None, None, None, None, None), ("boilerplate", "violations", 1.0, None, None, None, None, None, "boilerplate"), ("none", "recall", 0.5, None, None, "nobody", None, None, None), ("likely", "precision", 0.5, "d1", None, "user", None, "likely", None),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-LABEL_TABLES = ("labels_tx", "labels_control", "labels_exempt", "labels_cluster", "exchange_agent")
+LABEL_TABLES = ("labels_tx", "labels_control", "labels_exempt", "labels_cluster", "exchange_agent", "label_counts")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,9 +40,17 @@ def read_logs(spark: SparkSession, paths: list[str], format: str = "parquet", sc
     return df.filter(F.col("source_file").contains(include)) if include else df
 
 
-def write_export(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table as Parquet under its name, partitioned by dataset where it has one."""
-    for name, df in tables.items():
+def label_counts(tables: dict[str, DataFrame]) -> DataFrame | None:
+    """(dataset, table, n): the rows of every label table that has a dataset; None without such a table."""
+    parts = [df.groupBy("dataset").agg(F.count("*").alias("n")).select("dataset", F.lit(name).alias("table"), "n") for name, df in tables.items() if name in LABEL_TABLES and "dataset" in df.columns]
+    return reduce(DataFrame.union, parts) if parts else None
+
+
+def write_export(tables: dict[str, DataFrame], path: str, notes: DataFrame | None = None) -> None:
+    """Every table as Parquet under its name, partitioned by dataset where it has one, with the
+    counts of its labels as label_counts and the notes (dataset, name, n) as notes."""
+    extra = {"label_counts": label_counts(tables), "notes": notes}
+    for name, df in (tables | {n: t for n, t in extra.items() if t is not None}).items():
         writer = df.write.mode("overwrite")
         (writer.partitionBy("dataset") if "dataset" in df.columns else writer).parquet(f"{path}/{name}")
 

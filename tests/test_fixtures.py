@@ -20,9 +20,18 @@ def test_canonical_resource(spark):
     cases = {
         "https://www.Example.com:443/a/../b/?utm_source=x&z=1&a=2#top": ("url:example.com/b?a=2&z=1", "url"), "git@github.com:Org/Repo.git": ("repo:github.com/org/repo", "repository"), "https://github.com/Org/Repo/": ("repo:github.com/org/repo", "repository"),
         "https://gitlab.com/g/p/-/blob/main/src/x.py": ("file:gitlab.com/g/p/src/x.py", "repo_file"), "https://github.com/o/r/issues/12#c": ("thread:github.com/o/r/12", "thread"), "/srv/./data//x": ("file:/srv/data/x", "file"), "note 7": ("opaque:note 7", "opaque"),
+        "https://raw.githubusercontent.com/O/r/refs/heads/main/src/A.py": ("file:github.com/o/r/src/A.py", "repo_file"), "https://api.github.com/repos/o/R/contents/src/A.py?ref=x": ("file:github.com/o/r/src/A.py", "repo_file"), "https://github.com/o/r/raw/dev/src/A.py": ("file:github.com/o/r/src/A.py", "repo_file"),
+        "https://api.github.com/repos/o/r/pulls/12/files": ("thread:github.com/o/r/12", "thread"), "https://github.com/o/r/pull/12/files": ("thread:github.com/o/r/12", "thread"), "https://github.com/o/r/pulls": ("list:github.com/o/r/pulls", "collection"), "https://github.com/orgs/r": ("url:github.com/orgs/r", "url"),
+        "https://codeload.github.com/o/r/zip/main": ("repo:github.com/o/r", "repository"), "https://o.github.io/R/page": ("repo:github.com/o/r", "repository"), "https://o.github.io": ("repo:github.com/o/o.github.io", "repository"), "https://github.com/o/r.git": ("repo:github.com/o/r", "repository"),
+        "https://gitlab.com/g/sub/p/-/tree/main": ("repo:gitlab.com/g/sub/p", "repository"), "https://gitlab.com/api/v4/projects/g%2fsub%2fp/issues/3": ("thread:gitlab.com/g/sub/p/issues/3", "thread"), "https://gitlab.com/api/v4/projects/g%2Fp/repository/files/src%2FX.py/raw": ("file:gitlab.com/g/p/src/X.py", "repo_file"),
+        "https://gitlab.com/api/v4/projects/12": ("url:gitlab.com/api/v4/projects/12", "url"), "https://g.gitlab.io/p/": ("repo:gitlab.com/g/p", "repository"), "https://g-0a1b2c.gitlab.io/p": ("url:g-0a1b2c.gitlab.io/p", "url"), "https://gitlab.com/g/p/-/issues": ("list:gitlab.com/g/p/issues", "collection"),
+        "https://x.org/%7euser/%2fa/%41 b/é?q=%7e&p=1": ("url:x.org/~user/%2Fa/A%20b/%C3%A9?p=1&q=~", "url"), "https://x.org/%zz/%4": ("url:x.org/%zz/%4", "url"),
     }
+    page = "url:en.wikipedia.org/wiki/Dead_drop"
+    wikis = ("https://en.wikipedia.org/wiki/Dead_drop", "https://en.m.wikipedia.org/wiki/dead%20drop#Use", "https://en.wikipedia.org/w/index.php?action=raw&title=Dead_drop", "https://en.wikipedia.org/w/api.php?action=query&titles=_%7CDead+drop%7CB", "https://en.wikipedia.org/w/rest.php/v1/page/Dead_drop/html", "https://en.wikipedia.org/api/rest_v1/page/summary/Dead__drop")
+    cases |= {u: (page, "url") for u in wikis} | {"https://x.fandom.com/index.php?title=a?b": ("url:x.fandom.com/wiki/A%3Fb", "url"), "https://en.wiktionary.org/wiki/dead": ("url:en.wiktionary.org/wiki/dead", "url"), "https://en.wikipedia.org/w/index.php?search=a": ("url:en.wikipedia.org/w/index.php?search=a", "url"), None: (None, None)}
     got = {r["u"]: (r["r"]["key"], r["r"]["kind"]) for r in spark.createDataFrame([(u,) for u in cases], "u string").select("u", L.canonical_resource(F.col("u")).alias("r")).collect()}
-    assert got == cases
+    assert {u: (got[u], cases[u]) for u in cases if got[u] != cases[u]} == {}
 
 
 def test_call_resource_and_routes(spark):
@@ -104,6 +113,20 @@ def test_check_predictions(spark):
     assert rows(C.check_predictions(at, tx, ev, ex), "problem", "item") == [("exchange_mismatch", "t1"), ("exchange_twice", "e1"), ("quality_and_state", "t2"), ("state_without_evidence", "t2"), ("unknown_agent", "t1"), ("unknown_exchange", "e9"), ("unsorted_evidence", "t1")]
 
 
+def test_label_row_rules(spark):
+    controls = spark.createDataFrame([(1, 1, "A", "A", "self_read", "e1", None, None, None), (1, 2, "A", "A", "boilerplate", "e1", "e2", "m", None), (1, 3, "A", "B", "boilerplate", None, None, None, None), (1, 4, "A", "B", "boilerplate", None, None, None, "m")], "world int, label_id int, from_agent string, to_agent string, reason string, reader_exchange string, at_exchange string, at_message string, origin_message string")
+    clusters = spark.createDataFrame([(1, 5, ["A", "B"]), (1, 6, ["A"]), (1, 7, ["A", "B", "A"]), (1, 8, None)], "world int, label_id int, agents array<string>")
+    exemptions = spark.createDataFrame([(1, 9, "e1", "e1"), (1, 10, "e1", "e2")], "world int, label_id int, reader_exchange string, at_exchange string")
+    assert rows(C.check_label_rows(controls, clusters, exemptions), "problem", "item") == [("elsewhere_than_reader", "10"), ("elsewhere_than_reader", "2"), ("self_control", "2"), ("small_cluster", "6"), ("small_cluster", "7"), ("small_cluster", "8"), ("unbounded_control", "3")]
+
+
+def test_commitment_with_labels(spark):
+    worlds = spark.createDataFrame([(1,), (2,)], "world int")
+    one = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "world int, t string, u string")
+    got = [C.commitment(worlds, labels=x).first() for x in (one, one.orderBy("t", ascending=False), one.fillna("y"))]
+    assert got[0] == got[1] and got[0]["labels_digest"] != got[2]["labels_digest"] and got[0]["commitment"] == got[2]["commitment"]
+
+
 def test_tool_results_with_ids(spark):
     t = spark.createDataFrame([(1, 1, "call", "x"), (1, 2, "call", None), (1, 3, "result", "x"), (1, 4, "result", None), (1, 5, "result", None), (1, 6, "result", "gone")], "traj int, pos int, kind string, call_id string")
     assert {r["result_pos"]: r["call_pos"] for r in Q.pair_tool_results(t).collect()} == {3: 1, 4: 2, 5: None, 6: None}
@@ -114,6 +137,8 @@ def test_export_round_trip_and_manifest(spark, tmp_path):
     io.write_export(t, str(tmp_path))
     back = io.read_export(spark, str(tmp_path), list(t))
     assert {k: v.count() for k, v in back.items()} == {"turns": 5, "labels_tx": 2}
+    assert rows(io.read_export(spark, str(tmp_path), ["label_counts"])["label_counts"], "dataset", "table", "n") == [("d", "labels_tx", 2)]
+    assert io.read_export(spark, str(tmp_path), ["label_counts"], inputs_only=True) == {}
     assert list(io.read_export(spark, str(tmp_path), list(t), inputs_only=True)) == ["turns"]
     m = C.manifest({"turns": t["turns"]})
     same = back["turns"].select("dataset", "world", "n")
