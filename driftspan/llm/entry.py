@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, euclid_lsh, jaccard, langid, ngram_trie, packing, quotes, revisits, sharding, token_counts
+from . import decontaminate, euclid_lsh, geometric_means, jaccard, langid, ngram_trie, packing, quotes, revisits, sharding, subword_quality, token_counts, whitening
 from ._spark import held_out, read_table
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -122,6 +122,27 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned from labels outside the fold 0 of 5."""
+    docs, labels = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    fold = held_out("doc_id", 5, 0)
+    weights = subword_quality.train(subword_quality.train_sample(docs.filter(~fold), labels))
+    score = F.col("probabilities")[1]
+    return subword_quality.predict(docs, weights, keep=[fold.alias("held_out")]).select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of all vectors, fitted on the distinct ones."""
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=4)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all vectors after three rounds."""
+    found = geometric_means.cluster_vectors(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), clusters=16, rounds=3)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("cluster_inertia", "inertia")})
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_warc_revisits": op2_warc_revisits,
@@ -133,4 +154,7 @@ QUERIES = {
     "op8_embedding_neardup": op8_embedding_neardup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }

@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+
+
+def _rounds(n: int) -> str:
+    """n times: distances to the centroids c, nearest ones a, and the next centroids."""
+    return ",\n".join(
+        f"""d{k} as (select v.i, c.k, sum((v.x - c.x) ** 2)::bigint d from v join c{k} c on c.j = v.j group by 1, 2), a{k} as (select i, arg_min(k, (d, k)) k, min(d) d from d{k} group by i),
+m{k} as (select a.k, v.j, sum(v.x)::bigint s, count(*) n from a{k} a join v on v.i = a.i group by 1, 2),
+c{k + 1} as (select c.k, c.j, case when n is null then c.x else floor(s / n)::bigint end x from c{k} c left join m{k} m on m.k = c.k and m.j = c.j)"""
+        for k in range(n)
+    )
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,5 +95,13 @@ n as (select u, count(*) n from l group by u),
 r as (select vec_id a, vec_id b from embeddings union select r.a, l.v from r join l on l.u = r.b),
 c as (select a, min(b) m from r group by a)
 select e.vec_id, coalesce(n.n, 0) as n_links, c.m as component_id, e.vec_id = c.m as kept from embeddings e join c on c.a = e.vec_id left join n on n.u = e.vec_id
+""",
+    "op13_centroid_clustering": f"""
+with r as (select row_number() over () i, vec_id, embedding from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+v as (select i, generate_subscripts(embedding, 1) j, floor(64 * unnest(embedding)::double)::bigint x from r),
+f as (select i, row_number() over (order by sha256('1:' || vec_id)) - 1 k from r order by k limit 16), c0 as (select f.k, v.j, v.x from f join v on v.i = f.i),
+{_rounds(4)},
+h as (select k, sha256(string_agg(x::varchar, ',' order by j)) s from c3 group by k)
+select r.vec_id, a.k::int as cluster, a.d as distance, (sum(a.d) over (partition by a.k))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, h.s as centroid_sha256 from a3 a join r on r.i = a.i join h on h.k = a.k
 """,
 }
