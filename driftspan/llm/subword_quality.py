@@ -121,7 +121,7 @@ def train_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own = checkpointed(own.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(own), "id")
     # few rows, so that the hot id of a table of repeats is merged before the shuffle
-    return checkpointed(texts.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    return texts.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(sample: DataFrame, classes: int = 2, epochs: int = EPOCHS, shards: int = SHARDS) -> Weights:
@@ -132,7 +132,7 @@ def train(sample: DataFrame, classes: int = 2, epochs: int = EPOCHS, shards: int
     """
     weights = fresh_weights(classes)
     size = weights.vectors.shape
-    sample = sample.select("id", F.col("text"), "label")
+    dealt = checkpointed(sample.select("id", "text", "label").repartition(shards))  # never more tasks, as each returns all weights
     for epoch in range(epochs):
         shared = sample.sparkSession.sparkContext.broadcast(weights)
         step = 1.0 - epoch / epochs
@@ -149,8 +149,7 @@ def train(sample: DataFrame, classes: int = 2, epochs: int = EPOCHS, shards: int
             if n:
                 yield pa.RecordBatch.from_pydict({"n": [n], "vectors": [w.vectors.tobytes()], "output": [w.output.tobytes()], "bias": [w.bias.tobytes()]})
 
-        dealt = sample.repartition(shards, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id", F.lit(epoch)))
-        found = dealt.select("text", "label").mapInArrow(run, "n long, vectors binary, output binary, bias binary").collect()
+        found = dealt.sortWithinPartitions(F.xxhash64("id", F.lit(epoch))).select("text", "label").mapInArrow(run, "n long, vectors binary, output binary, bias binary").collect()
         total = sum(r["n"] for r in found)
         if not total:
             break
