@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftspan.operators.digest import DEPTH, differing_nodes, digest_tree
+
 
 def diff_tables(a: DataFrame, b: DataFrame, key: list[str], body: list[str]) -> DataFrame:
     """key, kind, n: rows only in a, only in b, or changed, as multisets of (key, body)."""
@@ -135,16 +137,12 @@ def check_predictions(attributions: DataFrame, transmissions: DataFrame, evidenc
     return out.union(say(t.filter((content | F.col("state").isin("suspected", "discarded")) == F.col("quality").isNull()), "quality_and_state", "tx_id"))
 
 
-def digest(columns: list[str]) -> Column:
-    """An order-free digest of rows: rows that differ in any column differ with near certainty."""
-    return F.bit_xor(F.xxhash64(*columns))
-
-
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(world, table, rows, digest) of every table of an export that has a world."""
+def manifest(tables: dict[str, DataFrame], depth: int = DEPTH) -> DataFrame:
+    """(world, table, level, node, rows, digest): the digest trees of every world of every table of
+    an export; level 0 holds the whole world's. Null worlds are a world of their own."""
     out = None
     for name, df in sorted(tables.items()):
-        part = df.groupBy(F.col("world").cast("string").alias("world")).agg(F.lit(name).alias("table"), F.count("*").alias("rows"), digest(sorted(df.columns)).alias("digest"))
+        part = digest_tree(df, ["world"], depth).select(F.col("world").cast("string").alias("world"), F.lit(name).alias("table"), "level", "node", "rows", "digest")
         out = part if out is None else out.union(part)
     return out
 
@@ -165,17 +163,25 @@ def commitment(worlds: DataFrame, world: str = "world", labels: DataFrame | None
     return out.crossJoin(rows.agg(summed_digest(F.col("row")).alias("labels_digest")))  # one row and one row
 
 
-def check_run(manifest_rows: DataFrame, found: DataFrame, status: DataFrame) -> DataFrame:
-    """(world, table, problem): tables of a run whose world is missing, or whose count or digest is
-    not the manifest's; worlds that failed or were not scored are set apart, never counted as zero."""
-    x = manifest_rows.select("world", "table", F.col("rows").alias("m_rows"), F.col("digest").alias("m_digest"))
-    rows = x.join(found, ["world", "table"], "full_outer").join(status.select(F.col("world").cast("string").alias("world"), "status"), "world", "left")
+def check_run(manifest_rows: DataFrame, found: DataFrame, status: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(world, table, problem, node): tables of a run whose world is missing, or whose count or digest is
+    not the manifest's, with each range of row hashes that holds lost, added or altered rows; worlds
+    that failed or were not scored are set apart, never counted as zero.
+
+    manifest_rows, found: manifest(...), of one depth.
+    """
+    keys = ["world", "table"]
+    x, y = (t.filter("level = 0").select(*keys, F.col("rows").alias(f"{n}_rows"), F.col("digest").alias(f"{n}_digest")) for t, n in ((manifest_rows, "m"), (found, "f")))
+    rows = x.join(y, keys, "full_outer").join(status.select(F.col("world").cast("string").alias("world"), "status"), "world", "left")
     problem = (
         F.when(F.coalesce(F.col("status"), F.lit("unscored")) != "scored", F.concat(F.lit("set_apart:"), F.coalesce("status", F.lit("unscored"))))
-        .when(F.col("m_rows").isNull(), "not_in_manifest").when(F.col("rows").isNull(), "missing")
-        .when(F.col("rows") != F.col("m_rows"), "count").when(~F.col("digest").eqNullSafe(F.col("m_digest")), "digest")
+        .when(F.col("m_rows").isNull(), "not_in_manifest").when(F.col("f_rows").isNull(), "missing")
+        .when(F.col("f_rows") != F.col("m_rows"), "count").when(F.col("f_digest") != F.col("m_digest"), "digest")
     )
-    return rows.select("world", "table", problem.alias("problem")).filter("problem is not null")
+    rows = rows.select(*keys, problem.alias("problem")).filter("problem is not null")
+    inside = F.col("problem").isin("count", "digest")
+    ranges = differing_nodes(manifest_rows, found, keys, depth).select(*keys, "node")
+    return rows.filter(inside).join(ranges, keys).select(*keys, "problem", "node").union(rows.filter(~inside).select(*keys, "problem", F.lit(None).cast("string").alias("node")))
 
 
 def notes(rows: DataFrame) -> DataFrame:

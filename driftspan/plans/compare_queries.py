@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.operators import compare as C
+from driftspan.operators import digest as D
 from driftspan.operators import graph as G
 from driftspan.sources import io
 from driftspan.sources.adapters import ACCESS_SQL, TURNS_SQL, access_log, conversation_turns, table
@@ -84,13 +85,58 @@ def check_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.check_labels(lb, agents, owners, t.selectExpr("world", "agent * 100 + pos as message", "text"))
 
 
-@query(f"""with {TURNS_SQL}, n as (select world::varchar as world, count(*) n from turns group by 1) select world, 'turns' as "table", case when world::int % 4 = 3 then 'set_apart:failed' else 'count' end as problem from n where world::int % 4 = 3 or world::int % 2 = 1""")
+def _export(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """An export of two tables: the turns of twelve worlds, and their texts as pairs, of which one
+    side is null, each twice."""
+    t = conversation_turns(spark, sf_dir).withColumn("world", F.col("agent") % 12)
+    pairs = t.selectExpr("world", "case when pos % 2 = 0 then text end as a", "case when pos % 2 = 1 then text end as b")
+    return {"turns": t, "pairs": pairs.union(pairs).filter("world <> 9")}
+
+
+def _run_of(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The export as a run has read it: turns lost (worlds 1 and 3), a letter changed (2), both copies
+    of a pair replaced by another twice (4), null and value swapped (5), a table lost (8) or added (9)."""
+    t = tables["turns"].filter("world not in (1, 3) or pos = 0").withColumn("text", F.expr("case when world = 2 and pos = 1 then concat(text, '.') else text end"))
+    pairs = tables["pairs"].filter("world <> 8").selectExpr("world", "case when world = 4 then concat(a, '+') when world = 5 then b else a end as a", "case when world = 5 then a else b end as b")
+    return {"turns": t, "pairs": pairs.union(t.filter("world = 9").selectExpr("world", "text as a", "text as b"))}
+
+
+def _enc(columns: str, *names: str) -> str:
+    return f"'{columns};' || " + " || ".join(f"coalesce('v' || strlen({c}::varchar) || ':' || {c}::varchar, 'n')" for c in names)
+
+
+_EXPORT_SQL = f"""{TURNS_SQL}, t as (select agent % 12 as world, agent, pos, role, text from turns), p1 as (select world, case when pos % 2 = 0 then text end a, case when pos % 2 = 1 then text end b from t where world <> 9), p as (select * from p1 union all select * from p1),
+    t2 as (select world, agent, pos, role, case when world = 2 and pos = 1 then text || '.' else text end as text from t where world not in (1, 3) or pos = 0),
+    p2 as (select world, case when world = 4 then a || '+' when world = 5 then b else a end a, case when world = 5 then a else b end b from p where world <> 8 union all select world, text, text from t2 where world = 9),
+    r as (select world, 'turns' as tb, {_enc('agent bigint,pos bigint,role string,text string,world bigint', 'agent', 'pos', 'role', 'text', 'world')} e, 0 side from t union all select world, 'turns', {_enc('agent bigint,pos bigint,role string,text string,world bigint', 'agent', 'pos', 'role', 'text', 'world')}, 1 from t2
+        union all select world, 'pairs', {_enc('a string,b string,world bigint', 'a', 'b', 'world')}, 0 from p union all select world, 'pairs', {_enc('a string,b string,world bigint', 'a', 'b', 'world')}, 1 from p2),
+    c as (select world, tb, e, count(*) filter (where side = 0) x, count(*) filter (where side = 1) y from r group by all)"""
+
+
+@query(f"""with {_EXPORT_SQL}, w as (select world, tb, sum(x) x, sum(y) y from c group by all),
+    s as (select *, case when world = 6 then 'set_apart:failed' when world = 7 then 'set_apart:unscored' when x = 0 then 'not_in_manifest' when y = 0 then 'missing' when x <> y then 'count' else 'digest' end problem from w),
+    n as (select distinct world, tb, substr(sha256(e), 1, 2) node from c where x <> y)
+    select s.world::varchar as world, s.tb as "table", problem, node from s join n on n.world = s.world and n.tb = s.tb where problem in ('count', 'digest') union all select world::varchar, tb, problem, null from s where problem not in ('count', 'digest')""")
 def check_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that lost the last turns of odd worlds, and failed in every fourth."""
-    t = conversation_turns(spark, sf_dir)
-    kept = t.filter("world % 2 = 0 or pos = 0")
-    status = t.select("world").distinct().withColumn("status", F.when(F.col("world") % 4 == 3, "failed").otherwise("scored"))
-    return C.check_run(C.manifest({"turns": t}), C.manifest({"turns": kept}), status)
+    """A run that lost, altered and added rows of its export, failed in one world and did not score another."""
+    tables = _export(spark, sf_dir)
+    status = tables["turns"].select("world").distinct().filter("world <> 7").withColumn("status", F.when(F.col("world") == 6, "failed").otherwise("scored"))
+    return C.check_run(C.manifest(tables), C.manifest(_run_of(tables)), status)
+
+
+@query(f"""with {_EXPORT_SQL} select world, e as "row", x as n_a, y as n_b from c where tb = 'pairs' and x <> y""")
+def altered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows behind the digests that differ, of one table of the same run."""
+    one, two = _export(spark, sf_dir)["pairs"], _run_of(_export(spark, sf_dir))["pairs"]
+    nodes = D.differing_nodes(D.digest_tree(one, ["world"]), D.digest_tree(two, ["world"]), ["world"])
+    return D.altered_rows(one, two, nodes, ["world"])
+
+
+@query(f"""with {_EXPORT_SQL} select tb as "table", world::varchar as world, length(node) as level, node, count(*) as "rows" from (select tb, world, substr(sha256(e), 1, l) node from r, range(0, 3) x(l) where side = 0) group by all""")
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of every world's tree and their counts, made of two halves' trees added up."""
+    halves = [C.manifest({n: t.filter(f"pmod(hash(world, {'pos' if n == 'turns' else 'a'}), 2) = {k}") for n, t in _export(spark, sf_dir).items()}) for k in (0, 1)]
+    return D.merged(*halves, ["world", "table"]).select("table", "world", "level", "node", "rows")
 
 
 @query(f"with {TURNS_SQL}, w as (select distinct world from turns) select count(*) worlds, sha256(sum(('0x' || substr(sha256(world::varchar), 1, 12))::bigint)::varchar) as commitment from w")
