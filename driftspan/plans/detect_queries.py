@@ -32,11 +32,28 @@ l as (select distinct w.world, w.step, w.agent, w.off, p.sid, p.sagent, p.sstep,
 l2 as (select *, case when off - lag(off) over (partition by world, step, sid order by off) <= 24 then 0 else 1 end brk from l),
 l3 as (select *, sum(brk) over (partition by world, step, sid order by off rows unbounded preceding) isl from l2),
 l4 as (select world, step, agent, sid, sagent, sstep, s, e, min(off) a, max(off) + 24 b from l3 group by world, step, agent, sid, sagent, sstep, s, e, isl),
-m0 as (select l4.world, l4.agent reader, p.ex reader_ex, p.pos read_pos, a, b, substr(p.raw, a + 1, b - a) rd, substr(q.raw, s + 1, e - s) sp, case when p.role = 'system' then 'system_prompt' else 'user_turn' end carrier, sagent sender, q.ex sender_ex, q.pos sender_pos, s, e
+m0 as (select l4.world, l4.agent reader, p.ex reader_ex, p.pos read_pos, a, b, substr(p.raw, a + 1, b - a) rd, substr(q.raw, s + 1, e - s) sp, case when p.role = 'system' then 'system_prompt' when p.role = 'tool' then 'tool_result' else 'user_turn' end carrier, sagent sender, q.ex sender_ex, q.pos sender_pos, s, e
     from l4 join parts p on p.world = l4.world and p.step = l4.step join parts q on q.world = l4.world and q.step = l4.sstep
     where length(regexp_replace(substr(p.text, a + 1, b - a), '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 20),
 m as (select world, reader, reader_ex, read_pos, a, b, case when contains(sp, rd) then 'exact' when contains(ltrim(regexp_replace(lower(sp), '\\s+', ' ', 'g'), ' '), rtrim(ltrim(regexp_replace(lower(rd), '\\s+', ' ', 'g'), ' '), ' ')) then 'normalized' else 'decoded:json_string' end as class,
-    carrier, 'direct:' || carrier route, sender, sender_ex, sender_pos, s, e from m0)"""
+    carrier, case when carrier <> 'tool_result' then 'direct:' || carrier when reader % 4 = 0 then 'channel:file:/srv/notes/' || reader % 3 else 'direct:tool:unknown' end route, sender, sender_ex, sender_pos, s, e from m0)"""
+
+#: The same over turns of which every second agent has what it reads from a tool, and then once more.
+TOOL_TURNS_SQL = f"""{TURNS_SQL.replace('turns as', 'base as')}, told as (select world, agent, pos, case when role = 'user' and agent % 2 = 0 then 'tool' else role end as role, text from base),
+turns as (select * from told union all select world, agent, pos + 100, role, text from told where role = 'tool' union all select distinct world, agent, 200, 'assistant', 'noted' from told where agent % 2 = 0)"""
+TOOL_MATCHES_SQL = f"""{MATCHES_SQL.replace(TURNS_SQL, TOOL_TURNS_SQL)},
+rr as (select *, route like 'channel:%' and reader_ex > min(reader_ex) over (partition by world, sender, sender_ex, sender_pos, s, e, reader, route) reread from m)"""
+
+
+def tool_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, calls) of conversations in which every second agent's user turns are tool results that
+    it gets again in a last exchange; of every fourth agent they answer a call that names a file."""
+    told = conversation_turns(spark, sf_dir).withColumn("role", F.expr("case when role = 'user' and agent % 2 = 0 then 'tool' else role end"))
+    again = told.filter("role = 'tool'").withColumn("pos", F.col("pos") + 100)
+    end = told.filter("agent % 2 = 0").select("world", "agent").distinct().select("world", "agent", F.lit(200).cast("long").alias("pos"), F.lit("assistant").alias("role"), F.lit("noted").alias("text"))
+    turns = told.unionByName(again).unionByName(end).withColumn("call_id", F.expr("case when role = 'tool' then concat('c', agent) end"))
+    calls = told.filter("agent % 4 = 0").select("world", "agent").distinct().selectExpr("world", "agent", "cast(0 as bigint) as pos", "concat('c', agent) as call_id", "'fetch' as tool", """concat('{"path": "/srv/notes/', agent % 3, '"}') as args""")
+    return turns, calls
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +80,18 @@ def group_transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.group_transmissions(_matches(spark, sf_dir)).drop("evidence")
 
 
-@query(f"""with {MATCHES_SQL}, x as (select world, count(*) matches, count(distinct (reader, reader_ex, sender, route)) transmissions from m group by 1), sp as (select world, count(*) spans from spans group by 1),
+@query(f"""with {TOOL_MATCHES_SQL}, x as (select world, count(*) matches, count(*) filter (where reread) rereads, count(distinct case when not reread then (reader, reader_ex, sender, route) end) transmissions from rr group by 1), sp as (select world, count(*) spans from spans group by 1),
     t as (select world, count(distinct agent) agents, count(*) filter (where role = 'assistant') exchanges from turns group by 1)
-    select t.world, agents, exchanges, coalesce(spans, 0) spans, coalesce(matches, 0) matches, 0 rereads, 0 out_of_reach, coalesce(transmissions, 0) transmissions from t left join x on x.world = t.world left join sp on sp.world = t.world""")
+    select t.world, agents, exchanges, coalesce(spans, 0) spans, coalesce(matches, 0) matches, coalesce(rereads, 0) rereads, 0 out_of_reach, coalesce(transmissions, 0) transmissions from t left join x on x.world = t.world left join sp on sp.world = t.world""")
 def world_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = conversation_turns(spark, sf_dir)
-    return D.world_summary(turns, *D.scan(turns))
+    turns, calls = tool_turns(spark, sf_dir)
+    return D.world_summary(turns, *D.scan(turns, calls))
+
+
+@query(f"with {TOOL_MATCHES_SQL} select * exclude (reread) from rr where not reread")
+def detect_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector over tool results: routes by the calls they answer, and no rereads."""
+    return D.detect(*tool_turns(spark, sf_dir))
 
 
 @query(f"with {TURNS_SQL} select world, agent, pos, row_number() over (partition by world order by pos, agent) ord, 'end_turn' stop from turns where role = 'assistant'")

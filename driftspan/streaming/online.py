@@ -1,136 +1,97 @@
-"""The detector and the pairing of reads with writes, over growing tables.
+"""The detector over growing tables.
 
-Each micro-batch reads the state its predecessor wrote and writes its own state and results under
-its batch number, so a batch that runs again replaces what it wrote before.
+A batch reads what earlier batches left of its own worlds (windows seen, postings, spans, calls,
+deliveries), and writes its own under its number, so a batch that runs again replaces what it wrote.
+The state is kept in levels (levels.py), so what a batch reads does not grow with their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.functions import text as T
 from driftspan.operators import detect as D
-from driftspan.operators import sequence as Q
 from driftspan.sources.io import checkpointed
+from driftspan.streaming.levels import StateTable, Worlds
 
-POSTED = "world long, h long, sagent long, sstep long, sat int, s int, e int"
-SEEN = "world long, agent long, h long, step long"
-SPANS = "world long, sagent long, sstep long, sat int, s int, e int, piece string"
-ACCESS = "id long, agent long, at long, resource string, op string, rejected boolean"
+#: What a stream of parts has: reads (kind r), writes (w) and tool calls (c, with the step of the write they belong to).
+PARTS = "world long, agent long, ex long, step long, kind string, pos long, role string, text string, call_id string, tool string, args string"
+STATE = {
+    "posted": "world long, h long, sagent long, sstep long, sat int, s int, e int",
+    "seen": "world long, agent long, h long, step long",
+    "spans": "world long, sagent long, sstep long, sat int, s int, e int, piece string, sender_ex long, sender_pos long",
+    "calls": "world long, agent long, pos long, call_id string, tool string, args string",
+    "delivered": "world long, sender long, sender_ex long, sender_pos long, rs int, re int, reader long, route string, first long",
+    "steps": "world long, last long",
+}
+DELIVERY = ("world", "sender", "sender_ex", "sender_pos", "rs", "re", "reader", "route")
 
 
-def _state(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
-    """What the batches before this one have written."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", batch int").parquet(path).filter(F.col("batch") < batch).drop("batch")
+def detect_batch(parts: DataFrame, state: dict[str, DataFrame], k: int = T.K, min_word_chars: int = 20, max_postings: int = D.MAX_POSTINGS, min_decoded: int = 16) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(matches, rows that the state gains) of the next parts of every world in order of step.
 
-
-def _latest(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
-    """What the batch before this one has written."""
-    return spark.createDataFrame([], schema) if batch == 0 else spark.read.schema(schema).parquet(f"{path}/batch={batch - 1}")
-
-
-def _put(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def detect_batch(parts: DataFrame, seen: DataFrame, posted: DataFrame, known: DataFrame, k: int = T.K, min_word_chars: int = 20, max_postings: int = D.MAX_POSTINGS, min_decoded: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(matches, new seen rows, new postings, new spans) of the next parts of every world in order of step.
-
-    As detect(), with the windows seen, postings and spans of earlier parts as state; matches have
-    their steps, and their class, two_string_levels among them.
+    matches: as detect(), with reread, and class two_string_levels where only that explains a hit.
     """
     parts = parts.withColumn("step", F.col("step").cast("long"))
+    calls = parts.filter("kind = 'c'").select("world", "agent", "pos", "call_id", "tool", "args")
+    parts = parts.filter("kind in ('r', 'w')")
     pieces = checkpointed(D.cut_pieces(parts, min_decoded))
     windows = checkpointed(D.window_rows(pieces, k))
     first = windows.filter("kind <> 'd'").groupBy("world", "agent", "h").agg(F.min("step").alias("first"))
-    before = seen.groupBy("world", "agent", "h").agg(F.min("step").alias("before"))
+    before = state["seen"].groupBy("world", "agent", "h").agg(F.min("step").alias("before"))
     first = checkpointed(first.join(before, ["world", "agent", "h"], "left"))
     written = windows.filter("kind = 'w'").join(first, ["world", "agent", "h"])
     old = written.filter("before is not null or first < step").select("world", "step", "at", "off").distinct()
-    spans = checkpointed(D.spans_between(old, pieces, k, k, min_word_chars))
+    spans = D.spans_between(old, pieces, k, k, min_word_chars)
+    wrote = parts.filter("kind = 'w'").select("world", F.col("step").alias("sstep"), F.col("ex").cast("long").alias("sender_ex"), F.col("pos").cast("long").alias("sender_pos"))
+    spans = checkpointed(spans.join(wrote, ["world", "sstep"]))
     own = written.filter("before is null and first = step").select("world", F.col("step").alias("sstep"), F.col("at").alias("sat"), "off", "h")
     own = own.join(spans.select("world", *D.SPAN), ["world", "sstep", "sat"]).filter(f"off >= s and off + {k} <= e").select("world", "h", *D.SPAN).distinct()
-    hits = D.shingle_lookup(windows.filter("kind <> 'w'"), D.ranked_postings(posted.select("world", "h", *D.SPAN).union(own), max_postings))
-    found = D.explained(hits, pieces, known.unionByName(spans), k, k, min_word_chars)
+    hits = D.shingle_lookup(windows.filter("kind <> 'w'"), D.ranked_postings(state["posted"].select("world", "h", *D.SPAN).union(own), max_postings))
+    known = state["spans"].unionByName(spans)
+    found = D.routed(D.explained(hits, pieces, known, k, k, min_word_chars), parts, state["calls"].unionByName(calls))
+    found = found.join(known.select("world", *D.SPAN, "sender_ex", "sender_pos").distinct(), ["world", *D.SPAN]).withColumnRenamed("agent", "reader").withColumnRenamed("sagent", "sender")
+    found = checkpointed(found)
+    near = found.filter("class <> 'two_string_levels' and startswith(route, 'channel:')")
+    here = near.groupBy(*DELIVERY).agg(F.min("reader_ex").cast("long").alias("first"))
+    new = here.join(state["delivered"].select(*DELIVERY), list(DELIVERY), "left_anti")
+    first_read = here.union(state["delivered"].select(*here.columns)).groupBy(*DELIVERY).agg(F.min("first").alias("first"))
+    matches = found.join(first_read, list(DELIVERY), "left").withColumn("reread", F.coalesce(F.col("reader_ex") > F.col("first"), F.lit(False)))
+    matches = matches.select("world", "reader", "reader_ex", "read_pos", "a", "b", "class", "carrier", "route", "sender", "sender_ex", "sender_pos", F.col("rs").alias("s"), F.col("re").alias("e"), "reread")
     fresh = first.filter("before is null").select("world", "agent", "h", F.col("first").alias("step"))
-    return found, fresh, own, spans
+    return matches, {"posted": own, "seen": fresh, "spans": spans, "calls": calls, "delivered": new, "steps": parts.groupBy("world").agg(F.max("step").alias("last"))}
 
 
-def detect_stream(spark: SparkSession, parts_path: str, out: str, schema: str = "world long, agent long, ex long, step long, kind string, pos long, text string"):
-    """A query that writes out/matches, out/seen, out/posted, out/spans and out/rejected as files of parts arrive.
+def state_tables(spark: SparkSession, out: str) -> dict[str, StateTable]:
+    return {name: StateTable(spark, f"{out}/state/{name}", schema) for name, schema in STATE.items()}
 
-    A file must not split an exchange, and a world's files come in order of step; parts at or before
-    the last step seen of their world go to rejected.
-    """
 
-    def step(df: DataFrame, batch: int) -> None:
-        df = df.persist()
-        state = {name: _state(spark, f"{out}/{name}", batch, kind) for name, kind in (("seen", SEEN), ("posted", POSTED), ("spans", SPANS))}
-        last = _state(spark, f"{out}/steps", batch, "world long, last long").groupBy("world").agg(F.max("last").alias("last"))
-        rows = df.join(last, "world", "left")
-        good = rows.filter("last is null or step > last").drop("last")
-        _put(rows.filter("step <= last").drop("last"), f"{out}/rejected", batch)
-        here = good.select("world").distinct()
-        mine = {name: rows.join(here, "world", "left_semi") for name, rows in state.items()}  # a world's state is of use to it only
-        matches, fresh, new, spans = detect_batch(good, mine["seen"], mine["posted"], mine["spans"])
-        _put(matches, f"{out}/matches", batch)
-        _put(new, f"{out}/posted", batch)
-        _put(fresh, f"{out}/seen", batch)
-        _put(spans, f"{out}/spans", batch)
-        _put(good.groupBy("world").agg(F.max("step").alias("last")), f"{out}/steps", batch)
-        df.unpersist()
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts_path)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-
-
-def _settle(rows: DataFrame, upto: int | None) -> tuple[DataFrame, DataFrame]:
-    """(pairs of the reads up to a time, what later reads need): the resources' latest writes up to it, and all later rows."""
-    past = rows.filter("settled") if upto is None else rows.filter(f"settled or at <= {upto}")
-    fields = ["id", "agent", "at", "resource", "op", "rejected"]
-    now = past.filter("not settled").select(F.col("id").alias("read_id"))
-    pairs = Q.write_read_pairs(past.select(*fields)).join(now, "read_id", "left_semi")
-    newest = Window.partitionBy("resource").orderBy(F.desc("at"), F.desc("agent"), F.desc("id"))
-    writes = past.filter("op = 'write' and not rejected and resource is not null").withColumn("__rn", F.row_number().over(newest)).filter("__rn = 1")
-    state = writes.select(*fields, F.lit(True).alias("settled"))
-    return pairs, state if upto is None else state.union(rows.filter(f"not settled and at > {upto}").select(*fields, "settled"))
+def detect_stream(spark: SparkSession, parts_path: str, out: str, **options):
+    """A query that writes out/matches and out/rejected as files of PARTS arrive; it ends when what is
+    there has been read, in one batch, and goes on from there when started again.
 
-
-def pairs_stream(accesses: DataFrame, out: str, delay: int):
-    """A query that writes out/pairs: write_read_pairs over a stream of accesses, whose rows may come
-    `delay` microseconds out of order of time.
-
-    The watermark is the latest time seen less the delay. Reads wait until it has passed them, so
-    that a write that comes late is still found; rows at or before it when they come go to
-    out/rejected. State is each resource's latest accepted write up to the watermark and the rows
-    after it, written anew with each batch. finish_pairs gives the pairs of the reads still waiting.
+    The files of a batch must not split an exchange, and batches come in order of step; parts at or
+    before the last step seen of their world go to rejected. options: as detect_batch().
     """
-    spark = accesses.sparkSession
 
     def step(df: DataFrame, batch: int) -> None:
         df = df.persist()
-        state, marks = _latest(spark, f"{out}/state", batch, f"{ACCESS}, settled boolean"), _state(spark, f"{out}/marks", batch, "upto long")
-        last = marks.agg(F.max("upto")).first()[0]
-        rows = df.select("id", "agent", "at", "resource", "op", "rejected", F.lit(False).alias("settled"))
-        late = F.lit(False) if last is None else F.col("at") <= last
-        top = df.agg(F.max("at")).first()[0]
-        upto = max([x for x in (last, None if top is None else top - delay) if x is not None], default=-(2**62))
-        pairs, left = _settle(state.union(rows.filter(~late)), upto)
-        _put(rows.filter(late).drop("settled"), f"{out}/rejected", batch)
-        _put(pairs, f"{out}/pairs", batch)
-        _put(left, f"{out}/state", batch)
-        _put(spark.range(1).select(F.lit(upto).cast("long").alias("upto")), f"{out}/marks", batch)
+        tables, worlds = state_tables(spark, out), Worlds(df)
+        state = {name: t.read(batch, worlds) for name, t in tables.items()}
+        last = state["steps"].groupBy("world").agg(F.max("last").alias("last"))
+        rows = df.join(last, "world", "left")
+        matches, gained = detect_batch(rows.filter("last is null or step > last").drop("last"), state, **options)
+        rows.filter("step <= last").drop("last").write.mode("overwrite").parquet(f"{out}/rejected/batch={batch}")
+        matches.write.mode("overwrite").parquet(f"{out}/matches/batch={batch}")
+        for name, rows in gained.items():
+            tables[name].append(batch, rows)
         df.unpersist()
 
-    return accesses.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    stream = spark.readStream.schema(PARTS).parquet(parts_path)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
 
 
-def finish_pairs(spark: SparkSession, out: str) -> DataFrame:
-    """All pairs of a stream that has ended, those of reads after the last watermark among them."""
-    batches = spark.read.parquet(f"{out}/marks").agg(F.max("batch")).first()[0]
-    state = _latest(spark, f"{out}/state", batches + 1, f"{ACCESS}, settled boolean")
-    pairs, _ = _settle(state, 2**62)
-    return spark.read.parquet(f"{out}/pairs").drop("batch").unionByName(pairs)
+def matches_of(spark: SparkSession, out: str) -> DataFrame:
+    """The matches so far, as of detect(): in reach, and not read again."""
+    return spark.read.parquet(f"{out}/matches").drop("batch").filter("class <> 'two_string_levels' and not reread").drop("reread")

@@ -2,11 +2,8 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from driftspan.operators import detect as D
-from driftspan.operators import sequence as Q
-from driftspan.streaming import online
 
 
 def loop(turns, k, most):
@@ -82,40 +79,6 @@ def test_set_form_equals_loop(spark):
         assert sorted(tuple(r[c] for c in ("world", "reader", "reader_ex", "read_pos", "a", "b", "sender", "sender_ex", "sender_pos", "s", "e")) for r in got) == want and want
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    turns = spark.createDataFrame(worlds(12, 9), SCHEMA)
-    parts = D.parts_in_order(turns).persist()
-    for n, cut in enumerate(("ex <= 1", "ex = 2", "ex > 2")):
-        parts.filter(cut).withColumn("step", F.col("step").cast("long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    real = online.detect_batch
-    online.detect_batch = lambda p, s, q, x: real(p, s, q, x, k=4, min_word_chars=0, max_postings=2)
-    try:
-        online.detect_stream(spark, str(tmp_path / "in"), str(tmp_path / "out")).awaitTermination()
-    finally:
-        online.detect_batch = real
-    got = spark.read.parquet(str(tmp_path / "out/matches"))
-    batch = D.detect(turns, k=4, min_span=4, min_word_chars=0, max_postings=2)
-    steps = parts.select("world", "step", F.col("agent").alias("x"), "ex", "pos")
-    named = got.join(steps, ["world", "step"]).select("world", F.col("agent").alias("reader"), F.col("ex").alias("reader_ex"), F.col("pos").alias("read_pos"), "a", "b", F.col("sagent").alias("sender"), F.col("rs").alias("s"), F.col("re").alias("e"), "class")
-    cols = ["world", "reader", "reader_ex", "read_pos", "a", "b", "sender", "s", "e", "class"]
-    assert sorted(map(tuple, named.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect())) and named.count()
-    assert spark.read.parquet(str(tmp_path / "out/rejected")).count() == 0
-
-
-def test_pairs_stream_out_of_order(spark, tmp_path):
-    rng = random.Random(4)
-    rows = [(i, rng.randint(1, 6), rng.randint(0, 900), f"r{rng.randint(0, 5)}", rng.choice(["read", "read", "write"]), rng.random() < 0.1) for i in range(400)]
-    df = spark.createDataFrame(rows, online.ACCESS)
-    for n in range(5):  # files that overlap in time
-        df.filter(f"at + (id % 3) * 90 >= {n * 180} and at + (id % 3) * 90 < {n * 180 + 180}" if n < 4 else "at + (id % 3) * 90 >= 720").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(online.ACCESS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    online.pairs_stream(stream, str(tmp_path / "out"), 400).awaitTermination()
-    got, want = online.finish_pairs(spark, str(tmp_path / "out")), Q.write_read_pairs(df)
-    cols = want.columns
-    assert spark.read.parquet(str(tmp_path / "out/marks")).count() == 5 and spark.read.parquet(str(tmp_path / "out/rejected")).count() == 0
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
-
-
 BASE = "the wise old harbour master keeps the lamp lit until dawn"
 
 
