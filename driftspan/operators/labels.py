@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.functions import text as T
+from driftspan.sources.io import checkpointed
 
 
 def explode_parts(messages: DataFrame) -> DataFrame:
@@ -222,25 +223,59 @@ def find_occurrences(needles: DataFrame, texts: DataFrame, k: int = T.K) -> Data
     return found.select("needle_id", "text_id", F.when(exact, "exact").when(folded, "normalized").otherwise("decoded").alias("class"), copies.cast("long").alias("n"), (F.position(what, where) - 1).cast("long").alias("at"))
 
 
-def line_sources(revisions: DataFrame) -> DataFrame:
-    """(page, seq, sources): for each revision which revision wrote each of its lines.
+def _replayable(revisions: DataFrame) -> DataFrame:
+    """revisions with prev (the page's last seq before, null where the revision is its own source
+    throughout), hunks in order, and problem: base_range or unbalanced where hunks do not fit."""
+    by = Window.partitionBy("page").orderBy("seq")
+    rows = revisions.select("page", "seq", "n_lines", F.array_sort("hunks").alias("hunks"), F.lag("seq").over(by).alias("prev"), F.lag("n_lines").over(by).alias("base"))
+    ends = F.transform("hunks", lambda h: h["at"] + h["removed"])
+    apart = F.forall(F.sequence(F.lit(0), F.size("hunks") - 1), lambda i: F.get("hunks", i)["at"] >= F.when(i > 0, F.get(ends, i - 1)).otherwise(0))
+    inside = F.forall("hunks", lambda h: (h["removed"] >= 0) & (h["added"] >= 0)) & (F.array_max(ends) <= F.col("base"))
+    total = F.col("base") + F.aggregate("hunks", F.lit(0).cast("long"), lambda acc, h: acc + h["added"] - h["removed"])
+    some = F.col("prev").isNotNull() & (F.coalesce(F.size("hunks"), F.lit(0)) > 0)
+    problem = F.when(some, F.when(~(apart & inside), "base_range").when(total != F.col("n_lines"), "unbalanced"))
+    rows = rows.withColumn("problem", problem)
+    return rows.withColumn("prev", F.when(some & F.col("problem").isNull(), F.col("prev")))
 
-    revisions: page, seq, n_lines, hunks array<struct<at, removed, added>> in line order of the
-    previous revision. A revision whose hunks do not give its number of lines is its own source
-    throughout.
-    """
-    rows = revisions.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("seq", "n_lines", "hunks"))).alias("r"))
-    none = F.expr("cast(array() as array<bigint>)")
 
-    def replay(prev: Column, rev: Column) -> Column:
-        start = F.struct(none.alias("out"), F.lit(0).alias("from"))
-        done = F.aggregate(rev["hunks"], start, lambda acc, h: F.struct(F.concat(acc["out"], F.slice(prev, acc["from"] + 1, F.greatest(h["at"] - acc["from"], F.lit(0))), F.array_repeat(rev["seq"], h["added"])).alias("out"), (h["at"] + h["removed"]).alias("from")))
-        out = F.concat(done["out"], F.slice(prev, done["from"] + 1, F.greatest(F.size(prev) - done["from"], F.lit(0))))
-        return F.when(F.size(out) == rev["n_lines"], out).otherwise(F.array_repeat(rev["seq"], rev["n_lines"]))
+def unreplayable(revisions: DataFrame) -> DataFrame:
+    """(page, seq, problem): revisions whose hunks overlap or leave their base (base_range), or do not
+    give their number of lines (unbalanced); line_sources takes them as their own source."""
+    return _replayable(revisions).filter("problem is not null").select("page", "seq", "problem")
+
 
-    kind = F.expr("cast(array() as array<struct<seq: bigint, sources: array<bigint>>>)")
-    folded = F.aggregate("r", kind, lambda acc, rev: F.concat(acc, F.array(F.struct(rev["seq"].alias("seq"), replay(F.when(F.size(acc) > 0, F.element_at(acc, -1)["sources"]).otherwise(none), rev).alias("sources")))))
-    return rows.select("page", F.inline(folded))
+def line_sources(revisions: DataFrame) -> DataFrame:
+    """(page, seq, first_line, lines, source): for each revision the longest runs of lines that one
+    revision wrote, in order.
+
+    revisions: page, seq, n_lines, hunks array<struct<at, removed, added>> by lines of the previous
+    revision, in any order. A page's first revision, one without hunks and one whose hunks cannot
+    be replayed are their own source throughout.
+
+    A revision is a map of runs of its lines to runs of the one before. Maps are composed with the
+    map of the revision they point to, so that pointers reach twice as far back each round: a page
+    of n revisions takes log n rounds, each a join on page and revision, and no task holds a page.
+    """
+    rows = checkpointed(_replayable(revisions))
+    own = rows.filter("prev is null").select("page", "seq", F.lit(0).alias("lo"), F.col("n_lines").alias("hi"), F.col("seq").alias("src"), F.lit(0).alias("src_lo"), F.lit(True).alias("done"))
+    end = F.array(F.struct(F.col("base").alias("at"), F.lit(0).alias("removed"), F.lit(0).alias("added")))
+    hunk = "array<struct<at: bigint, removed: bigint, added: bigint>>"
+    cut = rows.filter("prev is not null").select("page", "seq", "prev", F.posexplode(F.concat(F.col("hunks").cast(hunk), end.cast(hunk))).alias("i", "h")).select("page", "seq", "prev", "i", "h.*")
+    by = Window.partitionBy("page", "seq").orderBy("i")
+    cut = cut.withColumn("start", F.coalesce(F.lag(F.col("at") + F.col("removed")).over(by), F.lit(0))).withColumn("shift", F.coalesce(F.sum(F.col("added") - F.col("removed")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = F.struct((F.col("start") + F.col("shift")).alias("lo"), (F.col("at") + F.col("shift")).alias("hi"), F.col("prev").alias("src"), F.col("start").alias("src_lo"), F.lit(False).alias("done"))
+    new = F.struct((F.col("at") + F.col("shift")).alias("lo"), (F.col("at") + F.col("shift") + F.col("added")).alias("hi"), F.col("seq").alias("src"), F.lit(0).cast("long").alias("src_lo"), F.lit(True).alias("done"))
+    kinds = "page, seq, cast(lo as bigint) lo, cast(hi as bigint) hi, cast(src as bigint) src, cast(src_lo as bigint) src_lo, done"
+    runs = own.selectExpr(*kinds.split(", ")).union(cut.select("page", "seq", F.inline(F.array(kept, new))).selectExpr(*kinds.split(", "))).filter("lo < hi")
+    runs = checkpointed(runs)
+    while not runs.filter("not done").isEmpty():
+        far = runs.select("page", F.col("seq").alias("src"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi"), F.col("src").alias("t_src"), F.col("src_lo").alias("t_from"), F.col("done").alias("t_done"))
+        met = runs.filter("not done").drop("done").join(far, ["page", "src"]).withColumn("s", F.greatest("src_lo", "t_lo")).withColumn("e", F.least(F.col("src_lo") + F.col("hi") - F.col("lo"), "t_hi")).filter("s < e")
+        moved = met.selectExpr("page", "seq", "lo + s - src_lo as lo", "lo + e - src_lo as hi", "t_src as src", "t_from + s - t_lo as src_lo", "t_done as done")
+        runs = checkpointed(runs.filter("done").union(moved))
+    order = Window.partitionBy("page", "seq").orderBy("lo")
+    islands = runs.withColumn("new", F.when(F.lag("src").over(order) == F.col("src"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    return islands.groupBy("page", "seq", "run", F.col("src").alias("source")).agg(F.min("lo").alias("first_line"), F.sum(F.col("hi") - F.col("lo")).alias("lines")).select("page", "seq", "first_line", "lines", "source")
 
 
 def page_reads(revisions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -252,13 +287,10 @@ def page_reads(revisions: DataFrame, sources: DataFrame) -> DataFrame:
     """
     by = Window.partitionBy("page").orderBy("seq")
     reads = revisions.withColumn("last", F.lag("author").over(by)).withColumn("prev", F.lag("seq").over(by)).filter("last is not null and last <> author")
-    lines = reads.join(sources.select("page", F.col("seq").alias("prev"), "sources"), ["page", "prev"]).select("page", F.col("author").alias("reader"), "seq", F.posexplode("sources").alias("line", "source"))
-    named = lines.join(revisions.select("page", F.col("seq").alias("source"), F.col("author").alias("source_author")), ["page", "source"])
-    order = Window.partitionBy("page", "seq").orderBy("line")
-    cut = named.withColumn("new", F.when(F.lag("source").over(order) == F.col("source"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = cut.filter("source_author <> reader").groupBy("page", "reader", "seq", "source", "source_author", "run").agg(F.min("line").alias("first_line"), F.count("*").alias("lines"))
+    runs = reads.select("page", "prev", F.col("author").alias("reader"), "seq").join(sources.withColumnRenamed("seq", "prev"), ["page", "prev"])
+    runs = runs.join(revisions.select("page", F.col("seq").alias("source"), F.col("author").alias("source_author")), ["page", "source"]).filter("source_author <> reader")
     first = F.min("seq").over(Window.partitionBy("page", "reader", "source"))
-    return runs.withColumn("kind", F.when(F.col("seq") == first, "transmission").otherwise("reread")).drop("run", "source")
+    return runs.withColumn("kind", F.when(F.col("seq") == first, "transmission").otherwise("reread")).select("page", "reader", "seq", "source_author", "first_line", "lines", "kind")
 
 
 def relay_lines(lines: DataFrame) -> DataFrame:

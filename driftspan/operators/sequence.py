@@ -86,17 +86,30 @@ def state_asof(events: DataFrame, probes: DataFrame, key: str, default) -> DataF
     return e.union(p).withColumn("found", F.coalesce(last, after, F.lit(default))).filter("side = 1").select("id", key, "at", F.col("found").alias("value"))
 
 
-def active_at(intervals: DataFrame, probes: DataFrame, key: str, slot: int) -> DataFrame:
+def active_at(intervals: DataFrame, probes: DataFrame, key: str, grain: int) -> DataFrame:
     """(probe, interval) pairs with start <= at < end, or no end, of equal keys.
 
-    Bounded intervals are dealt into time slots of this length, so that a probe meets those of its
-    slot only; open ones are compared by start alone.
+    intervals: id, key, start, end; probes: id, key, at. Time is a binary tree over units of `grain`
+    between the first and the last probe. An interval becomes the largest nodes that cover it, two
+    a level at most however long it is, and an open one the nodes up to the last probe; a probe
+    becomes its path of nodes. Nodes of an interval are apart, so a pair meets once, and only the
+    units at an interval's ends meet probes in vain. Nulls in key, start or at match nothing.
     """
-    closed = intervals.filter("end is not null and end > start").withColumn("slot", F.explode(F.sequence(F.expr(f"start div {slot}"), F.expr(f"(end - 1) div {slot}"))))
-    p = probes.select(F.col("id").alias("probe"), key, "at", F.expr(f"at div {slot}").alias("slot"))
-    first = p.join(closed.select(F.col("id").alias("interval"), key, "slot", "start", "end"), [key, "slot"]).filter("start <= at and at < end").select("probe", "interval")
-    open_ = p.join(intervals.filter("end is null").select(F.col("id").alias("interval"), key, "start"), key).filter("start <= at").select("probe", "interval")
-    return first.union(open_)
+    ends = probes.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, -1)
+    base, units = lo // grain, hi // grain - lo // grain + 1
+    levels = max(units, 1).bit_length()
+    unit = lambda t: F.expr(f"({t} - pmod({t}, {grain})) div {grain} - {base}")
+    first, last = F.greatest(unit("start"), F.lit(0)), F.least(F.coalesce(unit("end - 1"), F.lit(units - 1)), F.lit(units - 1)) + 1
+    spans = intervals.filter("start is not null and (end is null or end > start)").select(F.col("id").alias("interval"), key, "start", "end", first.alias("l"), last.alias("r")).filter("l < r")
+    # at each level what is left of the span is [l, r); an odd end is a node of this level
+    nodes = F.expr(f"""flatten(transform(sequence(0, {levels}), v -> array(
+        case when -shiftright(-l, v) < shiftright(r, v) and pmod(-shiftright(-l, v), 2) = 1 then struct(v as level, -shiftright(-l, v) as node) end,
+        case when -shiftright(-l, v) < shiftright(r, v) and pmod(shiftright(r, v), 2) = 1 then struct(v as level, shiftright(r, v) - 1 as node) end)))""")
+    covered = spans.select("interval", key, "start", "end", F.explode(F.filter(nodes, lambda n: n.isNotNull())).alias("n")).select("interval", key, "start", "end", "n.level", "n.node")
+    path = probes.filter("at is not null").select(F.col("id").alias("probe"), key, "at", unit("at").alias("u")).select("probe", key, "at", F.explode(F.expr(f"transform(sequence(0, {levels}), v -> struct(v as level, shiftright(u, v) as node))")).alias("n"))
+    met = path.select("probe", key, "at", "n.level", "n.node").join(covered, [key, "level", "node"])
+    return met.filter("start <= at and (end is null or at < end)").select("probe", "interval")
 
 
 def next_delivery(posts: DataFrame, calls: DataFrame, members: DataFrame, horizon: int) -> DataFrame:

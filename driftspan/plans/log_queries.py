@@ -161,20 +161,30 @@ def shared_source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.shared_source_labels(conversation_turns(spark, sf_dir).withColumn("source", F.expr(_FED)))
 
 
-_REV = f"""{TURNS_SQL}, rv as (select agent page, pos seq, pos // 2 % 3 author, len(string_split(text, chr(10))) added from turns),
-    ls as (select r.page, r.seq, s.seq source, s.author source_author, s.added, coalesce(sum(s.added) over (partition by r.page, r.seq order by s.seq desc rows between unbounded preceding and 1 preceding), 0)::bigint first_line from rv r join rv s on s.page = r.page and s.seq <= r.seq)"""
+_RESET = "(page % 5 = 0 and seq = 2) or (page % 7 = 3 and seq = 1)"
+_REV = f"""{TURNS_SQL}, rv0 as (select agent page, pos seq, pos // 2 % 3 author, len(string_split(text, chr(10))) added from turns), rv1 as (select *, sum(added) over (partition by page order by seq) n, {_RESET} reset from rv0),
+    rv as (select page, seq, author, (case when reset then n else added end)::bigint added, max(case when reset then seq end) over (partition by page order by seq) since from rv1),
+    ls as (select r.page, r.seq, s.seq source, s.author source_author, s.added, coalesce(sum(s.added) over (partition by r.page, r.seq order by s.seq desc rows between unbounded preceding and 1 preceding), 0)::bigint first_line from rv r join rv s on s.page = r.page and s.seq <= r.seq and s.seq >= coalesce(r.since, -1))"""
 
 
 def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisions made of conversations: every turn adds its lines at the top."""
+    """Revisions made of conversations: every turn adds its lines at the top, but for some whose
+    hunks are not known (page % 5 = 0) or do not give the number of lines."""
     c = conversation_turns(spark, sf_dir).select(F.col("agent").alias("page"), F.col("pos").alias("seq"), F.expr("pos div 2 % 3").alias("author"), F.size(F.split("text", "\n")).alias("added"))
     total = F.sum("added").over(Window.partitionBy("page").orderBy("seq")).cast("int")
-    return c.select("page", "seq", "author", total.alias("n_lines"), F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("removed"), F.col("added").alias("added"))).alias("hunks"))
+    hunks = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("removed"), (F.col("added") + F.expr("case when page % 7 = 3 and seq = 1 then 1 else 0 end")).alias("added")))
+    return c.select("page", "seq", "author", total.alias("n_lines"), F.when(F.expr("page % 5 = 0 and seq = 2"), F.array().cast("array<struct<at: int, removed: int, added: int>>")).otherwise(hunks).alias("hunks"))
 
 
 @query(f"with {_REV} select page, seq, first_line + i line, source from ls, range(0, added) r(i)")
 def line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.line_sources(_revisions(spark, sf_dir)).select("page", "seq", F.posexplode("sources").alias("line", "source"))
+    runs = L.line_sources(_revisions(spark, sf_dir))
+    return runs.select("page", "seq", F.explode(F.expr("sequence(first_line, first_line + lines - 1)")).alias("line"), "source")
+
+
+@query(f"with {_REV} select page, seq, 'unbalanced' as problem from rv1 where page % 7 = 3 and seq = 1 and not (page % 5 = 0 and seq = 2) and exists (select 1 from rv1 b where b.page = rv1.page and b.seq < rv1.seq)")
+def unreplayable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.unreplayable(_revisions(spark, sf_dir))
 
 
 @query(f"""with {_REV}, rd as (select *, lag(author) over (partition by page order by seq) la, lag(seq) over (partition by page order by seq) prev from rv), x as (select rd.page, rd.author reader, rd.seq, source, source_author, first_line, ls.added as "lines" from rd join ls on ls.page = rd.page and ls.seq = rd.prev where la <> rd.author and source_author <> rd.author)

@@ -80,12 +80,14 @@ def state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.state_asof(events, a.select("agent", "at", "id"), "agent", "none")
 
 
-@query(f"""with {ACCESS_SQL}, i as (select id, agent, tm as s, case when id % 9 <> 0 then tm + 7200000000 * (1 + id % 12) end e from accesses where event_type = 'purchase'), p as (select id, agent, tm from accesses where op = 'read')
+@query(f"""with {ACCESS_SQL}, i as (select id, agent, tm as s, case when id % 13 = 0 then tm + 3155760000000000 when id % 7 = 0 then tm + 60000000 when id % 9 <> 0 then tm + 7200000000 * (1 + id % 12) end e from accesses where event_type = 'purchase'), p as (select id, agent, tm from accesses where op = 'read')
     select p.id probe, i.id as "interval" from p join i on p.agent = i.agent and s <= p.tm and (e is null or p.tm < e)""")
 def active_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of a minute, of hours, of a hundred years, and open ones."""
     a = access_log(spark, sf_dir)
-    i = a.filter("event_type = 'purchase'").select("id", "agent", F.col("at").alias("start"), F.when(F.col("id") % 9 != 0, F.col("at") + 7_200_000_000 * (1 + F.col("id") % 12)).alias("end"))
-    return Q.active_at(i, a.filter("op = 'read'").select("id", "agent", "at"), "agent", 240 * MINUTE)
+    length = F.when(F.col("id") % 13 == 0, 3_155_760_000_000_000).when(F.col("id") % 7 == 0, MINUTE).when(F.col("id") % 9 != 0, 7_200_000_000 * (1 + F.col("id") % 12))
+    i = a.filter("event_type = 'purchase'").select("id", "agent", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return Q.active_at(i, a.filter("op = 'read'").select("id", "agent", "at"), "agent", MINUTE)
 
 
 @query(f"""with {ACCESS_SQL}, m as (select distinct agent % 12 room, agent from accesses), p as (select id, agent % 12 room, agent, tm from accesses where event_type = 'purchase'), c as (select id, agent, tm from accesses where op = 'read'),

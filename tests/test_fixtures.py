@@ -53,7 +53,8 @@ def test_line_sources_and_reads(spark):
     h = "array<struct<at: int, removed: int, added: int>>"
     rev = spark.createDataFrame([("p", 1, 3, [(0, 0, 3)], "a"), ("p", 2, 4, [(1, 1, 2)], "b"), ("p", 3, 9, [(0, 0, 1)], "a"), ("p", 4, 9, [], "c")], f"page string, seq long, n_lines int, hunks {h}, author string")
     sources = L.line_sources(rev)
-    assert {r["seq"]: r["sources"] for r in sources.collect()} == {1: [1, 1, 1], 2: [1, 2, 2, 1], 3: [3] * 9, 4: [3] * 9}
+    assert rows(sources, "seq", "first_line", "lines", "source") == [(1, 0, 3, 1), (2, 0, 1, 1), (2, 1, 2, 2), (2, 3, 1, 1), (3, 0, 9, 3), (4, 0, 9, 4)]
+    assert rows(L.unreplayable(rev), "seq", "problem") == [(3, "unbalanced")]
     got = rows(L.page_reads(rev, sources), "reader", "seq", "source_author", "first_line", "lines", "kind")
     assert got == [("a", 3, "b", 1, 2, "transmission"), ("b", 2, "a", 0, 3, "transmission"), ("c", 4, "a", 0, 9, "transmission")]
 
