@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _before(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+from driftspan.operators.scans import Running, row_numbers, running
 
 
 def strictly_increasing(df: DataFrame, keys: list[str], time: str, tie: list[str]) -> DataFrame:
     """Column at: time, raised to one more than the row before where it does not exceed it."""
-    by = Window.partitionBy(*keys).orderBy(time, *tie)
-    rn = F.row_number().over(by)
-    rows = df.withColumn("__rn", rn)
-    top = F.max(F.col(time) - F.col("__rn")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("at", F.col("__rn") + top).drop("__rn")
+    rows = running(df, keys, [time, *tie], {"__rn": row_numbers()})
+    rows = running(rows, keys, [time, *tie], {"__top": Running("max", F.col(time) - F.col("__rn"))})
+    return rows.withColumn("at", F.col("__rn") + F.col("__top")).drop("__rn", "__top")
 
 
 def gap_clock(df: DataFrame, keys: list[str], order: list[str], gap: str) -> DataFrame:
     """Column at: the running sum of gaps; null and negative gaps count as none."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("at", F.sum(F.greatest(F.coalesce(F.col(gap), F.lit(0)), F.lit(0))).over(by))
+    return running(df, keys, order, {"at": Running("sum", F.greatest(F.coalesce(F.col(gap), F.lit(0)), F.lit(0)))})
 
 
 def paced_clock(df: DataFrame, key: Column, major: str, mean: int, jitter: int) -> DataFrame:
@@ -33,8 +28,7 @@ def paced_clock(df: DataFrame, key: Column, major: str, mean: int, jitter: int)
 
 def cut_sessions(df: DataFrame, keys: list[str], order: list[str], boundary: Column) -> DataFrame:
     """Column context: how many boundaries there are up to a row."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("context", F.sum(F.when(boundary, 1).otherwise(0)).over(by))
+    return running(df, keys, order, {"context": Running("sum", F.when(boundary, 1).otherwise(0))})
 
 
 def first_delivery(df: DataFrame, keys: list[str], item: str, order: list[str]) -> DataFrame:
@@ -51,16 +45,19 @@ def shifted_day(time: Column, hours: int = 10) -> Column:
 
 def exchange_order(df: DataFrame, at: str, agent: str, id_: str, session: str) -> DataFrame:
     """Columns ord (in the world), ordinal (in the session) and previous (exchange of the agent)."""
-    world = Window.partitionBy("world").orderBy(at, agent, id_)
-    return df.withColumn("ord", F.row_number().over(world)).withColumn("ordinal", F.row_number().over(Window.partitionBy("world", session).orderBy(at, agent, id_))).withColumn("previous", F.lag(id_).over(Window.partitionBy("world", agent).orderBy(at, agent, id_)))
+    order = [at, agent, id_]
+    rows = running(df, ["world"], order, {"ord": row_numbers()})
+    rows = running(rows, ["world", session], order, {"ordinal": row_numbers()})
+    rows = running(rows, ["world", agent], order, {"previous": Running("last", F.col(id_), before=True)})
+    return rows.withColumns({c: F.col(c).cast("int") for c in ("ord", "ordinal")})
 
 
 def write_read_pairs(accesses: DataFrame) -> DataFrame:
     """(read_id, write_id, resource, reader, writer, cross_day): a read pairs with the latest earlier
     write of its resource that was not rejected, if another agent made it."""
     good = F.when((F.col("op") == "write") & ~F.col("rejected"), F.struct("id", "agent", "at"))
-    last = F.last_value(good, ignoreNulls=True).over(_before(["resource"], ["at", "agent", "id"]))
-    rows = accesses.filter("resource is not null").withColumn("w", last).filter("op = 'read' and w is not null and w.agent <> agent")
+    rows = running(accesses.filter("resource is not null"), ["resource"], ["at", "agent", "id"], {"w": Running("last", good, before=True)})
+    rows = rows.filter("op = 'read' and w is not null and w.agent <> agent")
     day = lambda c: F.floor(c / 86_400_000_000)
     return rows.select(F.col("id").alias("read_id"), F.col("w.id").alias("write_id"), "resource", F.col("agent").alias("reader"), F.col("w.agent").alias("writer"), (day(F.col("at")) != day(F.col("w.at"))).alias("cross_day"))
 
@@ -81,9 +78,9 @@ def state_asof(events: DataFrame, probes: DataFrame, key: str, default) -> DataF
     e = events.select(key, "at", F.lit(0).alias("side"), F.col("id"), F.col("value"))
     p = probes.select(key, "at", F.lit(1).alias("side"), F.col("id"), F.lit(None).cast(events.schema["value"].dataType).alias("value"))
     order = ["at", "side", "id"]
-    last = F.last_value("value", ignoreNulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last_value("value", ignoreNulls=True).over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
-    return e.union(p).withColumn("found", F.coalesce(last, after, F.lit(default))).filter("side = 1").select("id", key, "at", F.col("found").alias("value"))
+    rows = running(e.union(p), [key], order, {"last": Running("last", F.col("value"))})
+    rows = running(rows, [key], order, {"after": Running("last", F.col("value"))}, backward=True)
+    return rows.filter("side = 1").select("id", key, "at", F.coalesce("last", "after", F.lit(default)).alias("value"))
 
 
 def active_at(intervals: DataFrame, probes: DataFrame, key: str, grain: int) -> DataFrame:
@@ -124,8 +121,8 @@ def next_delivery(posts: DataFrame, calls: DataFrame, members: DataFrame, horizo
     to = posts.select("id", "room", F.col("agent").alias("author"), "at", slot.alias("slot")).join(busy, ["room", "slot"]).filter("agent <> author")
     p = to.select("agent", "at", F.lit(0).alias("side"), F.col("id").alias("post"), F.lit(None).cast("long").alias("call"))
     c = calls.select("agent", "at", F.lit(1).alias("side"), F.lit(None).cast("long").alias("post"), F.col("id").alias("call"))
-    ahead = Window.partitionBy("agent").orderBy(*[F.desc(x) for x in ("at", "side", "post", "call")]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = p.union(c).withColumn("n", F.last_value(F.when(F.col("side") == 1, F.struct("call", "at")), ignoreNulls=True).over(ahead))
+    call = F.when(F.col("side") == 1, F.struct("call", "at"))
+    rows = running(p.union(c), ["agent"], ["at", "side", "post", "call"], {"n": Running("last", call, before=True)}, backward=True)
     return rows.filter(f"side = 0 and n is not null and n.at - at <= {horizon}").select("post", "agent", "n.call")
 
 
