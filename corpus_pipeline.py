@@ -18,9 +18,14 @@ from driftspan.llm.entry import tokenizer
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Folders that stages have made and that nothing has removed yet.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    return f"{shared_folder(bounded_batches(spark)).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    made.append(f"{shared_folder(bounded_batches(spark)).rstrip('/')}/pipeline-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -83,15 +88,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all documents; each stage is written before the next reads it.
 
-    A stage's input goes when its output stands; the last stage's stays, as its rows are read later.
+    When a stage's output stands, its input and what it wrote on the way are removed, so only the
+    last stage's rows are left.
     """
-    base, last = scratch(spark), None
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        at = f"{base}/{name}"
+    base = scratch(spark)
+    made.remove(base)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
+    for name, stage in STAGES:
+        before, at = len(made), f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
-        if last:
-            remove(spark, last)
-        last = at
-    return STAGES[-1][1](spark, docs, sf_dir)
+        for folder in [*made[before:], *([last] if last else [])]:
+            remove(spark, folder)
+        del made[before:]
+        docs, last = spark.read.parquet(at), at
+    return docs
