@@ -333,8 +333,8 @@ def _score(table: pa.Table, n_tokens: int, n_types: int, shards: int, hot: np.nd
     pairs, at = np.unique(every, return_inverse=True)
     to = _pair_shards(vocabulary, pairs, shards, hot)
     leaf = np.zeros(len(pairs), np.uint16)
-    for s, found in codes.items():
-        leaf[to == s] = found
+    if codes:  # each shard answers its pairs in their order
+        leaf[np.argsort(to, kind="stable")] = np.concatenate([codes[s] for s in sorted(codes)])
     context, word = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
     logs = np.log10(_dequantise(leaf) + mu / (c[context] + mu) * single[word])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
