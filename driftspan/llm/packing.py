@@ -252,8 +252,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """One row per piece: id_col, piece, start, length, ids (or ids_crc32), sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated rows and ids are packed once each; null
-    ids are kept. Texts of any length are cut, never shortened. Strings that look like special
-    tokens are ordinary text. Other columns are ignored; an empty table gives no sequences.
+    ids are kept. Texts of any length are cut, never shortened. An added token's string in a text
+    is that token, as the tokenizer has it. Other columns are ignored; no rows give no sequences.
     Sequences have no gaps before their last piece; offset is a piece's place in its sequence.
     """
     spark = docs.sparkSession
