@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftspan.operators.scans import Running, row_numbers, running
+from driftspan.operators.scans import Running, first_of_each, row_numbers, running, spaced
 
 
 def strictly_increasing(df: DataFrame, keys: list[str], time: str, tie: list[str]) -> DataFrame:
@@ -208,20 +208,14 @@ def missing_worlds(df: DataFrame, listed: DataFrame, world: str = "world") -> Da
 
 
 def stratified_round_robin(df: DataFrame, strata: str, order: list[str], limit: int, per_stratum: int | None = None) -> DataFrame:
-    """One row of each stratum in turn until there are `limit`."""
-    rows = df.withColumn("__rn", F.row_number().over(Window.partitionBy(strata).orderBy(*order)))
-    if per_stratum:
-        rows = rows.filter(F.col("__rn") <= per_stratum)
-    return rows.orderBy("__rn", strata).limit(limit).drop("__rn")
+    """One row of each stratum in turn until there are `limit`; `order` should leave no ties."""
+    rows = first_of_each(df, [strata], order, min(limit, per_stratum or limit))
+    return rows.orderBy("place", strata).limit(limit).drop("place")
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """Of each key the rows at places i * count div n, i = 0 .. n - 1, each once."""
-    by = Window.partitionBy(*keys)
-    rows = df.withColumn("__i", F.row_number().over(by.orderBy(*order)) - 1).withColumn("__c", F.count("*").over(by))
-    # place p is picked if some i has i * c div n = p: the first i that could is ceil(p * n / c)
-    i = F.expr(f"(__i * {n} + __c - 1) div __c")
-    return rows.filter((i < n) & (F.expr(f"(((__i * {n} + __c - 1) div __c) * __c) div {n}") == F.col("__i"))).drop("__i", "__c")
+    """Of each key the rows at places i * count div n, i = 0 .. n - 1, each once; `order` should leave no ties."""
+    return spaced(df, keys, order, n)
 
 
 def global_rank(df: DataFrame, order: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,15 +47,60 @@ def label_counts(tables: dict[str, DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.union, parts) if parts else None
 
 
-def write_export(tables: dict[str, DataFrame], path: str, notes: DataFrame | None = None) -> None:
-    """Every table as Parquet under its name, partitioned by dataset where it has one, with the
-    counts of its labels as label_counts and the notes (dataset, name, n) as notes."""
-    extra = {"label_counts": label_counts(tables), "notes": notes}
-    for name, df in (tables | {n: t for n, t in extra.items() if t is not None}).items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("dataset") if "dataset" in df.columns else writer).parquet(f"{path}/{name}")
+def _files(spark: SparkSession, path: str):
+    """(file system, path constructor) of a folder."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    return new(path).getFileSystem(spark._jsc.hadoopConfiguration()), new
+
+
+def exports(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the exports published under a path, in order."""
+    fs, new = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(new(path))] if fs.exists(new(path)) else []
+    return sorted(int(n.removeprefix("export=")) for n in names if n.startswith("export="))
+
 
+def write_export(tables: dict[str, DataFrame], path: str, notes: DataFrame | None = None, keep: int = 2) -> int:
+    """Publishes every table as Parquet under its name, partitioned by dataset where it has one, with the
+    counts of its labels as label_counts, the notes (dataset, name, n) as notes, and the digest trees
+    of all of these as manifest; returns the export's number.
 
-def read_export(spark: SparkSession, path: str, names: list[str], inputs_only: bool = False) -> dict[str, DataFrame]:
-    """The tables of an export; inputs_only leaves out the labels, as a detector may see them."""
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names if not (inputs_only and n in LABEL_TABLES)}
+    Tables are written aside, read again and held against the digests of what was to be written; only
+    then does one rename publish them all as the next export. A writer that ends half-way leaves the
+    exports before it as they are. The last `keep` exports stay for readers that have opened them;
+    of several writers at once one publishes a number and the others fail.
+    """
+    from driftspan.operators.digest import digest_tree
+
+    extra = {"label_counts": label_counts(tables), "notes": notes}
+    tables = tables | {n: t for n, t in extra.items() if t is not None}
+    spark = next(iter(tables.values())).sparkSession
+    fs, new = _files(spark, path)
+    aside = f"{path.rstrip('/')}/.writing-{uuid.uuid4().hex}"
+    trees = [digest_tree(df, []).select(F.lit(name).alias("table"), "level", "node", "rows", "digest") for name, df in tables.items()]
+    reduce(DataFrame.union, trees).write.parquet(f"{aside}/manifest")
+    for name, df in tables.items():
+        (df.write.partitionBy("dataset") if "dataset" in df.columns else df.write).parquet(f"{aside}/{name}")
+    roots = {r["table"]: r["digest"] for r in spark.read.parquet(f"{aside}/manifest").filter("level = 0").collect()}
+    for name, df in tables.items():
+        root = digest_tree(spark.read.schema(df.schema).parquet(f"{aside}/{name}"), [], 0).select("digest").first()
+        if (root and root["digest"]) != roots.get(name):
+            fs.delete(new(aside), True)
+            raise OSError(f"table {name} is not what was written; nothing is published")
+    done = exports(spark, path)
+    number = done[-1] + 1 if done else 0
+    if fs.exists(new(f"{path}/export={number}")) or not fs.rename(new(aside), new(f"{path}/export={number}")):
+        raise OSError(f"export {number} of {path} has been published by another writer")
+    for old in [*done, number][: -max(keep, 1)]:
+        fs.delete(new(f"{path}/export={old}"), True)
+    return number
+
+
+def read_export(spark: SparkSession, path: str, names: list[str], inputs_only: bool = False, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the last export published under a path, or of the one with this number;
+    inputs_only leaves out the labels, as a detector may see them."""
+    found = exports(spark, path)
+    if not found or number is not None and number not in found:
+        raise FileNotFoundError(f"no export {'' if number is None else number} under {path}")
+    at = f"{path}/export={found[-1] if number is None else number}"
+    return {n: spark.read.parquet(f"{at}/{n}") for n in names if not (inputs_only and n in LABEL_TABLES)}

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftspan.operators import compare as C
@@ -141,8 +143,17 @@ def test_export_round_trip_and_manifest(spark, tmp_path):
     assert rows(io.read_export(spark, str(tmp_path), ["label_counts"])["label_counts"], "dataset", "table", "n") == [("d", "labels_tx", 2)]
     assert io.read_export(spark, str(tmp_path), ["label_counts"], inputs_only=True) == {}
     assert list(io.read_export(spark, str(tmp_path), list(t), inputs_only=True)) == ["turns"]
+    assert io.write_export({"turns": t["turns"].filter("n < 3")}, str(tmp_path)) == 1
+    bad = {"turns": t["turns"], "broken": spark.range(4).withColumn("x", F.expr("case when id < 3 then id else raise_error('lost') end"))}
+    with pytest.raises(Exception, match="lost"):
+        io.write_export(bad, str(tmp_path))  # ends half-way
+    assert io.read_export(spark, str(tmp_path), ["turns"])["turns"].count() == 3
+    assert io.read_export(spark, str(tmp_path), ["turns"], number=0)["turns"].count() == 5 and back["turns"].count() == 5
+    with pytest.raises(OSError, match="not what was written"):
+        io.write_export({"turns": spark.range(9).withColumn("r", F.udf(lambda: os.urandom(4).hex()).asNondeterministic()())}, str(tmp_path))
+    assert io.write_export({"turns": t["turns"]}, str(tmp_path)) == 2 and io.exports(spark, str(tmp_path)) == [1, 2]
     m = C.manifest({"turns": t["turns"]})
-    same = back["turns"].select("dataset", "world", "n")
+    same = io.read_export(spark, str(tmp_path), ["turns"])["turns"].select("dataset", "world", "n")
     assert C.check_run(m, C.manifest({"turns": same}), spark.createDataFrame([("0", "scored"), ("1", "scored")], "world string, status string")).count() == 0
 
 

@@ -46,3 +46,17 @@ def test_operators_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(S, "HOT_ROWS", 20)
     monkeypatch.setattr(S, "SLICES", 8)
     assert {n: sorted(map(str, f().collect())) for n, f in every.items()} == plain and all(plain.values())
+
+
+def test_selection_by_counts(spark):
+    data = rows(900)
+    df = spark.createDataFrame(data, "k string, t int, i int, v int")
+    own = {}
+    for r in sorted(data, key=lambda r: (r[1], r[2])):
+        own.setdefault(r[0], []).append(r[2])
+    for n in (1, 7, 500):
+        want = sorted(v[p] for v in own.values() for p in {i * len(v) // n for i in range(n)})
+        assert sorted(r["i"] for r in S.spaced(df, ["k"], ["t", "i"], n, slices=16).collect()) == want
+        got = S.first_of_each(df, ["k"], ["t", "i"], n, slices=16).collect()
+        assert sorted((r["i"], r["place"]) for r in got) == sorted((i, p + 1) for v in own.values() for p, i in enumerate(v[:n]))
+    assert S.spaced(df.limit(0), ["k"], ["t", "i"], 3).count() == 0
