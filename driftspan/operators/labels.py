@@ -326,27 +326,45 @@ def truth_to_capture(truth: DataFrame, results: DataFrame, writers: DataFrame) -
     return rows.select("id", "session", F.col("r.exchange").alias("exchange"), F.col("r.message").alias("message"), "writer_exchange", status.alias("status"))
 
 
+def _peeled(now: Column) -> Column:
+    """Struct (layer, text): the outermost layer of an encoded token and what it holds; null where none fits."""
+
+    def escaped() -> Column:
+        return F.when(now.rlike(r"^(?:\\x[0-9a-fA-F]{2}){2,}+$"), T.decode_hex(F.replace(now, F.lit("\\x"), F.lit(""))))
+
+    def url() -> Column:
+        text = T.decode_url(now)
+        broken = text.contains("\ufffd") & ~F.upper(now).contains("%EF%BF%BD")  # bytes that are no UTF-8
+        return F.when(~now.rlike(r'[\s"]') & ~broken, text)
+
+    hexed = F.when(now.rlike("^[0-9a-fA-F]{16,}+$"), T.decode_hex(now))
+    based = F.when(now.rlike("^[0-9A-Za-z+/=_-]{24,}+$") & ~now.rlike("^[0-9a-fA-F]*+$"), T.decode_base64(now))
+    layers = F.array(*[F.struct(F.lit(name).alias("layer"), text.alias("text")) for name, text in (("byte_escape", escaped()), ("url", url()), ("hex", hexed), ("base64", based))])
+    return F.get(F.filter(layers, lambda x: x["text"].isNotNull()), 0)
+
+
 def decode_chains(payloads: DataFrame, max_depth: int = 6) -> DataFrame:
     """(id, chain, decoded, depth, corroborated): candidates of payloads (id, parent, text) peeled
-    layer by layer (base64, hex, \\x runs) until plain; long and wordy enough ones stay, each
-    text once per payload. corroborated: another payload has this one as its parent."""
-    runs = F.regexp_extract_all("text", F.lit(r"(?:\\x[0-9a-fA-F]{2}){8,}|[0-9A-Za-z+/=_-]{16,}"), F.lit(0))
-    start = F.struct(F.col("token").alias("now"), F.expr("cast(array() as array<string>)").alias("chain"))
+    layer by layer (byte_escape, url, hex, base64) until nothing fits; long and wordy enough ones
+    stay, each text once per payload. corroborated: another payload has this one as its parent.
+
+    Candidates are the strings in atob(...), and runs of base64, of hexadecimal, of anything but
+    white space and quotes, and of \\x escapes, of 16 characters or more.
+    """
+    patterns = ((r"atob\('([^']*+)'", 1), (r'atob\("([^"]*+)"', 1), ("[0-9A-Za-z+/=_-]{16,}+", 0), ("[0-9a-fA-F]{16,}+", 0), (r'[^\s"\x{80}-\x{10FFFF}]{16,}+', 0), (r"(?:\\x[0-9a-fA-F]{2}){4,}+", 0))
+    runs = F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(group)) for p, group in patterns]))
+    start = F.struct(F.trim("token").alias("now"), F.expr("cast(array() as array<string>)").alias("chain"), F.lit(True).alias("open"))
 
     def peel(acc: Column, _: Column) -> Column:
-        now = acc["now"]
-        raw = F.when(now.rlike(r"^(?:\\x[0-9a-fA-F]{2})+$"), T.decode_hex(F.regexp_replace(now, r"\\x", "")))
-        hexed = F.when(now.rlike(r"^[0-9a-fA-F]{16,}$"), T.decode_hex(now))
-        based = F.when(now.rlike(r"^[0-9A-Za-z+/=_-]{16,}$"), T.decode_base64(now))
-        text, codec = F.coalesce(raw, hexed, based, now), F.when(raw.isNotNull(), "bytes").when(hexed.isNotNull(), "hex").when(based.isNotNull(), "base64")
-        return F.struct(text.alias("now"), F.concat(acc["chain"], F.filter(F.array(codec), lambda c: c.isNotNull())).alias("chain"))
-
-    rows = payloads.select("id", F.explode(F.array_distinct(runs)).alias("token"))
+        more = lambda x: F.when(x.isNotNull(), F.struct(F.trim(x["text"]).alias("now"), F.concat(acc["chain"], F.array(x["layer"])).alias("chain"), F.lit(True).alias("open"))).otherwise(F.struct(acc["now"].alias("now"), acc["chain"].alias("chain"), F.lit(False).alias("open")))
+        return F.when(acc["open"], T.let(_peeled(acc["now"]), more)).otherwise(acc)
+
+    rows = payloads.select("id", F.explode(runs).alias("token")).filter("length(token) >= 16")
     rows = rows.select("id", F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, peel).alias("x")).select("id", "x.now", "x.chain")
     good = rows.filter((F.size("chain") > 0) & (F.length("now") >= 24) & (F.length(F.regexp_replace("now", r"[^\p{L}]", "")) >= 20))
-    one = good.groupBy("id", "now").agg(F.min(F.array_join("chain", ">")).alias("chain"))
+    one = good.groupBy("id", "now").agg(F.min(F.array_join("chain", ".")).alias("chain"))
     parents = payloads.filter("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("corroborated", F.lit(True))
-    return one.join(parents, "id", "left").select("id", "chain", F.col("now").alias("decoded"), F.size(F.split("chain", ">")).alias("depth"), F.coalesce("corroborated", F.lit(False)).alias("corroborated"))
+    return one.join(parents, "id", "left").select("id", "chain", F.col("now").alias("decoded"), F.size(F.split("chain", r"\.")).alias("depth"), F.coalesce("corroborated", F.lit(False)).alias("corroborated"))
 
 
 def chain_tally(chains: DataFrame) -> DataFrame:

@@ -87,20 +87,36 @@ def mask_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GOOD = r"text like '% %' and length(text) >= 24 and length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 20 and not regexp_matches(text, '[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]')"
 
 
-@query(f"select doc_id::varchar id, 'hex' as chain, text as decoded, 1 as depth, doc_id % 3 = 0 as corroborated from documents where {_GOOD}")
+#: Layers around a text, outermost first, by doc_id % 6.
+_LAYERS = ("hex", "url", "base64.hex", "hex.base64.url", "byte_escape.base64.hex", "base64.hex.base64.hex.base64.url")
+_PAYLOADS = "text like '% % % %' and trim(text) = text and length(text) >= 24"
+_CHAIN_SQL = f"""ch as (select doc_id, trim(text) as text, ['{"', '".join(_LAYERS)}'][doc_id % 6 + 1] as chain from documents where {_GOOD} and {_PAYLOADS})"""
+
+
+@query(f"with {_CHAIN_SQL} select doc_id::varchar id, chain, text as decoded, len(string_split(chain, '.'))::int as depth, doc_id % 3 = 0 as corroborated from ch")
 def decode_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as hexadecimal payloads; every third has a child."""
+    """Documents as payloads under one to six layers; every third has a child."""
     return _chains(spark, sf_dir)
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", "doc_id", "text").filter(F.col("text").like("% %"))
-    own = d.select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.concat(F.lit("run "), F.hex(F.encode("text", "UTF-8"))).alias("text"))
+    d = table(spark, sf_dir, "documents", "doc_id", "text").filter(_PAYLOADS)
+    wrap = {
+        "hex": lambda c: F.hex(F.encode(c, "UTF-8")), "base64": lambda c: F.regexp_replace(F.base64(F.encode(c, "UTF-8")), r"\s", ""), "url": lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")),
+        "byte_escape": lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"\\x$1"),
+    }
+    coded = F.col("text")
+    for k, layers in enumerate(_LAYERS):
+        body = F.col("text")
+        for layer in reversed(layers.split(".")):
+            body = wrap[layer](body)
+        coded = F.when(F.col("doc_id") % 6 == k, body).otherwise(coded)
+    own = d.select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.concat(F.lit("run "), coded).alias("text"))
     child = d.filter("doc_id % 3 = 0").select(F.concat(F.lit("c"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("parent"), F.lit("plain").alias("text"))
     return L.decode_chains(own.union(child))
 
 
-@query(f"select 'hex' as chain, count(*) tokens, sum(length(text))::bigint chars, count(*) filter (where doc_id % 3 = 0) corroborated from documents where {_GOOD}")
+@query(f"with {_CHAIN_SQL} select chain, count(*) tokens, sum(length(text))::bigint chars, count(*) filter (where doc_id % 3 = 0) corroborated from ch group by 1")
 def chain_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chain_tally(_chains(spark, sf_dir))
 

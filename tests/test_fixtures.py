@@ -71,12 +71,20 @@ def test_truth_to_capture(spark):
 
 def test_decode_chains(spark):
     import base64
+    from urllib.parse import quote
 
-    plain = "the quick brown fox jumps over the lazy dog again"
-    twice = base64.b64encode(plain.encode().hex().encode()).decode()
-    got = L.decode_chains(spark.createDataFrame([("a", None, f"x {twice} y"), ("b", "a", "plain words only here")], "id string, parent string, text string"))
-    assert rows(got, "id", "chain", "decoded", "corroborated") == [("a", "base64>hex", plain, True)]
-    assert rows(L.chain_tally(got), "chain", "tokens", "corroborated") == [("base64>hex", 1, 1)]
+    plain = "the quick brown fox, jumps over the lazy dog; again"
+    b64, hx, esc = lambda t: base64.b64encode(t.encode()).decode(), lambda t: t.encode().hex(), lambda t: "".join(f"\\x{b:02x}" for b in t.encode())
+    bodies = {
+        "a": f"x {b64(hx(plain))} y", "b": "plain words only here", "c": f"go {quote(plain)} on", "d": f"eval(atob('{b64(quote(plain))}'))", "e": f'"{esc(b64(plain))}"', "f": b64(hx(b64(hx(b64(quote(plain)))))),
+        "g": "%20%20%zz" + quote(plain), "h": quote(plain) + "%ff%fe%fd", "i": hx("short"), "j": None, "k": f'z="{hx(hx(plain))}";',
+    }
+    got = L.decode_chains(spark.createDataFrame([(k, "a" if k == "b" else None, v) for k, v in bodies.items()], "id string, parent string, text string"))
+    assert rows(got.filter(F.col("decoded") == plain), "id", "chain", "depth", "corroborated") == [
+        ("a", "base64.hex", 2, True), ("c", "url", 1, False), ("d", "base64.url", 2, False), ("e", "byte_escape.base64", 2, False), ("f", "base64.hex.base64.hex.base64.url", 6, False), ("k", "hex.hex", 2, False),
+    ]
+    assert got.filter("id in ('b', 'g', 'i', 'j')").count() == 0
+    assert rows(L.chain_tally(got.filter("id = 'a'")), "chain", "tokens", "corroborated") == [("base64.hex", 1, 1)]
 
 
 def test_second_hop(spark):
