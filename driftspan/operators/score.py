@@ -179,13 +179,15 @@ def gates(rows: DataFrame, violated: DataFrame, table: DataFrame, exchanges: int
     route_kind, carrier, class, tier, reason; null is any (of class: any content). A gate of a
     dataset without rows is other_dataset; one without anything to judge is skipped.
     """
-    g = F.broadcast(table.select(*[F.col(c).alias(f"g_{c}") for c in table.columns]))  # the gate table is written by hand
-    same = [F.col(f"g_{c}").isNull() | F.col(f"g_{c}").eqNullSafe(F.col(c)) for c in ("dataset", "route_kind", "carrier", "tier")]
+    # a row meets gates of its dataset and of any, by equality, so that neither side needs to be small
+    either = lambda df: df.withColumn("of", F.explode(F.array_distinct(F.array(F.col("dataset"), F.lit(None).cast("string")))))
+    g = table.select(*[F.col(c).alias(f"g_{c}") for c in table.columns])
+    same = [F.col("g_dataset").eqNullSafe(F.col("of"))] + [F.col(f"g_{c}").isNull() | F.col(f"g_{c}").eqNullSafe(F.col(c)) for c in ("route_kind", "carrier", "tier")]
     same.append(F.when(F.col("g_class").isNull(), is_content(F.col("class"))).otherwise(F.col("g_class") == F.col("class")))
     on = same[0] & same[1] & same[2] & same[3] & same[4]
-    sums = g.join(rows, on, "left").groupBy("g_name").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expected", "found", "correct", "false_positive")])
+    sums = g.join(either(rows), on, "left").groupBy("g_name").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("expected", "found", "correct", "false_positive")])
     charged = violated.filter("class is null").select("dataset", "reason", "n")
-    hit = g.join(charged, (F.col("g_dataset").isNull() | (F.col("g_dataset") == F.col("dataset"))) & (F.col("g_reason").isNull() | (F.col("g_reason") == F.col("reason"))), "left").groupBy("g_name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    hit = g.join(either(charged), F.col("g_dataset").eqNullSafe(F.col("of")) & (F.col("g_reason").isNull() | (F.col("g_reason") == F.col("reason"))), "left").groupBy("g_name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     here = rows.select(F.col("dataset").alias("g_dataset")).distinct().withColumn("scored", F.lit(True))
     all_ = table.select(*[F.col(c).alias(f"g_{c}") for c in table.columns]).join(sums, "g_name").join(hit, "g_name").join(here, "g_dataset", "left")
     value = (
