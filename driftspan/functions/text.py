@@ -84,6 +84,15 @@ def unescape_once(text: Column) -> Column:
     return F.when(~text.contains("\\"), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ONCE), F.lit(0)), value), ""))
 
 
+#: The inside of a JSON string literal: no bare quote or control character, only JSON's escapes, surrogates in pairs.
+_JSON_BODY = rf"^(?:[^\"\\\x00-\x1f]++|\\[\"\\/bfnrt]|\\u{_HIGH}\\u{_LOW}|\\u{_CODE})*+$"
+
+
+def json_unescape(text: Column) -> Column:
+    """What a text says as the inside of a JSON string literal; null if it is not one."""
+    return F.when(text.rlike(_JSON_BODY), unescape_once(text))
+
+
 def _kept_units(units: Column) -> Column:
     """Array of (i, c): the place of each unit that folding keeps, and what it becomes."""
 

@@ -173,15 +173,35 @@ def call_resource(args: Column) -> Column:
     return F.get(fit, 0)["value"]
 
 
-def match_need(content: Column, read: Column) -> Column:
-    """The weakest class that finds what a label needs."""
-    once, twice = T.unescape_once(read), T.unescape_once(T.unescape_once(read))
-    plain = T.fold_plain(content)
-    return (
-        F.when(read.contains(content), "exact").when(once.contains(content), "decoded")
-        .when(T.fold_plain(read).contains(plain), "normalized").when(T.fold_plain(once).contains(plain), "decoded")
-        .when(T.fold_plain(twice).contains(plain), "two_string_levels").when(T.fold(read).contains(T.fold(content)), "folded").otherwise("semantic")
-    )
+def match_need(response: Column, read: Column) -> Column:
+    """The weakest class that finds what was read (the needle) in the response that wrote it.
+
+    exact: as it is; decoded: as a JSON string literal's content; normalized: folded; decoded: folded
+    after one level of escapes is undone on either side; two_string_levels (out of reach): after two
+    on one side; decoded: where only undoing every level helps; else semantic. Blanks at the end of
+    what was read do not count once folded, and blank reads are exact or semantic.
+    """
+
+    def kind(x: Column) -> Column:
+        text, needle = x["text"], x["needle"]
+        some = lambda c: c != ""
+        ended = lambda c: F.rtrim(T.fold_plain(c))
+
+        def once(f: Column) -> Column:
+            # texts without a backslash say the same at every level
+            plain, undone, folded, needle_once = f["plain"], f["undone"], f["folded"], f["needle_once"]
+            one_level = (some(needle_once) & (plain.contains(needle_once) | undone.contains(needle_once))) | undone.contains(folded)
+            twice = lambda c: T.let(T.unescape_once(c), lambda u: T.unescape_once(u))
+            two_levels = (needle.contains("\\") & T.let(ended(twice(needle)), lambda n: some(n) & plain.contains(n))) | (text.contains("\\") & T.fold_plain(twice(text)).contains(folded))
+            deep = T.let(T.fold(needle), lambda n: (F.trim(n) != "") & T.fold(text).contains(n))
+            return F.when(folded == "", "semantic").when(plain.contains(folded), "normalized").when(one_level, "decoded").when(two_levels, "two_string_levels").when(deep, "decoded").otherwise("semantic")
+
+        literal = T.let(T.json_unescape(needle), lambda v: (v != needle) & v.rlike(f"[^{T.SPACE}]") & text.contains(v))
+        forms = F.struct(T.fold_plain(text).alias("plain"), T.fold_plain(T.unescape_once(text)).alias("undone"), ended(needle).alias("folded"), ended(T.unescape_once(needle)).alias("needle_once"))
+        return F.when(text.contains(needle), "exact").when(literal, "decoded").otherwise(T.let(forms, once))
+
+    found = T.let(F.struct(response.alias("text"), read.alias("needle")), kind)
+    return F.when(response.isNull() | read.isNull(), "semantic").otherwise(found)
 
 
 def hit_routes(hits: DataFrame, calls: DataFrame) -> DataFrame:

@@ -34,16 +34,20 @@ def align(predictions: DataFrame, labels: DataFrame, canon: Callable[[Column], C
     needs one of the prediction's resources, both as canon() gives them. A location's own exchange,
     the class and the carrier do not matter.
     """
-    l = labels.select(F.col("world"), "label_ord", "expects", "tier", "from_agent", "to_agent", "reader_exchange", F.col("route_kind").alias("l_route"), F.col("resource_key").alias("l_resource"), F.col("loc_message").alias("read_message"), F.col("loc_part").alias("read_part"), "loc_start", "loc_end")
+    l = labels.select(F.col("world"), "label_ord", "expects", "tier", "from_agent", "to_agent", "reader_exchange", F.col("route_kind").alias("l_route"), canon(F.col("resource_key")).alias("l_resource"), F.col("loc_message").alias("read_message"), F.col("loc_part").alias("read_part"), "loc_start", "loc_end")
     met = predictions.join(l, ["world", "from_agent", "to_agent", "reader_exchange", "read_message", "read_part"])
-    shared = F.exists("resource_keys", lambda r: canon(r) == canon(F.col("l_resource")))
+    shared = F.exists("resource_keys", lambda r: canon(r) == F.col("l_resource"))
     met = met.filter((F.col("read_start") < F.col("loc_end")) & (F.col("loc_start") < F.col("read_end")))
     met = met.filter((F.col("l_route") != "channel") | ((F.col("route_kind") == "channel") & shared))
     return met.select("world", "pred_id", "label_ord", "expects", "tier")
 
 
-def under_control(predictions: DataFrame, controls: DataFrame) -> DataFrame:
-    """(world, pred_id, control_ord, reason, tier): the most specific control a prediction falls under."""
+def under_control(predictions: DataFrame, controls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(world, pred_id, control_ord, reason, tier): the most specific control a prediction falls under.
+
+    rules (background_rules) are controls of one exchange each, looked up by group; they have no
+    control_ord and come after the controls of an exchange that have one.
+    """
     c = controls.select("world", "from_agent", "to_agent", "control_ord", "reason", "tier", F.col("reader_exchange").alias("c_exchange"), "at_message", "at_start", "at_end", F.col("origin_message").alias("c_origin"), F.col("origin_start").alias("c_start"), F.col("origin_end").alias("c_end"))
     met = predictions.join(c, ["world", "from_agent", "to_agent"])
     met = met.filter(
@@ -52,10 +56,41 @@ def under_control(predictions: DataFrame, controls: DataFrame) -> DataFrame:
         & (F.col("c_origin").isNull() | F.coalesce((F.col("c_origin") == F.col("origin_message")) & (F.col("c_start") < F.col("origin_end")) & (F.col("origin_start") < F.col("c_end")), F.lit(False)))
     )
     rank = F.when(F.col("at_message").isNotNull(), 0).when(F.col("c_origin").isNotNull(), 1).when(F.col("c_exchange").isNotNull(), 2).otherwise(3)
-    best = met.groupBy("world", "pred_id").agg(F.min(F.struct(rank.alias("rank"), "control_ord", "reason", "tier")).alias("b"))
+    met = met.select("world", "pred_id", rank.alias("rank"), F.col("control_ord").isNull().alias("ruled"), "control_ord", "reason", "tier")
+    if rules is not None:
+        found = under_rules(predictions, rules)
+        met = met.unionByName(found.select("world", "pred_id", F.lit(2).alias("rank"), F.lit(True).alias("ruled"), F.lit(None).cast(controls.schema["control_ord"].dataType).alias("control_ord"), "reason", "tier"))
+    best = met.groupBy("world", "pred_id").agg(F.min(F.struct("rank", "ruled", "control_ord", "reason", "tier")).alias("b"))
     return best.select("world", "pred_id", "b.control_ord", "b.reason", "b.tier")
 
 
+def background_rules(agents: DataFrame, exchanges: DataFrame, planted: DataFrame) -> DataFrame:
+    """(world, kind, agent, exchange, grp): what sequence.background_controls says in pairs, in one
+    row per agent (sender), exchange (reader, with its agent's group) and planted pair.
+
+    A reader's exchange is a control for each other agent of its world: shared_source for senders of
+    the reader's group, boilerplate for all others, and none for planted pairs. Rows are as many as
+    agents, exchanges and planted pairs together. Repeated rows count once; exchanges of agents that
+    are not in `agents` give none.
+    """
+    none = F.lit(None)
+    s = agents.select("world", F.lit("sender").alias("kind"), "agent", none.cast(exchanges.schema["exchange"].dataType).alias("exchange"), "grp")
+    r = exchanges.join(agents.select("world", "agent", "grp"), ["world", "agent"]).select("world", F.lit("reader").alias("kind"), "agent", "exchange", "grp")
+    p = planted.select("world", F.lit("planted").alias("kind"), F.col("sender").alias("agent"), F.col("reader_exchange").alias("exchange"), none.cast(agents.schema["grp"].dataType).alias("grp"))
+    return s.unionByName(r).unionByName(p).distinct()
+
+
+def under_rules(predictions: DataFrame, rules: DataFrame, tier: str = "structural") -> DataFrame:
+    """(world, pred_id, reason, tier) of predictions from one agent of a background world to another's exchange."""
+    kind = lambda k: rules.filter(F.col("kind") == k)
+    s = kind("sender").select("world", F.col("agent").alias("from_agent"), F.col("grp").alias("s_grp"))
+    r = kind("reader").select("world", F.col("agent").alias("to_agent"), F.col("exchange").alias("reader_exchange"), F.col("grp").alias("r_grp"))
+    p = kind("planted").select("world", F.col("agent").alias("from_agent"), F.col("exchange").alias("reader_exchange"))
+    met = predictions.select("world", "pred_id", "from_agent", "to_agent", "reader_exchange").filter("from_agent <> to_agent")
+    met = met.join(p, ["world", "from_agent", "reader_exchange"], "left_anti").join(r, ["world", "to_agent", "reader_exchange"]).join(s, ["world", "from_agent"])
+    return met.select("world", "pred_id", F.when(F.col("s_grp") == F.col("r_grp"), "shared_source").otherwise("boilerplate").alias("reason"), F.lit(tier).alias("tier"))
+
+
 def exempted(predictions: DataFrame, exemptions: DataFrame) -> DataFrame:
     """(world, pred_id) of predictions under an exemption; the sender is not compared."""
     e = exemptions.select(F.col("world").alias("w"), F.col("to_agent").alias("t"), F.col("reader_exchange").alias("x"), F.col("at_message").alias("m"), F.col("at_start").alias("a"), F.col("at_end").alias("b"))
@@ -63,14 +98,14 @@ def exempted(predictions: DataFrame, exemptions: DataFrame) -> DataFrame:
     return predictions.join(e, on, "left_semi").select("world", "pred_id")
 
 
-def judge(predictions: DataFrame, labels: DataFrame, controls: DataFrame, exemptions: DataFrame, coverage: DataFrame, canon=lambda c: c) -> DataFrame:
+def judge(predictions: DataFrame, labels: DataFrame, controls: DataFrame, exemptions: DataFrame, coverage: DataFrame, canon=lambda c: c, rules: DataFrame | None = None) -> DataFrame:
     """predictions with outcome (correct, dismissed, unjudged, false), tier and reason.
 
     In this order: an aligned label, discarded, an exemption, the most specific control, coverage.
-    reason is the control's, also for dismissed predictions.
+    reason is the control's, also for dismissed predictions. rules are background_rules.
     """
     right = align(predictions, labels, canon).groupBy("world", "pred_id").agg(F.min(F.struct("label_ord", "tier"))["tier"].alias("right_tier"), F.lit(True).alias("right"))
-    under = under_control(predictions, controls).select("world", "pred_id", F.col("reason").alias("c_reason"), F.col("tier").alias("c_tier"))
+    under = under_control(predictions, controls, rules).select("world", "pred_id", F.col("reason").alias("c_reason"), F.col("tier").alias("c_tier"))
     free = exempted(predictions, exemptions).distinct().withColumn("free", F.lit(True))
     rows = predictions.join(right, ["world", "pred_id"], "left").join(under, ["world", "pred_id"], "left").join(free, ["world", "pred_id"], "left").join(coverage, "world", "left")
     outcome = F.when(F.col("right"), "correct").when(F.col("class") == "discarded", "dismissed").when(F.col("free"), "unjudged").when(F.col("c_reason").isNotNull() | F.col("coverage_tier").isNotNull(), "false").otherwise("unjudged")

@@ -164,6 +164,20 @@ def session_owner(claims: DataFrame) -> DataFrame:
     return own.withColumn("conflict", F.col("agents") > 1)
 
 
+def session_ordinals(exchanges: DataFrame) -> DataFrame:
+    """exchanges (session, exchange, at, turn) with ordinal, their place in their session from 0 by
+    (at, exchange), and mismatch: the client's own turn is known and is another. Exchanges without a
+    session have no place and go."""
+    rows = running(exchanges.filter("session is not null"), ["session"], ["at", "exchange"], {"ordinal": row_numbers()})
+    return rows.withColumn("ordinal", F.col("ordinal") - 1).withColumn("mismatch", F.coalesce(F.col("turn") != F.col("ordinal"), F.lit(False)))
+
+
+def turn_mismatches(exchanges: DataFrame, owners: DataFrame) -> DataFrame:
+    """(session, exchange, turn, ordinal): exchanges of owned sessions (session_owner) whose turn is not their place."""
+    rows = session_ordinals(exchanges).filter("mismatch").join(owners.select("session"), "session", "left_semi")
+    return rows.select("session", "exchange", "turn", "ordinal")
+
+
 def first_carrier(locations: DataFrame, carried: DataFrame) -> DataFrame:
     """(id, exchange): the agent's first exchange that carries the message, else the world's first, else null.
 

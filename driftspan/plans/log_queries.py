@@ -121,14 +121,24 @@ def chain_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.chain_tally(_chains(spark, sf_dir))
 
 
-@query(r"""with r as (select doc_id, text, case doc_id % 4 when 0 then 'x ' || text || ' y' when 1 then replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') when 2 then replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '  ') else '#' end as r from documents where length(text) >= 2)
-    select doc_id, case when contains(r, text) then 'exact' when doc_id % 4 = 1 then 'decoded' when doc_id % 4 = 2 then 'normalized' else 'semantic' end as need from r""")
+#: What is read and of which response, by doc_id % 8.
+_NEEDS = ("exact", "decoded", "normalized", "two_string_levels", "decoded", "two_string_levels", "decoded", "semantic")
+
+
+@query(f"select doc_id, ['{"', '".join(_NEEDS)}'][doc_id % 8 + 1] as need from documents where text is not null")
 def match_need(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, text = table(spark, sf_dir, "documents", "doc_id", "text").filter("length(text) >= 2"), F.col("text")
-    escaped = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    """Quoted documents as responses: cut, escaped, in capitals, escaped twice, read out of a response
+    escaped once and twice, escaped three times, and another text. All but the last hold a line break
+    and quotes, so that an escape changes them."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    text = F.concat(F.lit('It said "'), "text", F.lit('" and\nno more'))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     loud = F.replace(F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" "), F.lit("  "))
-    way = F.col("doc_id") % 4
-    return d.select("doc_id", L.match_need(text, F.when(way == 0, F.concat(F.lit("x "), text, F.lit(" y"))).when(way == 1, escaped).when(way == 2, loud).otherwise("#")).alias("need"))
+    way = F.col("doc_id") % 8
+    response = F.when(way == 4, escaped(text)).when(way == 5, escaped(escaped(text))).otherwise(text)
+    read = F.when(way == 0, F.substring(text, 3, 40)).when(way == 1, escaped(text)).when(way == 2, F.concat(loud, F.lit(" \n"))).when(way == 3, escaped(escaped(text))).when(way.isin(4, 5), text)
+    read = read.when(way == 6, escaped(escaped(escaped(text)))).otherwise('Nobody "said" this')
+    return d.select("doc_id", L.match_need(response, read).alias("need"))
 
 
 @query(f"""with {ACCESS_SQL}, r as (select id, id % 9 as world, id // 9 as exchange, case id % 3 when 0 then 'tool' when 1 then 'user' else 'system' end as role, resource from accesses)

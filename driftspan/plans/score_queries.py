@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspan.operators import score as S
+from driftspan.operators.labels import canonical_resource
 from driftspan.sources.adapters import table
 
 from .registry import query
@@ -98,6 +99,42 @@ def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fixture(spark, sf_dir).judged().select("world", "pred_id", "outcome", "tier", "reason")
 
 
+@query(f"with {FIX_SQL} select world, pred_id, label_ord, expects, tier from al")
+def align_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same resources, written in one way by labels and in another by predictions."""
+    f = Fixture(spark, sf_dir)
+    labels = f.labels.withColumn("resource_key", F.concat(F.lit("https://www.Example.org:443/a/../"), "resource_key", F.lit("?utm_source=x#top")))
+    predictions = f.predictions.withColumn("resource_keys", F.transform("resource_keys", lambda r: F.concat(F.lit("http://example.org/./"), r)))
+    return S.align(predictions, labels, lambda c: canonical_resource(c)["key"])
+
+
+_CON_SQL = f"con as (select {_sql(CONTROLS)} from labels where {CONTROL_ROWS})"
+_RULED_SQL = FIX_SQL.replace(_CON_SQL, f"""con0{_CON_SQL.removeprefix("con")}, ag as (select distinct world, a agent, a % 2 grp from (select world, from_agent a from pred union all select world, to_agent from pred)),
+xc as (select distinct world, to_agent agent, reader_exchange exchange from pred where reader_exchange % 3 <> 0), pl as (select distinct world, from_agent sender, reader_exchange exchange from pred where pred_id % 4 = 0),
+con as (select * from con0 union all select x.world, 1000000000000, s.agent, x.agent, x.exchange, null, null, null, null, null, null, case when s.grp = r.grp then 'shared_source' else 'boilerplate' end, 'structural'
+    from xc x join ag r on r.world = x.world and r.agent = x.agent join ag s on s.world = x.world and s.agent <> x.agent where not exists (select 1 from pl where pl.world = x.world and pl.sender = s.agent and pl.exchange = x.exchange))""")
+
+
+def _background(f: Fixture) -> DataFrame:
+    p = f.predictions
+    agents = p.select("world", F.col("from_agent").alias("agent")).union(p.select("world", "to_agent")).distinct().withColumn("grp", F.col("agent") % 2)
+    exchanges = p.filter("reader_exchange % 3 <> 0").select("world", F.col("to_agent").alias("agent"), F.col("reader_exchange").alias("exchange")).distinct()
+    return S.background_rules(agents, exchanges, p.filter("pred_id % 4 = 0").select("world", F.col("from_agent").alias("sender"), "reader_exchange"))
+
+
+@query(f"""with {_RULED_SQL} select world, 'sender' as kind, agent, null as exchange, grp from ag union all select world, 'planted', sender, exchange, null from pl
+    union all select x.world, 'reader', x.agent, x.exchange, r.grp from xc x join ag r on r.world = x.world and r.agent = x.agent""")
+def background_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _background(Fixture(spark, sf_dir))
+
+
+@query(f"with {_RULED_SQL} select world, pred_id, outcome, tier, reason from jd")
+def judge_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge over rules; the SQL has a control for each pair."""
+    f = Fixture(spark, sf_dir)
+    return S.judge(f.predictions, f.labels, f.controls, f.exemptions, f.coverage, rules=_background(f)).select("world", "pred_id", "outcome", "tier", "reason")
+
+
 @query(f"with {FIX_SQL} select world, label_ord, found, suspected from oc")
 def label_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fixture(spark, sf_dir).outcomes().select("world", "label_ord", "found", "suspected")

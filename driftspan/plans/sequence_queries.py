@@ -132,6 +132,28 @@ def session_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.session_owner(access_log(spark, sf_dir).filter("resource is not null").select(F.col("resource").alias("session"), "agent", (F.col("id") % 4).alias("priority")))
 
 
+_SESSION_SQL = f"{TURNS_SQL}, o as (select agent as session, agent * 100 + pos as exchange, pos // 2 as turn, row_number() over (partition by agent order by pos) - 1 as ordinal from turns where role = 'assistant')"
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions, of which the client counts two turns for each of the model's."""
+    t = conversation_turns(spark, sf_dir).filter("role = 'assistant'")
+    return t.selectExpr("agent as session", "agent * 100 + pos as exchange", "pos as at", "pos div 2 as turn")
+
+
+@query(f"with {_SESSION_SQL} select session, exchange, turn, ordinal, turn <> ordinal as mismatch from o")
+def session_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.session_ordinals(_sessions(spark, sf_dir)).drop("at")
+
+
+@query(f"with {_SESSION_SQL} select session, exchange, turn, ordinal from o where turn <> ordinal and session % 3 <> 0")
+def turn_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third session has no owner."""
+    rows = _sessions(spark, sf_dir)
+    owners = Q.session_owner(rows.filter("session % 3 <> 0").selectExpr("session", "session as agent", "turn as priority"))
+    return Q.turn_mismatches(rows, owners)
+
+
 @query(f"""with {ACCESS_SQL}, c as (select id % 6 as world, agent, resource as message, id as exchange, tm as ord from accesses), l as (select id, id % 6 as world, (agent * 7) % 150 as agent, resource as message from accesses)
     select l.id, coalesce((select arg_min(exchange, (ord, exchange)) from c where c.world = l.world and c.agent = l.agent and c.message = l.message), (select arg_min(exchange, (ord, exchange)) from c where c.world = l.world and c.message = l.message)) as exchange from l""")
 def first_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:

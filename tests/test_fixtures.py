@@ -100,12 +100,6 @@ def test_explode_parts(spark):
     assert rows(L.explode_parts(m), "part", "text") == [(0, "a"), (2, "{}"), (3, "x\ny")]
 
 
-def test_match_need(spark):
-    cases = [("abc def", "x abc def", "exact"), ('say "a"', r"say \"a\"", "decoded"), ("Abc  D", "abc d", "normalized"), ("abc", "zzz", "semantic")]
-    got = spark.createDataFrame(cases, "c string, r string, w string").select(L.match_need(F.col("c"), F.col("r")).alias("g"), "w").collect()
-    assert [r["g"] for r in got] == [r["w"] for r in got]
-
-
 def test_deliveries_and_shared_sources(spark):
     tr = spark.createDataFrame([(1, 1, "a", "b", "hi", False, 1), (1, 2, "a", "b", "hi", False, 2), (1, 3, None, "b", "sys", False, 3), (1, 4, "a", "b", "no", True, 4), (1, 5, "a", "b", "lost", False, 5)], "world int, send_id int, from_agent string, to_agent string, text string, rejected boolean, ord int")
     turns = spark.createDataFrame([(1, "b", "hi", 1, 10), (1, "b", "hi", 2, 11), (1, "b", "sys", 3, 12)], "world int, to_agent string, text string, ord int, exchange int")
