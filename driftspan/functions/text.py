@@ -68,20 +68,21 @@ def unescape_once(text: Column) -> Column:
     Two escapes that are a surrogate pair are one character, a surrogate alone stays as written. An
     escaped line break drops the break and the next line's indentation.
     """
-    named = F.create_map(*[x for k, v in ESCAPED.items() for x in (F.lit(k), F.lit(v))])
+    return F.when(~text.contains("\\"), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ONCE), F.lit(0)), _once_value), ""))
 
-    def value(u: Column) -> Column:
-        after = F.substring(u, 2, 1)
-        return (
-            F.when(~u.startswith("\\") | (u == "\\"), u)
-            .when((after == "u") & (F.length(u) >= 6), _code_points(F.regexp_replace(u, r"\\u", ""), "UTF-16BE"))
-            .when((after == "x") & (F.length(u) == 4), _code_points(F.concat(F.lit("00"), F.substring(u, 3, 2)), "UTF-16BE"))
-            .when((after == "U") & (F.length(u) == 10), _code_points(F.substring(u, 3, 8), "UTF-32"))
-            .when(after.isin("\n", "\r"), "")
-            .otherwise(F.coalesce(F.try_element_at(named, after), after))
-        )
 
-    return F.when(~text.contains("\\"), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ONCE), F.lit(0)), value), ""))
+def _once_value(u: Column) -> Column:
+    """What a unit of _ONCE stands for."""
+    named = F.create_map(*[x for k, v in ESCAPED.items() for x in (F.lit(k), F.lit(v))])
+    after = F.substring(u, 2, 1)
+    return (
+        F.when(~u.startswith("\\") | (u == "\\"), u)
+        .when((after == "u") & (F.length(u) >= 6), _code_points(F.regexp_replace(u, r"\\u", ""), "UTF-16BE"))
+        .when((after == "x") & (F.length(u) == 4), _code_points(F.concat(F.lit("00"), F.substring(u, 3, 2)), "UTF-16BE"))
+        .when((after == "U") & (F.length(u) == 10), _code_points(F.substring(u, 3, 8), "UTF-32"))
+        .when(after.isin("\n", "\r"), "")
+        .otherwise(F.coalesce(F.try_element_at(named, after), after))
+    )
 
 
 #: The inside of a JSON string literal: no bare quote or control character, only JSON's escapes, surrogates in pairs.
@@ -93,20 +94,21 @@ def json_unescape(text: Column) -> Column:
     return F.when(text.rlike(_JSON_BODY), unescape_once(text))
 
 
-def _kept_units(units: Column) -> Column:
-    """Array of (i, c): the place of each unit that folding keeps, and what it becomes."""
+def _deep_value(u: Column) -> Column:
+    """What a unit of _DEEP stands for."""
+    last = F.substring(u, -1, 1)
+    return (
+        F.when(~u.startswith("\\"), u)
+        .when(u.rlike(rf"^\\+u{_HIGH}$"), "�")
+        .when(u.rlike(r"^\\+u."), _code_points(F.regexp_replace(u, r"\\+u", ""), "UTF-16BE"))
+        .when(u.rlike(r"^\\+[\r\n]") | u.rlike(r"^\\+$"), "")
+        .when(last.isin(*"ntrbf"), " ")
+        .otherwise(last)
+    )
 
-    def value(u: Column) -> Column:
-        last = F.substring(u, -1, 1)
-        return (
-            F.when(~u.startswith("\\"), u)
-            .when(u.rlike(rf"^\\+u{_HIGH}$"), "�")
-            .when(u.rlike(r"^\\+u."), _code_points(F.regexp_replace(u, r"\\+u", ""), "UTF-16BE"))
-            .when(u.rlike(r"^\\+[\r\n]") | u.rlike(r"^\\+$"), "")
-            .when(last.isin(*"ntrbf"), " ")
-            .otherwise(last)
-        )
 
+def _kept_units(units: Column, value=_deep_value) -> Column:
+    """Array of (i, c): the place of each unit that folding keeps, and what it becomes."""
     chars = F.transform(units, lambda u, i: F.struct(i.alias("i"), F.regexp_replace(F.lower(value(u)), f"^[{SPACE}]$", " ").alias("c")))
     return let(F.filter(chars, lambda x: x["c"] != ""), lambda some: F.filter(some, lambda x, i: ~((x["c"] == " ") & ((i == 0) | (F.get(some, i - 1)["c"] == " ")))))
 
@@ -120,14 +122,25 @@ def fold(text: Column) -> Column:
     return F.when(~text.contains("\\"), fold_plain(text)).otherwise(F.array_join(F.transform(_kept_units(_units(text)), lambda x: x["c"]), ""))
 
 
-def fold_mapped(text: Column) -> Column:
-    """Struct (folded, starts, ends): what fold() gives, and of each of its characters the raw range it comes from."""
+def fold_mapped(text: Column, levels: int | None = None) -> Column:
+    """Struct (folded, starts, ends): the folded text, and of each of its characters the raw range it
+    comes from. levels: escapes are undone at any depth (None, as fold), not at all (0, as
+    fold_plain) or once (1, as fold_plain of unescape_once)."""
+    pattern, value = {None: (_DEEP, _deep_value), 0: ("(?s).", lambda u: u), 1: (_ONCE.replace(r"[^\\]+", r"[^\\]"), _once_value)}[levels]
 
     def mapped(units: Column, kept: Column, offsets: Column) -> Column:
         spread = lambda f: F.flatten(F.transform(kept, lambda x: F.array_repeat(f(x["i"]), F.length(x["c"]))))
         return F.struct(F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("folded"), spread(lambda i: F.get(offsets, i)).alias("starts"), spread(lambda i: F.get(offsets, i) + F.length(F.get(units, i))).alias("ends"))
 
-    return let(_units(text), lambda units: let(_kept_units(units), lambda kept: let(prefix_sums(F.transform(units, F.length)), lambda offsets: mapped(units, kept, offsets))))
+    units = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(units, lambda units: let(_kept_units(units, value), lambda kept: let(prefix_sums(F.transform(units, F.length)), lambda offsets: mapped(units, kept, offsets))))
+
+
+def places(text: Column, needle: Column) -> Column:
+    """Array of the places of a needle's copies in a text, from the left, that do not overlap."""
+    pattern = F.regexp_replace(needle, r"([!-/:-@\[-`{-~])", r"\\$1")
+    pieces = let(F.split(text, pattern, -1), lambda p: let(prefix_sums(F.transform(p, lambda x: F.length(x) + F.length(needle))), lambda at: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: F.get(at, i) + F.length(x))))
+    return F.when((needle != "") & text.contains(needle), pieces).otherwise(F.array().cast("array<int>"))
 
 
 def shingles(df: DataFrame, text_col: str, k: int = K, hashed: bool = True) -> DataFrame:

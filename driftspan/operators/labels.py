@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspan.functions import text as T
+from driftspan.operators.scans import Running, running
 from driftspan.sources.io import checkpointed
 
 
@@ -214,33 +215,98 @@ def hit_routes(hits: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.select("hit", "world", "exchange", F.when(F.col("role") == "tool", "tool_result").otherwise(F.col("role")).alias("carrier"), F.when(resource.isNotNull(), "channel").otherwise("direct").alias("route_kind"), resource.alias("resource"), F.col("call.tool").alias("tool"))
 
 
-def find_occurrences(needles: DataFrame, texts: DataFrame, k: int = T.K) -> DataFrame:
-    """(needle_id, text_id, class, n, at): texts that hold a needle, exactly, folded, or folded once
-    one level of string escapes is undone (decoded); the weakest class that does counts.
+def _meetings(needles: DataFrame, texts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, needle_id, text_id), each once: texts that hold the rarest window of a folded needle.
 
-    needles: needle_id, needle; texts: text_id, text. Texts that share the hash of a needle's first
-    folded window are looked at, so no needle meets all texts; a shorter needle is one window of its
-    own length, of which there are fewer than k. Blank needles are in no text. n counts copies that
-    do not overlap, `at` is the first, in the text of that class.
+    needles with keys, needle_id, plain; texts with keys, text_id, w (a row per form). The windows of
+    all needles are counted over the texts first; each needle then looks for its rarest, so that
+    needles with a beginning in common do not meet each other's texts. A needle shorter than k is one
+    window of its own length, of which there are fewer than k. A needle with a window that no text
+    has meets none.
     """
-    n = needles.withColumn("plain", F.rtrim(T.fold_plain(F.col("needle")))).filter("plain <> ''")
-    n = n.withColumn("size", F.least(F.length("plain"), F.lit(k))).withColumn("h", F.xxhash64(F.substring(F.col("plain"), F.lit(1), F.col("size"))))
-    sizes = sorted(r["size"] for r in n.select("size").distinct().collect())  # k values at most
-    forms = texts.select("text_id", "text", T.fold_plain(F.col("text")).alias("folded"), F.when(F.col("text").contains("\\"), T.fold_plain(T.unescape_once(F.col("text")))).alias("undone"))
-    looked = forms.select("text_id", F.explode(F.array_compact(F.array("folded", "undone"))).alias("w"))
-    met = None
+    needles = needles.withColumn("size", F.least(F.length("plain"), F.lit(k)))
+    sizes = sorted(r["size"] for r in needles.select("size").distinct().collect())  # k values at most
+    by, met = [*keys, "h"], None
     for size in sizes:
-        own = n.filter(F.col("size") == size).select("needle_id", "needle", "plain", "h")
-        found = T.shingles(looked, "w", size).join(own, "h").select("needle_id", "text_id", "needle", "plain")
+        anchors = T.shingles(needles.filter(F.col("size") == size).select(*keys, "needle_id", "plain"), "plain", size)
+        windows = T.shingles(texts, "w", size)
+        if size == k:
+            seen = windows.join(anchors.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.count("*").alias("n"))
+            counted = anchors.join(seen, by, "left").groupBy(*keys, "needle_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h")).alias("r"))
+            anchors = checkpointed(counted.filter("r.n > 0").select(*keys, "needle_id", "r.h"))
+        found = windows.join(anchors.select(*by, "needle_id"), by).select(*keys, "needle_id", "text_id")
         met = found if met is None else met.union(found)
     if met is None:
-        met = looked.join(n, F.lit(False)).select("needle_id", "text_id", "needle", "plain")
-    met = met.distinct().join(forms, "text_id")
-    exact, folded = F.col("text").contains(F.col("needle")), F.col("folded").contains(F.col("plain"))
-    found = met.filter(exact | folded | F.col("undone").contains(F.col("plain")))
-    where, what = F.when(exact, F.col("text")).when(folded, F.col("folded")).otherwise(F.col("undone")), F.when(exact, F.col("needle")).otherwise(F.col("plain"))
-    copies = (F.length(where) - F.length(F.replace(where, what, F.lit("")))) / F.length(what)
-    return found.select("needle_id", "text_id", F.when(exact, "exact").when(folded, "normalized").otherwise("decoded").alias("class"), copies.cast("long").alias("n"), (F.position(what, where) - 1).cast("long").alias("at"))
+        met = texts.join(needles.select(*keys, "needle_id"), F.lit(False)).select(*[texts[x] for x in keys], "needle_id", "text_id")
+    return met.distinct()
+
+
+def find_occurrences(needles: DataFrame, texts: DataFrame, keys: list[str] | None = None, k: int = T.K) -> DataFrame:
+    """(keys, needle_id, text_id, copy, class, start, stop): every copy of a needle in a text of equal
+    keys, with its raw range [start, stop), numbered from 0 in order.
+
+    needles: keys, needle_id, needle; texts: keys, text_id, text. Copies are looked for as they are
+    (exact), folded (normalized), and folded once one level of string escapes is undone
+    (decoded:json_string or decoded:yaml_string, by the copy's escapes), in this order; one that
+    overlaps an earlier kind's is left out. Blanks around a needle do not count, and blank or null
+    needles and null texts give nothing. Ids are unique among equal keys.
+    """
+    keys = keys or []
+    wanted = F.regexp_replace("needle", f"^[{T.SPACE}]+|[{T.SPACE}]+$", "")
+    n = needles.select(*keys, "needle_id", wanted.alias("needle")).filter("needle <> ''").withColumn("plain", F.rtrim(T.fold_plain(F.col("needle"))))
+    t = texts.select(*keys, "text_id", "text").filter("text is not null")
+    forms = F.array(T.fold_plain(F.col("text")), F.when(F.col("text").contains("\\"), T.fold_plain(T.unescape_once(F.col("text")))))
+    looked = checkpointed(t.select(*keys, "text_id", F.explode(F.array_compact(forms)).alias("w")))  # read by each pass
+    met = checkpointed(_meetings(n, looked, keys, k))
+    one = [*keys, "text_id"]
+    # a text's characters are mapped once, whatever number of needles it meets
+    mapped = t.join(met.select(*one).distinct(), one, "left_semi").select(*one, "text", T.fold_mapped(F.col("text"), 0).alias("f0"), F.when(F.col("text").contains("\\"), T.fold_mapped(F.col("text"), 1)).alias("f1"))
+    rows = mapped.join(met, one).join(n, [*keys, "needle_id"])
+
+    def copies(form: str, rank: int) -> Column:
+        f, last = F.col(form), F.length("plain") - 1
+        return F.transform(T.places(f["folded"], F.col("plain")), lambda p: F.struct(F.lit(rank).alias("rank"), F.get(f["starts"], p).alias("start"), F.get(f["ends"], p + last).alias("stop")))
+
+    exact = F.transform(T.places(F.col("text"), F.col("needle")), lambda p: F.struct(F.lit(0).alias("rank"), p.alias("start"), (p + F.length("needle")).alias("stop")))
+    undone = F.when(F.col("f1").isNotNull(), copies("f1", 2)).otherwise(F.expr("array()").cast("array<struct<rank: int, start: int, stop: int>>"))
+    codec = F.when(F.col("c.rank") == 2, T.string_codec(F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.stop") - F.col("c.start"))))
+    rows = rows.select(*one, "needle_id", "text", F.explode(F.concat(exact, copies("f0", 1), undone)).alias("c")).select(*one, "needle_id", "c.*", codec.alias("codec"))
+    by = [*one, "needle_id"]
+    for rank in (1, 2):  # what overlaps a copy of an earlier kind goes
+        taken = F.col("rank") < rank
+        reached = F.max(F.when(taken, F.col("stop"))).over(Window.partitionBy(*by).orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1))
+        ahead = F.min(F.when(taken, F.col("start"))).over(Window.partitionBy(*by).orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumns({"reached": reached, "ahead": ahead})
+        clear = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", "stop") >= F.col("stop"))
+        rows = rows.filter((F.col("rank") != rank) | clear).drop("reached", "ahead")
+    kind = F.when(F.col("rank") == 0, "exact").when(F.col("rank") == 1, "normalized").otherwise(F.concat(F.lit("decoded:"), "codec"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("start")) - 1
+    return rows.select(*keys, "needle_id", "text_id", place.alias("copy"), kind.alias("class"), "start", "stop")
+
+
+def first_later_call(outputs: DataFrame, calls: DataFrame) -> DataFrame:
+    """outputs (run, text_id, pos) with exchange: the run's first call after pos, of several there the
+    smallest exchange; outputs that no call follows go. calls: run, pos, exchange."""
+    rows = outputs.select("run", "pos", F.lit(1).alias("k"), "text_id", F.lit(None).cast(calls.schema["exchange"].dataType).alias("exchange"))
+    rows = rows.unionByName(calls.select("run", "pos", F.lit(0).alias("k"), "exchange"), allowMissingColumns=True)
+    rows = running(rows, ["run"], ["pos", "k", "exchange"], {"next": Running("last", F.col("exchange"))}, backward=True)
+    return rows.filter("k = 1 and next is not null").select("run", "text_id", "pos", F.col("next").alias("exchange"))
+
+
+def injection_labels(needles: DataFrame, outputs: DataFrame, calls: DataFrame) -> DataFrame:
+    """(run, needle_id, text_id, copy, start, stop, reader_exchange, need, tier): each copy of an
+    injection in a tool output that the run's model went on to read.
+
+    needles: run, needle_id, needle; outputs: run, text_id, pos, text, resource; calls: run, pos,
+    exchange. Needles of one text are one, the smallest id. What comes by a resource arrived where the
+    attacker never wrote: unobserved and out of reach; other copies need their class.
+    """
+    once = needles.groupBy("run", F.regexp_replace("needle", f"^[{T.SPACE}]+|[{T.SPACE}]+$", "").alias("needle")).agg(F.min("needle_id").alias("needle_id"))
+    read = checkpointed(first_later_call(outputs, calls).join(outputs.select("run", "text_id", "resource"), ["run", "text_id"]))
+    held = find_occurrences(once, outputs.join(read.select("run", "text_id"), ["run", "text_id"], "left_semi"), ["run"])
+    far = F.col("resource").isNotNull()
+    rows = held.join(read.drop("pos"), ["run", "text_id"])
+    return rows.select("run", "needle_id", "text_id", "copy", "start", "stop", F.col("exchange").alias("reader_exchange"), F.when(far, "unobserved").otherwise(F.col("class")).alias("need"), F.when(far, "out_of_reach").otherwise("construction").alias("tier"))
 
 
 def _replayable(revisions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftspan.functions import text as T
 from driftspan.operators import labels as L
-from driftspan.sources.adapters import conversation_turns, table
+from driftspan.sources.adapters import TURNS_SQL, conversation_turns, table
 
 from .registry import query
 
@@ -23,16 +23,46 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, "key")
 
 
-@query(r"""with d as (select doc_id, text, ltrim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') f from documents), n as (select item_id, text needle, rtrim(ltrim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), ' ') plain from benchmark union all select item_id || ':short', substr(text, 1, 20), rtrim(ltrim(regexp_replace(lower(substr(text, 1, 20)), '\s+', ' ', 'g'), ' '), ' ') from benchmark)
-    select item_id as needle_id, doc_id as text_id, case when contains(text, needle) then 'exact' else 'normalized' end as class,
-    case when contains(text, needle) then (length(text) - length(replace(text, needle, ''))) // length(needle) else (length(f) - length(replace(f, plain, ''))) // length(plain) end as n,
-    case when contains(text, needle) then strpos(text, needle) - 1 else strpos(f, plain) - 1 end as "at" from n join d on contains(text, needle) or contains(f, plain) where length(plain) > 0""")
+def _copies_sql(pairs: str) -> str:
+    """Rows of pairs (with needle, text) for each copy: words with white space or escaped line breaks
+    between them, whatever the case."""
+    rx = r"""'(?is)' || regexp_replace(regexp_replace(trim(needle, chr(32) || chr(9) || chr(10)), '([!-/:-@\[-`{-~])', '\\\1', 'g'), '\s+', '(?:\\s|\\\\n)+', 'g')"""
+    return rf"""rx as (select *, {rx} rx from {pairs}), cut as (select *, string_split_regex(text, rx) pieces, regexp_extract_all(text, rx) found from rx where regexp_matches(text, rx)),
+    each as (select *, unnest(range(1, len(found) + 1)) i from cut),
+    copies as (select *, i - 1 as copy, found[i] as raw, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as "start" from each),
+    placed as (select *, "start" + length(raw) as stop, case when raw = trim(needle, chr(32) || chr(9) || chr(10)) then 'exact' when contains(raw, '\n') then 'decoded:json_string' else 'normalized' end as class from copies)"""
+
+
+@query(rf"""with d as (select doc_id text_id, case when doc_id % 3 = 0 then replace(text, ' ', '\n') else text end as text from documents), n as (select item_id needle_id, text needle from benchmark union all select item_id || ':short', substr(text, 1, 20) from benchmark),
+    fd as (select *, regexp_replace(replace(lower(text), '\n', ' '), '\s+', ' ', 'g') f from d), fn as (select *, trim(regexp_replace(lower(needle), '\s+', ' ', 'g')) plain from n), near as (select needle_id, needle, text_id, text from fn join fd on contains(f, plain) where plain <> ''), {_copies_sql("near")}
+    select needle_id, text_id, copy, class, "start", stop from placed""")
 def benchmark_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole benchmark items, and the beginning of each as a short needle, in all documents."""
+    """Whole benchmark items, and the beginning of each as a short needle, in all documents, of which
+    every third has its blanks as escaped line breaks."""
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
     needles = b.select(F.col("item_id").cast("string").alias("needle_id"), F.col("text").alias("needle"))
     needles = needles.union(b.select(F.concat("item_id", F.lit(":short")), F.substring("text", 1, 20)))
-    return L.find_occurrences(needles, table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("text_id"), "text"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\\n"))).otherwise(F.col("text"))
+    return L.find_occurrences(needles, table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("text_id"), text.alias("text")))
+
+
+_INJECTED_SQL = r"""first as (select agent run, trim(substr(text, 3, 50), chr(32) || chr(9) || chr(10)) needle from turns where pos = 0),
+    out as (select t.agent run, t.agent * 100 + pos text_id, pos, case when t.agent % 4 = 0 then 'page' end as resource, 'See ' || needle || ' and ' || translate(needle, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '; ' || replace(needle, ' ', '\n') || case when pos % 2 = 1 then ', ' || needle || needle else '' end as text, needle from turns t join first on run = t.agent where role <> 'assistant' and pos > 0),
+    rd as (select o.*, (select min(pos) from turns c where c.agent = o.run and c.role = 'assistant' and c.pos > o.pos) called from out o)"""
+
+
+@query(f"""with {TURNS_SQL}, {_INJECTED_SQL}, near as (select * from rd where called is not null and needle <> ''), {_copies_sql("near")}
+    select run, 1 as needle_id, text_id, copy, "start", stop, run * 100 + called as reader_exchange, case when resource is null then class else 'unobserved' end as need, case when resource is null then 'construction' else 'out_of_reach' end as tier from placed""")
+def injection_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A piece of each conversation's first turn, under two ids, as what an attacker wrote; later turns
+    of others hold it as it is, in capitals and with escapes, and some twice more."""
+    t = conversation_turns(spark, sf_dir).withColumnRenamed("agent", "run")
+    needle = F.regexp_replace(F.substring("text", 3, 50), f"^[{T.SPACE}]+|[{T.SPACE}]+$", "")
+    first = t.filter("pos = 0").select("run", needle.alias("needle"))
+    held = F.concat(F.lit("See "), "needle", F.lit(" and "), F.translate("needle", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("; "), F.replace("needle", F.lit(" "), F.lit("\\n")), F.when(F.col("pos") % 2 == 1, F.concat(F.lit(", "), "needle", "needle")).otherwise(""))
+    outputs = t.filter("role <> 'assistant' and pos > 0").join(first, "run").select("run", F.expr("run * 100 + pos").alias("text_id"), "pos", held.alias("text"), F.expr("case when run % 4 = 0 then 'page' end").alias("resource"))
+    needles = first.select("run", F.explode(F.array(F.lit(1), F.lit(2))).alias("needle_id"), "needle")
+    return L.injection_labels(needles, outputs, t.filter("role = 'assistant'").selectExpr("run", "pos", "run * 100 + pos as exchange"))
 
 
 @query(r"""with s as (select doc_id, text span, substr(text, 11, 60) c from documents where text is not null), r as (select doc_id, span, case doc_id % 5 when 0 then c when 1 then translate(c, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 2 then replace(c, ' ', '  ') when 3 then replace(replace(c, '"', '\"'), chr(10), '\n') else replace(c, '''', '''''') end as r from s)
