@@ -94,6 +94,40 @@ def detect_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detect(*tool_turns(spark, sf_dir))
 
 
+#: By (agent + pos) % 6: hex, base64, URL encoding, one and two string levels, an opaque value.
+_CODED_SQL = rf"""{TURNS_SQL}, said as (select agent * 100 + pos world, (agent + pos) % 6 way, 'The other one said to me "' || text || '" and there is' || chr(10) || 'no more' t from turns where text is not null),
+once as (select *, replace(replace(replace(t, '\', '\\'), '"', '\"'), chr(10), '\n') o from said), twice as (select *, replace(replace(o, '\', '\\'), '"', '\"') oo from once),
+coded as (select world, way, length(t)::bigint chars, 6 + case way when 0 then 2 * strlen(t) when 1 then length(base64(encode(t))) when 2 then 3 * strlen(t) - 2 * length(regexp_replace(t, '[^A-Za-z0-9.*_-]', '', 'g')) when 3 then length(o) else length(oo) end as stop,
+    case way when 0 then 'decoded:hex' when 1 then 'decoded:base64' when 2 then 'decoded:url_encoding' when 3 then 'decoded:json_string' when 4 then 'two_string_levels' end as class from twice)"""
+
+
+def coded_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, calls): each turn of the conversations as a world of its own, in which one agent writes
+    it, quoted, and another gets it from a file in some coding, and once more in its next exchange."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    t = conversation_turns(spark, sf_dir).filter("text is not null")
+    t = t.select(F.expr("agent * 100 + pos").alias("world"), F.expr("(agent + pos) % 6").alias("way"), F.concat(F.lit('The other one said to me "'), "text", F.lit('" and there is\nno more')).alias("t"))
+    said, data, way = F.col("t"), F.encode("t", "UTF-8"), F.col("way")
+    coded = F.when(way == 0, F.lower(F.hex(data))).when(way == 1, F.regexp_replace(F.base64(data), r"\s", "")).when(way == 2, F.replace(F.url_encode(said), F.lit("+"), F.lit("%20"))).when(way == 3, escaped(said))
+    read = F.concat(F.lit("note: "), coded.when(way == 4, escaped(escaped(said))).otherwise(F.concat(F.lit('{"signature": "'), escaped(said), F.lit('"}'))))
+    rows = ((0, 0, "assistant", said), (1, 2, "tool", read), (1, 3, "assistant", F.lit("noted")), (1, 4, "tool", read), (1, 5, "assistant", F.lit("noted")))
+    turn = F.array(*[F.struct(F.lit(agent).cast("long").alias("agent"), F.lit(pos).cast("long").alias("pos"), F.lit(role).alias("role"), text.alias("text"), F.lit("c" if role == "tool" else None).cast("string").alias("call_id")) for agent, pos, role, text in rows])
+    calls = t.selectExpr("world", "1L as agent", "1L as pos", "'c' as call_id", "'fetch' as tool", """'{"path": "/srv/coded"}' as args""")
+    return t.select("world", F.inline(turn)), calls
+
+
+@query(f"""with {_CODED_SQL} select world, 1 as reader, 3 as reader_ex, 2 as read_pos, 6 as a, stop as b, class, 'tool_result' as carrier, 'channel:file:/srv/coded' as route, 0 as sender, 0 as sender_ex, 0 as sender_pos, 0 as s, chars as e from coded where way < 4""")
+def detect_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector over encoded, escaped and opaque readings, with rereads."""
+    return D.detect(*coded_turns(spark, sf_dir))
+
+
+@query(f"""with {_CODED_SQL} select world, 2 as agents, 3 as exchanges, 1 as spans, case when way < 4 then 2 else 0 end as matches, case when way < 4 then 1 else 0 end as rereads, case when way = 4 then 2 else 0 end as out_of_reach, case when way < 4 then 1 else 0 end as transmissions from coded""")
+def coded_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, calls = coded_turns(spark, sf_dir)
+    return D.world_summary(turns, *D.scan(turns, calls))
+
+
 @query(f"with {TURNS_SQL} select world, agent, pos, row_number() over (partition by world order by pos, agent) ord, 'end_turn' stop from turns where role = 'assistant'")
 def exchanges_from_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exchanges_from_turns(conversation_turns(spark, sf_dir))
