@@ -28,11 +28,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def plan_worlds(revisions: DataFrame, least: int = 2, most: int = 1_000, cap: int | None = None) -> DataFrame:
+def plan_worlds(revisions: DataFrame, least: int = 2, most: int | None = None, cap: int | None = None) -> DataFrame:
     """(world, agents, pages): components of the graph of agents and pages they edit, with their
-    number of agents in bounds, largest first. revisions: agent, page (texts)."""
+    number of agents in bounds (most: none, so that no world is lost for its size), largest first. revisions: agent, page (texts)."""
     named = revisions.select(F.concat(F.lit("a:"), F.col("agent")).alias("u"), F.concat(F.lit("p:"), F.col("page")).alias("v")).distinct()
     c = components(named)
     per = c.groupBy("component").agg(F.min(F.when(F.col("node").startswith("p:"), F.expr("substring(node, 3)"))).alias("world"), F.count_if(F.col("node").startswith("a:")).alias("agents"), F.count_if(F.col("node").startswith("p:")).alias("pages"))
-    rows = per.filter((F.col("agents") >= least) & (F.col("agents") <= most)).select("world", "agents", "pages").orderBy(F.desc("agents"), "world")
+    bounds = F.col("agents") >= least if most is None else F.col("agents").between(least, most)
+    rows = per.filter(bounds).select("world", "agents", "pages").orderBy(F.desc("agents"), "world")
     return rows.limit(cap) if cap else rows
