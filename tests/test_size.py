@@ -16,3 +16,13 @@ def test_worlds_of_any_size(spark):
     rows = spark.range(1200).select(F.col("id").cast("string").alias("agent"), F.lit("p").alias("page"))
     assert [tuple(r) for r in graph.plan_worlds(rows).collect()] == [("p", 1200, 1)]
     assert graph.plan_worlds(rows, most=1000).isEmpty()
+
+
+def test_next_delivery_pairs_are_not_shuffled(spark):
+    posts = spark.createDataFrame([(1, 7, 1, 100), (2, 7, 2, 5), (3, 7, 1, 109)], "id long, room long, agent long, at long")
+    calls = spark.createDataFrame([(10, 2, 100), (11, 2, 100), (12, 2, 111), (13, 3, 99), (14, 3, 110), (15, 1, 15), (16, 4, 120)], "id long, agent long, at long")
+    members = spark.createDataFrame([(7, a) for a in (1, 2, 3, 4)], "room long, agent long")
+    found = sequence.next_delivery(posts, calls, members, 10)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 10), (1, 3, 14), (2, 1, 15), (3, 2, 12), (3, 3, 14)]
+    above = plan(found).split("slot#")[0]  # what comes after posts have met calls
+    assert "Exchange" not in above and "Window" not in above
