@@ -26,3 +26,21 @@ def test_next_delivery_pairs_are_not_shuffled(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 10), (1, 3, 14), (2, 1, 15), (3, 2, 12), (3, 3, 14)]
     above = plan(found).split("slot#")[0]  # what comes after posts have met calls
     assert "Exchange" not in above and "Window" not in above
+
+
+def test_shingle_counts_shuffle_no_window(spark, monkeypatch):
+    monkeypatch.setattr(T, "LONG_TEXT", 400)
+    texts = [(1, "ab" * 60), (2, "x" * 23), (3, None), (4, "".join(chr(97 + i % 7) for i in range(900))), (5, "".join(map(str, range(130))))]
+    found = T.shingle_counts(spark.createDataFrame(texts, "id long, text string"), "text", ["id"])
+    want = [(i, len(t) - 23, len({t[j : j + 24] for j in range(len(t) - 23)})) for i, t in texts if t and len(t) > 23]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    monkeypatch.setattr(T, "LONG_TEXT", 1000)
+    short = T.shingle_counts(spark.createDataFrame(texts, "id long, text string"), "text", ["id"])
+    assert plan(short).split("Union")[1].split("HashAggregate")[0].count("Exchange") == 0
+
+
+def test_tokens_are_decoded_once(spark):
+    token = spark.createDataFrame([("00",)], "t string")
+    for decode, what in ((T.decode_hex, "unhex("), (T.decode_base64, "try_to_binary("), (T.decode_url, "url_decode(")):
+        text = token.select(decode(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert text.lower().count(what) <= 1 and "lambda" in text
