@@ -44,3 +44,9 @@ def test_tokens_are_decoded_once(spark):
     for decode, what in ((T.decode_hex, "unhex("), (T.decode_base64, "try_to_binary("), (T.decode_url, "url_decode(")):
         text = token.select(decode(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
         assert text.lower().count(what) <= 1 and "lambda" in text
+
+
+def test_candidates_are_peeled_once(spark):
+    payloads = spark.createDataFrame([("a", None, "61" * 40)], "id string, parent string, text string")
+    text = labels.decode_chains(payloads)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("unhex") <= 2  # of a byte-escaped and of a hexadecimal token
