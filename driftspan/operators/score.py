@@ -27,36 +27,70 @@ def is_content(c: Column) -> Column:
     return ~c.isin(*ACCESS_CLASSES)
 
 
+#: Where a prediction and a label must be equal.
+READ = ("world", "from_agent", "to_agent", "reader_exchange", "read_message", "read_part")
+
+
+def _report(canon: Callable[[Column], Column]) -> Column:
+    """What alignment compares of a prediction."""
+    return F.struct(*READ, "read_start", "read_end", "route_kind", F.transform("resource_keys", canon).alias("resource_keys")).alias("report")
+
+
+def _expected(canon: Callable[[Column], Column]) -> Column:
+    """What alignment compares of a label."""
+    place = [F.col("loc_message").alias("read_message"), F.col("loc_part").alias("read_part"), "loc_start", "loc_end"]
+    return F.struct("world", "from_agent", "to_agent", "reader_exchange", *place, F.col("route_kind").alias("l_route"), canon(F.col("resource_key")).alias("l_resource")).alias("label")
+
+
+def _aligned(reports: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows of reports (report, ...) beside the rows of expected (label, ...) that they report."""
+    met = reports.select("*", "report.*").join(expected.select("*", "label.*"), list(READ))
+    met = met.filter((F.col("read_start") < F.col("loc_end")) & (F.col("loc_start") < F.col("read_end")))
+    shared = F.exists("resource_keys", lambda r: r == F.col("l_resource"))
+    return met.filter((F.col("l_route") != "channel") | ((F.col("route_kind") == "channel") & shared))
+
+
 def align(predictions: DataFrame, labels: DataFrame, canon: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """(world, pred_id, label_ord, expects, tier): every pair of a prediction and a label it reports.
 
     Same sender, reader, reader exchange, message and part, overlapping ranges; a channel label
     needs one of the prediction's resources, both as canon() gives them. A location's own exchange,
-    the class and the carrier do not matter.
+    the class and the carrier do not matter. Resources are brought to canon() once a row, before rows meet.
     """
-    l = labels.select(F.col("world"), "label_ord", "expects", "tier", "from_agent", "to_agent", "reader_exchange", F.col("route_kind").alias("l_route"), canon(F.col("resource_key")).alias("l_resource"), F.col("loc_message").alias("read_message"), F.col("loc_part").alias("read_part"), "loc_start", "loc_end")
-    met = predictions.join(l, ["world", "from_agent", "to_agent", "reader_exchange", "read_message", "read_part"])
-    shared = F.exists("resource_keys", lambda r: canon(r) == F.col("l_resource"))
-    met = met.filter((F.col("read_start") < F.col("loc_end")) & (F.col("loc_start") < F.col("read_end")))
-    met = met.filter((F.col("l_route") != "channel") | ((F.col("route_kind") == "channel") & shared))
+    met = _aligned(predictions.select("pred_id", _report(canon)), labels.select("label_ord", "expects", "tier", _expected(canon)))
     return met.select("world", "pred_id", "label_ord", "expects", "tier")
 
 
+def first_aligned(predictions: DataFrame, labels: DataFrame, canon: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(world, pred_id, tier): the first label of each prediction that reports one.
+
+    Predictions that say the same meet labels that say the same once, whatever their numbers.
+    """
+    each = predictions.select("world", "pred_id", _report(canon))
+    one = labels.select(_expected(canon), F.struct("label_ord", "tier").alias("l")).groupBy("label").agg(F.min("l").alias("l"))
+    best = _aligned(each.select("report").distinct(), one).groupBy("report").agg(F.min("l").alias("l"))
+    return each.join(best, "report").groupBy("world", "pred_id").agg(F.min("l")["tier"].alias("tier"))
+
+
 def under_control(predictions: DataFrame, controls: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(world, pred_id, control_ord, reason, tier): the most specific control a prediction falls under.
 
     rules (background_rules) are controls of one exchange each, looked up by group; they have no
     control_ord and come after the controls of an exchange that have one.
     """
-    c = controls.select("world", "from_agent", "to_agent", "control_ord", "reason", "tier", F.col("reader_exchange").alias("c_exchange"), "at_message", "at_start", "at_end", F.col("origin_message").alias("c_origin"), F.col("origin_start").alias("c_start"), F.col("origin_end").alias("c_end"))
-    met = predictions.join(c, ["world", "from_agent", "to_agent"])
+    # predictions and controls that say the same meet once, whatever their numbers
+    each = predictions.select("world", "pred_id", F.struct("world", "from_agent", "to_agent", "reader_exchange", "read_message", "read_start", "read_end", "origin_message", "origin_start", "origin_end").alias("at"))
+    c = controls.select("world", "from_agent", "to_agent", F.col("reader_exchange").alias("c_exchange"), "at_message", "at_start", "at_end", F.col("origin_message").alias("c_origin"), F.col("origin_start").alias("c_start"), F.col("origin_end").alias("c_end"), F.struct(F.col("control_ord").isNull().alias("ruled"), "control_ord", "reason", "tier").alias("c"))
+    c = c.groupBy(*[x for x in c.columns if x != "c"]).agg(F.min("c").alias("c"))
+    met = each.select("at").distinct().select("at", "at.*").join(c, ["world", "from_agent", "to_agent"])
     met = met.filter(
         (F.col("c_exchange").isNull() | (F.col("c_exchange") == F.col("reader_exchange")))
         & (F.col("at_message").isNull() | ((F.col("at_message") == F.col("read_message")) & (F.col("at_start") < F.col("read_end")) & (F.col("read_start") < F.col("at_end"))))
         & (F.col("c_origin").isNull() | F.coalesce((F.col("c_origin") == F.col("origin_message")) & (F.col("c_start") < F.col("origin_end")) & (F.col("origin_start") < F.col("c_end")), F.lit(False)))
     )
     rank = F.when(F.col("at_message").isNotNull(), 0).when(F.col("c_origin").isNotNull(), 1).when(F.col("c_exchange").isNotNull(), 2).otherwise(3)
-    met = met.select("world", "pred_id", rank.alias("rank"), F.col("control_ord").isNull().alias("ruled"), "control_ord", "reason", "tier")
+    met = met.groupBy("at").agg(F.min(F.struct(rank.alias("rank"), "c.ruled", "c.control_ord", "c.reason", "c.tier")).alias("b"))
+    met = each.join(met, "at").select("world", "pred_id", "b.*")
     if rules is not None:
         found = under_rules(predictions, rules)
         met = met.unionByName(found.select("world", "pred_id", F.lit(2).alias("rank"), F.lit(True).alias("ruled"), F.lit(None).cast(controls.schema["control_ord"].dataType).alias("control_ord"), "reason", "tier"))
@@ -93,7 +127,7 @@ def under_rules(predictions: DataFrame, rules: DataFrame, tier: str = "structura
 
 def exempted(predictions: DataFrame, exemptions: DataFrame) -> DataFrame:
     """(world, pred_id) of predictions under an exemption; the sender is not compared."""
-    e = exemptions.select(F.col("world").alias("w"), F.col("to_agent").alias("t"), F.col("reader_exchange").alias("x"), F.col("at_message").alias("m"), F.col("at_start").alias("a"), F.col("at_end").alias("b"))
+    e = exemptions.select(F.col("world").alias("w"), F.col("to_agent").alias("t"), F.col("reader_exchange").alias("x"), F.col("at_message").alias("m"), F.col("at_start").alias("a"), F.col("at_end").alias("b")).distinct()
     on = (F.col("world") == F.col("w")) & (F.col("to_agent") == F.col("t")) & (F.col("reader_exchange") == F.col("x")) & (F.col("read_message") == F.col("m")) & (F.col("a") < F.col("read_end")) & (F.col("read_start") < F.col("b"))
     return predictions.join(e, on, "left_semi").select("world", "pred_id")
 
@@ -104,7 +138,7 @@ def judge(predictions: DataFrame, labels: DataFrame, controls: DataFrame, exempt
     In this order: an aligned label, discarded, an exemption, the most specific control, coverage.
     reason is the control's, also for dismissed predictions. rules are background_rules.
     """
-    right = align(predictions, labels, canon).groupBy("world", "pred_id").agg(F.min(F.struct("label_ord", "tier"))["tier"].alias("right_tier"), F.lit(True).alias("right"))
+    right = first_aligned(predictions, labels, canon).select("world", "pred_id", F.col("tier").alias("right_tier"), F.lit(True).alias("right"))
     under = under_control(predictions, controls, rules).select("world", "pred_id", F.col("reason").alias("c_reason"), F.col("tier").alias("c_tier"))
     free = exempted(predictions, exemptions).distinct().withColumn("free", F.lit(True))
     rows = predictions.join(right, ["world", "pred_id"], "left").join(under, ["world", "pred_id"], "left").join(free, ["world", "pred_id"], "left").join(coverage, "world", "left")
@@ -116,11 +150,13 @@ def judge(predictions: DataFrame, labels: DataFrame, controls: DataFrame, exempt
 
 def label_outcomes(predictions: DataFrame, labels: DataFrame, canon=lambda c: c) -> DataFrame:
     """labels with found, suspected: content finds content, access finds access, access marks content."""
-    pairs = align(predictions, labels, canon).join(predictions.select("world", "pred_id", "class"), ["world", "pred_id"])
     content = is_content(F.col("class"))
-    own = pairs.groupBy("world", "label_ord").agg(
-        F.bool_or(((F.col("expects") == "content") & content) | ((F.col("expects") == "access") & ~content)).alias("found"), F.bool_or((F.col("expects") == "content") & ~content).alias("suspected")
-    )
+    reports = predictions.select(_report(canon), content.alias("content")).groupBy("report").agg(F.bool_or("content").alias("content"), F.bool_or(~F.col("content")).alias("access"))
+    each = labels.select("world", "label_ord", "expects", _expected(canon))
+    # labels that say the same meet reports that say the same once
+    met = _aligned(reports, each.select("label").distinct()).groupBy("label").agg(F.bool_or("content").alias("content"), F.bool_or("access").alias("access"))
+    wants = F.col("expects") == "content"
+    own = each.join(met, "label").groupBy("world", "label_ord").agg(F.bool_or((wants & F.col("content")) | ((F.col("expects") == "access") & F.col("access"))).alias("found"), F.bool_or(wants & F.col("access")).alias("suspected"))
     return labels.join(own, ["world", "label_ord"], "left").fillna(False, ["found", "suspected"])
 
 

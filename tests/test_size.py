@@ -50,3 +50,39 @@ def test_candidates_are_peeled_once(spark):
     payloads = spark.createDataFrame([("a", None, "61" * 40)], "id string, parent string, text string")
     text = labels.decode_chains(payloads)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("unhex") <= 2  # of a byte-escaped and of a hexadecimal token
+
+
+def test_resources_are_made_canonical_before_rows_meet(spark):
+    p = spark.range(3).selectExpr("1 as world", "id as pred_id", "1 as from_agent", "2 as to_agent", "3 as reader_exchange", "'m' as read_message", "0 as read_part", "0 as read_start", "9 as read_end", "'channel' as route_kind", "array('A', 'b') as resource_keys")
+    l = spark.range(2).selectExpr("1 as world", "id as label_ord", "'content' as expects", "'t' as tier", "1 as from_agent", "2 as to_agent", "3 as reader_exchange", "'channel' as route_kind", "'a' as resource_key", "'m' as loc_message", "0 as loc_part", "1 as loc_start", "2 as loc_end")
+    found = score.align(p, l, F.lower)
+    assert found.count() == 6
+    joins = [x for x in plan(found).splitlines() if "Join" in x]
+    assert joins and not any("lower(" in x for x in joins)
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_rows_that_say_the_same_meet_once(spark, n):
+    """Predictions, labels and controls of one place each: pairs do not grow with their numbers."""
+    where = "1 as world, 1 as from_agent, 2 as to_agent, 3 as reader_exchange".split(", ")
+    p = spark.range(n).selectExpr(*where, "id as pred_id", "'m' as read_message", "0 as read_part", "0 as read_start", "9 as read_end", "'direct' as route_kind", "array('r') as resource_keys", "'exact' as class", "cast(null as string) as origin_message", "0 as origin_start", "0 as origin_end")
+    l = spark.range(n).selectExpr(*where, "id as label_ord", "'content' as expects", "concat('t', id) as tier", "'direct' as route_kind", "'r' as resource_key", "'m' as loc_message", "0 as loc_part", "1 as loc_start", "2 as loc_end")
+    c = spark.range(n).selectExpr(*where, "id as control_ord", "cast(null as string) as at_message", "0 as at_start", "0 as at_end", "cast(null as string) as origin_message", "0 as origin_start", "0 as origin_end", "concat('r', id) as reason", "'t' as tier")
+    met = []
+
+    def seen(f):
+        def inner(*a):
+            met.append(f(*a).count())
+            return f(*a)
+
+        return inner
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(score, "_aligned", seen(score._aligned))
+        first = score.first_aligned(p, l).collect()
+        found = score.label_outcomes(p, l).collect()
+    assert met == [1, 1]
+    assert sorted(r["pred_id"] for r in first) == list(range(n)) and {r["tier"] for r in first} == {"t0"}
+    assert len(found) == n and all(r["found"] and not r["suspected"] for r in found)
+    under = score.under_control(p, c).collect()
+    assert len(under) == n and {(r["control_ord"], r["reason"]) for r in under} == {(0, "r0")}
