@@ -40,18 +40,18 @@ def detect_batch(parts: DataFrame, state: dict[str, DataFrame], k: int = T.K, mi
     windows = checkpointed(D.window_rows(pieces, k))
     first = windows.filter("kind <> 'd'").groupBy("world", "agent", "h").agg(F.min("step").alias("first"))
     before = state["seen"].groupBy("world", "agent", "h").agg(F.min("step").alias("before"))
-    first = checkpointed(first.join(before, ["world", "agent", "h"], "left"))
-    written = windows.filter("kind = 'w'").join(first, ["world", "agent", "h"])
+    first = checkpointed(first.join(before.hint("merge"), ["world", "agent", "h"], "left"))
+    written = windows.filter("kind = 'w'").join(first.hint("merge"), ["world", "agent", "h"])
     old = written.filter("before is not null or first < step").select("world", "step", "at", "off").distinct()
     spans = D.spans_between(old, pieces, k, k, min_word_chars)
     wrote = parts.filter("kind = 'w'").select("world", F.col("step").alias("sstep"), F.col("ex").cast("long").alias("sender_ex"), F.col("pos").cast("long").alias("sender_pos"))
     spans = checkpointed(spans.join(wrote, ["world", "sstep"]))
     own = written.filter("before is null and first = step").select("world", F.col("step").alias("sstep"), F.col("at").alias("sat"), "off", "h")
-    own = own.join(spans.select("world", *D.SPAN), ["world", "sstep", "sat"]).filter(f"off >= s and off + {k} <= e").select("world", "h", *D.SPAN).distinct()
+    own = own.join(spans.select("world", *D.SPAN).hint("merge"), ["world", "sstep", "sat"]).filter(f"off >= s and off + {k} <= e").select("world", "h", *D.SPAN).distinct()
     hits = D.shingle_lookup(windows.filter("kind <> 'w'"), D.ranked_postings(state["posted"].select("world", "h", *D.SPAN).union(own), max_postings))
     known = state["spans"].unionByName(spans)
     found = D.routed(D.explained(hits, pieces, known, k, k, min_word_chars), parts, state["calls"].unionByName(calls))
-    found = found.join(known.select("world", *D.SPAN, "sender_ex", "sender_pos").distinct(), ["world", *D.SPAN]).withColumnRenamed("agent", "reader").withColumnRenamed("sagent", "sender")
+    found = found.join(known.select("world", *D.SPAN, "sender_ex", "sender_pos").distinct().hint("merge"), ["world", *D.SPAN]).withColumnRenamed("agent", "reader").withColumnRenamed("sagent", "sender")
     found = checkpointed(found)
     near = found.filter("class <> 'two_string_levels' and startswith(route, 'channel:')")
     here = near.groupBy(*DELIVERY).agg(F.min("reader_ex").cast("long").alias("first"))

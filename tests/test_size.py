@@ -86,3 +86,14 @@ def test_rows_that_say_the_same_meet_once(spark, n):
     assert len(found) == n and all(r["found"] and not r["suspected"] for r in found)
     under = score.under_control(p, c).collect()
     assert len(under) == n and {(r["control_ord"], r["reason"]) for r in under} == {(0, "r0")}
+
+
+def test_windows_are_never_broadcast(spark):
+    """Windows are taken for as few as the texts they are made of, so their joins must not ask for sizes."""
+    turns = spark.createDataFrame([(1, a, p, ("assistant", "user")[(a + p) % 2], f"text of {a} and {p} " * 5) for a in range(4) for p in range(4)], "world long, agent long, pos long, role string, text string")
+    pieces = D.cut_pieces(D.parts_in_order(turns))
+    windows = D.window_rows(pieces, 24)
+    spans = D.spans_between(windows.filter("kind = 'w'").select("world", "step", "at", "off"), pieces, 24, 24, 20)
+    posted = D.postings(windows, spans, 24)
+    for df in (spans, posted, D.shingle_lookup(windows.filter("kind <> 'w'"), posted)):
+        assert "Broadcast" not in plan(df)
