@@ -122,3 +122,13 @@ def test_places_of_escapes(spark):
     undone = text.replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r").replace('\\"', '"')
     assert row["u"] == undone and row["e"] == [i for i, c in enumerate(undone) if c in '\n\t\r"']
     assert [row[f"n{x}"] for x in (0, 3, 5000, 10**6)] == [sum(e < x for e in row["e"]) for x in (0, 3, 5000, 10**6)]
+
+
+def test_agents_are_told_apart_among_repeated_windows_only(spark):
+    names = "world long, agent long, step long, kind string, at int, codec string, ts int, te int, h long, off int"
+    rows = [(1, 1, 1, "w", 0, None, -1, -1, 7, 0), (1, 2, 2, "d", 4, "hex", 4, 60, 7, 3), (1, 2, 3, "r", 0, None, -1, -1, 7, 5), (1, 2, 3, "r", 0, None, -1, -1, 8, 6), (2, 2, 3, "r", 0, None, -1, -1, 7, 0)]
+    found = D.repeated_windows(spark.createDataFrame(rows, names))
+    columns = [*[c.split()[0] for c in names.split(", ")], "first"]
+    assert sorted(tuple(r) for r in found.select(columns).collect()) == [(*rows[0], 1), (*rows[1], 3), (*rows[2], 3)]
+    text = plan(found)
+    assert text.index("Window [min(") < text.index("> 1)") < text.index("Window [count(")
