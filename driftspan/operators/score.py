@@ -228,10 +228,13 @@ def report_summary(rows: DataFrame, exchanges: int | Column, controls: int | Col
     return out.withColumn("fp_per_1k", F.when(controls > 0, F.try_divide(F.col("false_positives") * 1000.0, exchanges)))
 
 
-def examples(judged: DataFrame, texts: DataFrame, cap: int, chars: int = 240) -> DataFrame:
-    """The first `cap` false positives in order of world and id, with an excerpt of the text read."""
-    rows = judged.filter("outcome = 'false'").select("world", "pred_id", "reason").orderBy("world", "pred_id").limit(cap)
-    return rows.join(texts, ["world", "pred_id"], "left").select("world", "pred_id", "reason", F.substring("text", 1, chars).alias("excerpt"))
+def examples(judged: DataFrame, texts: DataFrame, cap: int | None = None, chars: int | None = None) -> DataFrame:
+    """The false positives, each with the text read as its excerpt; with `cap` the first so many in
+    order of world and id, with `chars` the first so many characters of a text."""
+    rows = judged.filter("outcome = 'false'").select("world", "pred_id", "reason")
+    rows = rows if cap is None else rows.orderBy("world", "pred_id").limit(cap)
+    excerpt = F.col("text") if chars is None else F.substring("text", 1, chars)
+    return rows.join(texts.select("world", "pred_id", excerpt.alias("excerpt")), ["world", "pred_id"], "left")
 
 
 def missed_examples(outcomes: DataFrame, texts: DataFrame, cap: int, chars: int = 240) -> DataFrame:

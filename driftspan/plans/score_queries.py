@@ -185,10 +185,11 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.report_summary(Fixture(spark, sf_dir).rows(), 128, 1)
 
 
-@query(f"with {FIX_SQL}, f as (select world, pred_id, reason from jd where outcome = 'false' order by 1, 2 limit 25) select f.*, substr(text, 1, 240) excerpt from f left join documents d on d.doc_id = f.pred_id")
+@query(f"with {FIX_SQL}, f as (select world, pred_id, reason from jd where outcome = 'false') select f.*, text excerpt from f left join documents d on d.doc_id = f.pred_id")
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every false positive, with the whole text read."""
     f = Fixture(spark, sf_dir)
-    return S.examples(f.judged(), f.texts, 25)
+    return S.examples(f.judged(), f.texts)
 
 
 @query(f"with {FIX_SQL}, f as (select world, label_ord, expects, tier, suspected from oc where not found order by 1, 2 limit 25) select f.*, substr(text, 1, 240) excerpt from f left join documents d on d.doc_id = f.label_ord")

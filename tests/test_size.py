@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from driftspan.functions import text as T
 from driftspan.operators import detect as D
 from driftspan.operators import graph, labels, score, sequence
+from driftspan.plans import score_queries
+from driftspan.sources.adapters import table
 
 
 def plan(df):
@@ -132,3 +134,12 @@ def test_agents_are_told_apart_among_repeated_windows_only(spark):
     assert sorted(tuple(r) for r in found.select(columns).collect()) == [(*rows[0], 1), (*rows[1], 3), (*rows[2], 3)]
     text = plan(found)
     assert text.index("Window [min(") < text.index("> 1)") < text.index("Window [count(")
+
+
+def test_examples_are_all_false_positives_in_full(spark):
+    sf = "/root/testdata/sf0.01"
+    false = score_queries.judge(spark, sf).filter("outcome = 'false'").select("world", "pred_id")
+    found = score_queries.examples(spark, sf).select("world", "pred_id", F.length("excerpt")).collect()
+    whole = false.join(table(spark, sf, "documents", F.col("doc_id").alias("pred_id"), F.length("text")), "pred_id", "left").select("world", *[F.col(c) for c in ("pred_id", "length(text)")])
+    assert len(found) > 25 and sorted(map(tuple, found)) == sorted(map(tuple, whole.collect()))
+    assert max(r[2] for r in found) > 240
