@@ -1,7 +1,6 @@
 """The detector over growing tables.
 
-A batch reads what earlier batches left of its own worlds (windows seen, postings, spans, calls,
-deliveries), and writes its own under its number, so a batch that runs again replaces what it wrote.
+A batch reads what earlier batches left of its own worlds (texts, spans, calls, deliveries), and writes its own under its number, so a batch that runs again replaces what it wrote.
 The state is kept in levels (levels.py), so what a batch reads does not grow with their number.
 """
 
@@ -18,9 +17,8 @@ from driftspan.streaming.levels import StateTable, Worlds
 #: What a stream of parts has: reads (kind r), writes (w) and tool calls (c, with the step of the write they belong to).
 PARTS = "world long, agent long, ex long, step long, kind string, pos long, role string, text string, call_id string, tool string, args string"
 STATE = {
-    "posted": "world long, h long, sagent long, sstep long, sat int, s int, e int",
-    "seen": "world long, agent long, h long, step long",
-    "spans": "world long, sagent long, sstep long, sat int, s int, e int, piece string, sender_ex long, sender_pos long",
+    "texts": "world long, agent long, step long, at int, folded string",
+    "spans": "world long, sagent long, sstep long, sat int, s int, e int, piece string, said array<struct<a:int,text:string>>, sender_ex long, sender_pos long",
     "calls": "world long, agent long, pos long, call_id string, tool string, args string",
     "delivered": "world long, sender long, sender_ex long, sender_pos long, rs int, re int, reader long, route string, first long",
     "steps": "world long, last long",
@@ -36,21 +34,17 @@ def detect_batch(parts: DataFrame, state: dict[str, DataFrame], k: int = T.K, mi
     parts = parts.withColumn("step", F.col("step").cast("long"))
     calls = parts.filter("kind = 'c'").select("world", "agent", "pos", "call_id", "tool", "args")
     parts = parts.filter("kind in ('r', 'w')")
-    pieces = checkpointed(D.cut_pieces(parts, min_decoded))
-    windows = checkpointed(D.window_rows(pieces, k))
-    first = windows.filter("kind <> 'd'").groupBy("world", "agent", "h").agg(F.min("step").alias("first"))
-    before = state["seen"].groupBy("world", "agent", "h").agg(F.min("step").alias("before"))
-    first = checkpointed(first.join(before.hint("merge"), ["world", "agent", "h"], "left"))
-    written = windows.filter("kind = 'w'").join(first.hint("merge"), ["world", "agent", "h"])
-    old = written.filter("before is not null or first < step").select("world", "step", "at", "off").distinct()
-    spans = D.spans_between(old, pieces, k, k, min_word_chars)
+    pieces = checkpointed(D.folded_pieces(D.cut_pieces(parts, min_decoded)))
+    own = pieces.select("world", "agent", "step", "kind", "at", "folded").filter("kind <> 'd'")
+    writers = own.filter("kind = 'w'").select("world", "agent").distinct()
+    had = state["texts"].join(writers, ["world", "agent"], "left_semi").withColumn("kind", F.lit("r"))  # read or written, it was there before
+    spans = D.spans_of(D.seen_runs(own.unionByName(had), k), pieces, k, k, min_word_chars)
     wrote = parts.filter("kind = 'w'").select("world", F.col("step").alias("sstep"), F.col("ex").cast("long").alias("sender_ex"), F.col("pos").cast("long").alias("sender_pos"))
     spans = checkpointed(spans.join(wrote, ["world", "sstep"]))
-    own = written.filter("before is null and first = step").select("world", F.col("step").alias("sstep"), F.col("at").alias("sat"), "off", "h")
-    own = own.join(spans.select("world", *D.SPAN).hint("merge"), ["world", "sstep", "sat"]).filter(f"off >= s and off + {k} <= e").select("world", "h", *D.SPAN).distinct()
-    hits = D.shingle_lookup(windows.filter("kind <> 'w'"), D.ranked_postings(state["posted"].select("world", "h", *D.SPAN).union(own), max_postings))
     known = state["spans"].unionByName(spans)
-    found = D.routed(D.explained(hits, pieces, known, k, k, min_word_chars), parts, state["calls"].unionByName(calls))
+    readers = pieces.filter("kind <> 'w'").select("world").distinct()
+    runs = checkpointed(D.shared_runs(D.texts_read(pieces), D.texts_posted(known.join(readers, "world", "left_semi")), k, k, max_postings))
+    found = D.routed(D.explained(runs, pieces, known, k, min_word_chars), parts, state["calls"].unionByName(calls))
     found = found.join(known.select("world", *D.SPAN, "sender_ex", "sender_pos").distinct().hint("merge"), ["world", *D.SPAN]).withColumnRenamed("agent", "reader").withColumnRenamed("sagent", "sender")
     found = checkpointed(found)
     near = found.filter("class <> 'two_string_levels' and startswith(route, 'channel:')")
@@ -59,8 +53,7 @@ def detect_batch(parts: DataFrame, state: dict[str, DataFrame], k: int = T.K, mi
     first_read = here.union(state["delivered"].select(*here.columns)).groupBy(*DELIVERY).agg(F.min("first").alias("first"))
     matches = found.join(first_read, list(DELIVERY), "left").withColumn("reread", F.coalesce(F.col("reader_ex") > F.col("first"), F.lit(False)))
     matches = matches.select("world", "reader", "reader_ex", "read_pos", "a", "b", "class", "carrier", "route", "sender", "sender_ex", "sender_pos", F.col("rs").alias("s"), F.col("re").alias("e"), "reread")
-    fresh = first.filter("before is null").select("world", "agent", "h", F.col("first").alias("step"))
-    return matches, {"posted": own, "seen": fresh, "spans": spans, "calls": calls, "delivered": new, "steps": parts.groupBy("world").agg(F.max("step").alias("last"))}
+    return matches, {"texts": own.drop("kind"), "spans": spans, "calls": calls, "delivered": new, "steps": parts.groupBy("world").agg(F.max("step").alias("last"))}
 
 
 def state_tables(spark: SparkSession, out: str) -> dict[str, StateTable]:

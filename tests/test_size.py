@@ -143,3 +143,45 @@ def test_examples_are_all_false_positives_in_full(spark):
     whole = false.join(table(spark, sf, "documents", F.col("doc_id").alias("pred_id"), F.length("text")), "pred_id", "left").select("world", *[F.col(c) for c in ("pred_id", "length(text)")])
     assert len(found) > 25 and sorted(map(tuple, found)) == sorted(map(tuple, whole.collect()))
     assert max(r[2] for r in found) > 240
+
+
+def some_turns(spark):
+    said = ["the wise old harbour master keeps the lamp lit until dawn", "and nobody has ever asked that master why it is so", "hm"]
+    rows = [(w, a, p, ("user", "assistant")[p % 2], " ".join(said[(w + a * p + i) % 3] for i in range(1 + (a + p) % 3))) for w in range(5) for a in range(4) for p in range(6)]
+    return spark.createDataFrame(rows, "world long, agent long, pos long, role string, text string")
+
+
+def test_texts_are_shuffled_and_windows_are_not(spark, monkeypatch):
+    """No exchange above the rows of windows."""
+    monkeypatch.setattr(D, "TASK_CHARS", 500)
+    pieces = D.folded_pieces(D.cut_pieces(D.parts_in_order(some_turns(spark))))
+    pieces = spark.createDataFrame(pieces.collect(), pieces.schema)
+    marked, seen = D.marked_runs(pieces, 24), D.seen_runs(pieces, 24)
+    spans = D.spans_of(seen, pieces, 24, 24, 20)
+    posted = spark.createDataFrame(spans.select("world", *D.SPAN, F.expr("said[0].text").alias("text")).collect(), "world long, sagent long, sstep int, sat int, s int, e int, text string")
+    shared = D.shared_runs(D.texts_read(pieces), posted, 24, 24, 50)
+    for df in (marked, seen, shared):
+        windows, texts = plan(df).rsplit("Generate", 1)
+        assert "Exchange" not in windows and "Exchange hashpartitioning(" in texts and df.count() > 0
+
+
+def test_worlds_of_many_characters_are_not_one_task(spark, monkeypatch):
+    turns = some_turns(spark)
+    want = sorted(map(str, D.detect(turns).collect()))
+    joins = []
+    monkeypatch.setattr(D, "TASK_CHARS", 500)
+    for most in (900, 1):  # some worlds, or agents, and all of them
+        monkeypatch.setattr(D, "MOST_CHARS", most)
+        monkeypatch.setattr(D.T, "shingles", lambda *a, f=T.shingles: joins.append(a) or f(*a))
+        assert sorted(map(str, D.detect(turns).collect())) == want
+        monkeypatch.undo()
+        monkeypatch.setattr(D, "TASK_CHARS", 500)
+    assert len(want) > 20 and len(joins) == 8  # both passes, of the rest and of large worlds
+
+
+def test_spans_keep_their_new_windows(spark):
+    """What a span posts is its new windows: short runs of seen ones lie inside it."""
+    pieces = spark.createDataFrame([(1, 7, 3, "w", 0, "abcdefghijklmnop"), (1, 7, 4, "r", 0, "abcdefghijklmnop")], "world long, agent long, step long, kind string, at int, piece string")
+    seen = spark.createDataFrame([(1, 3, 0, lo, hi) for lo, hi in ((2, 2), (5, 6), (8, 11))], "world long, step long, at int, lo int, hi int")
+    rows = D.spans_of(seen, pieces, 4, 4, 0).collect()
+    assert sorted((r["s"], r["e"], sorted((x["a"], x["text"]) for x in r["said"])) for r in rows) == [(0, 11, [(0, "abcde"), (3, "defgh"), (7, "hijk")]), (12, 16, [(12, "mnop")])]
