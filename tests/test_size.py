@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspan.functions import text as T
+from driftspan.llm import jaccard
 from driftspan.operators import detect as D
 from driftspan.operators import graph, labels, score, sequence
 from driftspan.plans import score_queries
 from driftspan.sources.adapters import table
+from driftspan.streaming import online
 
 
 def plan(df):
@@ -185,3 +187,18 @@ def test_spans_keep_their_new_windows(spark):
     seen = spark.createDataFrame([(1, 3, 0, lo, hi) for lo, hi in ((2, 2), (5, 6), (8, 11))], "world long, step long, at int, lo int, hi int")
     rows = D.spans_of(seen, pieces, 4, 4, 0).collect()
     assert sorted((r["s"], r["e"], sorted((x["a"], x["text"]) for x in r["said"])) for r in rows) == [(0, 11, [(0, "abcde"), (3, "defgh"), (7, "hijk")]), (12, 16, [(12, "mnop")])]
+
+
+def test_postings_are_shuffled_once(spark, monkeypatch):
+    """A token's postings are counted where they meet; they are not joined with their counts."""
+    edges = []
+    monkeypatch.setattr(jaccard, "components", lambda df, f=jaccard.components: edges.append(df) or f(df))
+    texts = [(i, " ".join(f"w{j}" for j in range(i // 3 * 5, i // 3 * 5 + 40)) + (" x" if i % 3 == 2 else "")) for i in range(30)]
+    found = jaccard.jaccard_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i // 3 * 3) for i in range(30)}
+    text = plan(edges[0])
+    assert "hashpartitioning(token" in text and not any("Join" in x and "token" in x for x in text.splitlines())
+
+
+def test_streams_keep_texts_and_no_windows(spark):
+    assert not any(" h long" in schema for schema in online.STATE.values())
