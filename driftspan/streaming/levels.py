@@ -96,7 +96,7 @@ class StateTable:
 
     def _write(self, rows: DataFrame, level: int, start: int) -> None:
         rows = rows.select(*self._names(), folder_of(self.world, level).alias("folder"))
-        rows.repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(self._run(level, start))
+        rows.repartition("folder", self.world).write.mode("overwrite").partitionBy("folder").parquet(self._run(level, start))
 
     def append(self, batch: int, rows: DataFrame) -> None:
         """Writes a batch's rows, and merges every level that it fills."""
